@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("factors",)
+AREAS = ("factors", "cross", "stats", "joins")
 
 
 def load() -> tuple[dict, dict]:

@@ -26,13 +26,14 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def query(registry: dict, name: str):
-    """Register a query; its result is tidied."""
+def query(registry: dict, name: str, text: tuple[str, ...] = ()):
+    """Register a query; its result is tidied. Columns in ``text`` become strings."""
 
     def wrap(fn):
         @functools.wraps(fn)
         def run(spark, sf_dir):
-            return tidy(fn(spark, sf_dir))
+            df = tidy(fn(spark, sf_dir))
+            return df.withColumns({c: F.col(c).cast("string") for c in text}) if text else df
 
         registry[name] = run
         return fn
@@ -58,7 +59,7 @@ def _resolve(names, seen: list[str]) -> None:
 def ask(needs: str, body: str, columns: str) -> str:
     """``WITH`` the needed parts, run ``body`` and shape the columns.
 
-    A column ``x`` passes through, ``r:x`` is rounded, ``i:x`` is a bigint.
+    A column ``x`` passes through, ``r:x`` is rounded, ``i:x`` is a bigint, ``s:x`` text.
     """
     order: list[str] = []
     _resolve(needs.split(), order)
@@ -73,6 +74,8 @@ def ask(needs: str, body: str, columns: str) -> str:
             )
         elif kind == "i":
             shaped.append(f"CAST({name} AS BIGINT) AS {name}")
+        elif kind == "s":
+            shaped.append(f"CAST({name} AS VARCHAR) AS {name}")
         else:
             shaped.append(name)
     parts = ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order)
@@ -113,7 +116,7 @@ cte(
     """
     SELECT code, date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low,
            arg_max(price, seq) AS close, sum(quantity) AS volume, sum(amount) AS amount,
-           sum(quantity) / 1000 AS turnover
+           sum(quantity) / 1024 AS turnover
     FROM trades GROUP BY code, date""",
     "trades",
 )

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.groups import is_wide
 
 
+# Shares outstanding of every instrument. A power of two keeps turnover, and the ties in
+# its rolling means, exact.
+SHARES = 1024.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +62,7 @@ def bars_from_trades(ticks: DataFrame) -> DataFrame:
         F.max_by("price", "seq").alias("close"),
         F.sum("quantity").alias("volume"),
         F.sum("amount").alias("amount"),
-        (F.sum("quantity") / 1000.0).alias("turnover"),
+        (F.sum("quantity") / SHARES).alias("turnover"),
     )
 
 
