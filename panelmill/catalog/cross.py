@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.groups import durable
 from ..operators import cross_section as xs
 from ..operators import timeseries as ts
 from ..sources import market
+from . import factors as _factors  # noqa: F401 - registers the shared SQL parts
 from .kit import SCORING, ask, cte, query
 
 QUERIES: dict = {}
@@ -35,6 +37,11 @@ def scores(spark, sf_dir, keep=()):
     return xs.composite_scores(scoring_panel(spark, sf_dir), WEIGHTS, keep, wide)
 
 
+def score_table(spark, sf_dir):
+    """Scores with prices, stored once for the queries that read them repeatedly."""
+    return durable(scores(spark, sf_dir, ("open", "close")))
+
+
 def _clipped(x: str) -> str:
     w = "OVER (PARTITION BY date)"
     lo = f"avg({x}) {w} - 3 * stddev_pop({x}) {w}"

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as xs
 from ..operators import joins as jn
-from ..operators import labels as lb
+from ..operators.construct import equal_weight
 from ..sources import market
 from .cross import scores
 from .kit import ask, code_of, cte, query
-from .stats import EVERY
+from .stats import events_of
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -77,21 +77,17 @@ cte(
 )
 
 
-def at_signals(spark, sf_dir, keep=("open",)):
+def at_signals(spark, sf_dir, table=None):
     """Scores on rebalance dates only, with their entry date."""
-    s = scores(spark, sf_dir, keep)
-    events = lb.rebalance_events(s, EVERY)
-    chosen = s.join(
-        F.broadcast(events.select(F.col("signal_date").alias("date"), "entry_date", "idx")), "date"
-    )
-    return chosen, events
+    s = table if table is not None else scores(spark, sf_dir)
+    events = events_of(spark, sf_dir)
+    entries = F.broadcast(events.select(F.col("signal_date").alias("date"), "entry_date"))
+    return s.select("date", "code", "composite_score").join(entries, "date"), events
 
 
-def equal_baskets(spark, sf_dir, n=20):
+def equal_baskets(spark, sf_dir, n=20, table=None):
     """Equal-weight holdings by entry date."""
-    from ..operators.construct import equal_weight
-
-    chosen, _ = at_signals(spark, sf_dir)
+    chosen, _ = at_signals(spark, sf_dir, table)
     return equal_weight(chosen, n).select(
         F.col("entry_date").alias("date"), F.col("date").alias("signal_date"), "code", "weight", "composite_score"
     )
@@ -100,7 +96,7 @@ def equal_baskets(spark, sf_dir, n=20):
 @query(QUERIES, "basket_carry_forward")
 def basket_carry_forward(spark, sf_dir):
     held = equal_baskets(spark, sf_dir).select("date", "code", "weight")
-    return jn.carry_basket(held, market.bars(spark, sf_dir).select("date"))
+    return jn.carry_basket(held, market.calendar(spark, sf_dir))
 
 
 SQL["basket_carry_forward"] = ask(
@@ -114,7 +110,7 @@ SQL["basket_carry_forward"] = ask(
 @query(QUERIES, "last_known_close")
 def last_known_close(spark, sf_dir):
     bars = market.bars(spark, sf_dir).select("code", "date", "open", "close")
-    return jn.fill_sessions(bars, bars.select("date"))
+    return jn.fill_sessions(bars, market.calendar(spark, sf_dir))
 
 
 cte(

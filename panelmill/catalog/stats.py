@@ -392,10 +392,16 @@ SQL["chronology_check"] = ask(
 EVERY = 10
 
 
-def event_labels(spark, sf_dir):
-    s = scores(spark, sf_dir, ("open",))
-    events = lb.rebalance_events(s, EVERY)
-    return lb.event_labels(s, s.select("date", "code", "open"), events), events
+def events_of(spark, sf_dir):
+    return lb.rebalance_events(market.calendar(spark, sf_dir), EVERY)
+
+
+def event_labels(spark, sf_dir, table=None):
+    """Labels of every rebalance and the events, from stored scores if given."""
+    s = table if table is not None else scores(spark, sf_dir)
+    opens = market.bars(spark, sf_dir).select("date", "code", "open")
+    events = events_of(spark, sf_dir)
+    return lb.event_labels(s, opens, events), events
 
 
 cte("score_days", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM bars)", "bars")

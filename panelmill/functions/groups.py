@@ -13,7 +13,10 @@ primitive has two physical forms with the same result:
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,10 +33,17 @@ def is_wide(rows_per_group: int) -> bool:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder of the session."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing a table in the shared folder and reading it back.
+
+    The copy survives lost executors and, unlike a cached or checkpointed RDD, gives the
+    optimizer file sizes and column pruning.
+    """
+    path = f"{shared_dir(df.sparkSession)}/panelmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,16 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     for a local master where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="panelmill-")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+        return folder.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if context.applicationId not in _local_dirs:
+        made = tempfile.mkdtemp(prefix="panelmill-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _local_dirs[context.applicationId] = made
+    return _local_dirs[context.applicationId]
 
 
 def with_group_stats(
@@ -75,7 +84,7 @@ def with_row_number(
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The checkpoint pins the sampled range bounds: both reads below see the same slices.
+    # The written copy pins the sampled range bounds: both reads below see the same slices.
     ranged = durable(
         df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
             "_slice", F.spark_partition_id()

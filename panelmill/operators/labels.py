@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import by_code, ratio
 from ..functions.groups import with_group_stats
 
-# A calendar table holds one row per session, so ordering it whole is cheap at any scale.
-CALENDAR = Window.orderBy("date")
+
+def in_calendar():
+    """Order of a table with one row per session; cheap at any scale."""
+    return Window.orderBy("date")
 
 
 def calendar(dates: DataFrame) -> DataFrame:
     """``date, idx`` with idx counting sessions from 0."""
-    return dates.select("date").distinct().withColumn("idx", F.row_number().over(CALENDAR) - 1)
+    return dates.select("date").distinct().withColumn("idx", F.row_number().over(in_calendar()) - 1)
 
 
 def forward_return(panel: DataFrame, h: int, out: str = "future_return") -> DataFrame:
@@ -36,7 +38,7 @@ def benchmark_excess(panel: DataFrame, benchmark: DataFrame, h: int) -> DataFram
     """Own forward return minus that of the index (L3); the index is one row per session."""
     index = benchmark.select(
         "date",
-        (ratio(F.lead("close", h).over(CALENDAR), "close") - 1).alias("benchmark_future_return"),
+        (ratio(F.lead("close", h).over(in_calendar()), "close") - 1).alias("benchmark_future_return"),
     )
     df = forward_return(panel, h).join(F.broadcast(index), "date", "left")
     return df.withColumn(

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..functions.groups import durable
 from .joins import asof_join, fill_sessions
 
 ANNUAL = 252
@@ -79,6 +80,9 @@ def period_sums(
     ``keys, p, invested, sold``. A target without an open on its entry date stays in cash;
     a name without a bar is marked, and sold, at its last known close.
     """
+    # Holdings are read four times below and the sums twice; both are small tables.
+    holdings = durable(holdings)
+    prices = durable(prices.select("code", "date", "open", "close"))
     calendar = prices.select("date").distinct()
     baskets = basket_table(holdings, keys, calendar if from_start else None)
     # (basket, session) pairs: the calendar rows in [entry, next], next included for the sale.
@@ -99,10 +103,12 @@ def period_sums(
     )
     priced = priced.withColumn("_o0", entry.over(own)).filter(F.col("_o0").isNotNull())
     leaving = F.col("date") == F.col("next_date")
-    sums = priced.groupBy(*keys, "p", "date").agg(
-        F.sum("weight").alias("invested"),
-        F.sum(F.col("weight") * F.col("close") / F.col("_o0")).alias("marked"),
-        F.sum(F.col("weight") * F.col("open") / F.col("_o0")).alias("sold"),
+    sums = durable(
+        priced.groupBy(*keys, "p", "date").agg(
+            F.sum("weight").alias("invested"),
+            F.sum(F.col("weight") * F.col("close") / F.col("_o0")).alias("marked"),
+            F.sum(F.col("weight") * F.col("open") / F.col("_o0")).alias("sold"),
+        )
     )
     days = (
         span.filter(F.col("next_date").isNull() | ~leaving)
@@ -256,6 +262,7 @@ def executed_baskets(
     count over held names; following the first possible successor is a walk over the plan
     rows of one scenario.
     """
+    holdings = durable(holdings)
     baskets = basket_table(holdings, keys).select(*keys, "p", "entry_date")
     opens = prices.filter(F.col("open") > 0).select("code", "date")
     names = holdings.filter(F.col("weight") > 0).select(

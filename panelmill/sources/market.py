@@ -70,6 +70,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_trades(trades(spark, sf_dir))
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with at least one trade, from the ship date column alone."""
+    return table(spark, sf_dir, "lineitem").select(week("l_shipdate").alias("date")).distinct()
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly index level: ``1000 + mean order value / 1000``. One row per session."""
     return (
