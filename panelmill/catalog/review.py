@@ -454,7 +454,7 @@ def evidence(spark, sf_dir):
 
 cte(
     "evidence",
-    """SELECT factor, ic_mean AS ic, icir, average_return, contribution FROM ic_summary JOIN spreads USING (factor)
+    """SELECT factor, ic_mean AS ic, icir, spreads.average_return, contribution FROM ic_summary JOIN spreads USING (factor)
        LEFT JOIN factor_contribution ON factor_name = factor""",
     "ic_summary", "spreads", "factor_contribution",
 )
@@ -574,8 +574,9 @@ for _m in ("ic", "icir"):
     query(QUERIES, f"combination_weights_{_m}")(_combination(_m))
     cte(
         f"{_m}_by_date",
-        f"""SELECT d.date, f.factor, coalesce(w.weight, 1.0 / {_N}) AS weight FROM score_days d,
-            (SELECT unnest({SCORING!r}) AS factor) f ASOF LEFT JOIN {_m}_weights w ON w.factor = f.factor AND d.date > w.date""",
+        f"""SELECT d.date, d.factor, coalesce(w.weight, 1.0 / {_N}) AS weight
+            FROM (SELECT date, factor FROM score_days, (SELECT unnest({SCORING!r}) AS factor)) d
+            ASOF LEFT JOIN {_m}_weights w ON w.factor = d.factor AND d.date > w.date""",
         "score_days", f"{_m}_weights",
     )
     SQL[f"combination_weights_{_m}"] = ask(f"{_m}_by_date", f"SELECT * FROM {_m}_by_date", "date factor r:weight")
@@ -641,16 +642,18 @@ cte(
     f"""SELECT r.date AS refit_date, c.date AS cutoff FROM score_days r JOIN score_days c ON c.idx = r.idx - {HORIZON} WHERE r.idx % 20 = 0""",
     "score_days",
 )
-SQL["rolling_ic_weights"] = ask(
-    "expanding refits score_days",
+cte(
+    "rolling_ic",
     f"""SELECT date, 'equal' AS method, factor, 1.0 / {_M} AS weight FROM score_days, (SELECT unnest({ROLLING!r}) AS factor)
-        UNION ALL SELECT d.date, m.method, f.factor, coalesce(w.weight, 1.0 / {_M}) FROM score_days d,
-          (VALUES ('ic'), ('icir')) m(method), (SELECT unnest({ROLLING!r}) AS factor) f
-          ASOF LEFT JOIN (SELECT r.refit_date, e.method, e.factor, e.weight FROM refits r, (VALUES ('ic'), ('icir')) m(method),
-              (SELECT unnest({ROLLING!r}) AS factor) f ASOF JOIN expanding e ON e.method = m.method AND e.factor = f.factor AND r.cutoff >= e.date) w
-          ON w.method = m.method AND w.factor = f.factor AND d.date >= w.refit_date""",
-    "date method factor r:weight",
+        UNION ALL SELECT d.date, d.method, d.factor, coalesce(w.weight, 1.0 / {_M})
+          FROM (SELECT date, method, factor FROM score_days, (VALUES ('ic'), ('icir')) m(method), (SELECT unnest({ROLLING!r}) AS factor)) d
+          ASOF LEFT JOIN (SELECT r.refit_date, e.method, e.factor, e.weight
+              FROM (SELECT * FROM refits, (VALUES ('ic'), ('icir')) m(method), (SELECT unnest({ROLLING!r}) AS factor)) r
+              ASOF JOIN expanding e ON e.method = r.method AND e.factor = r.factor AND r.cutoff >= e.date) w
+          ON w.method = d.method AND w.factor = d.factor AND d.date >= w.refit_date""",
+    "expanding", "refits", "score_days",
 )
+SQL["rolling_ic_weights"] = ask("rolling_ic", "SELECT * FROM rolling_ic", "date method factor r:weight")
 
 
 @query(QUERIES, "rolling_regression_weights")
@@ -667,6 +670,16 @@ def strategy_version_log(spark, sf_dir):
     return wt.version_log(history).select("strategy", "version", "date")
 
 
+SQL["strategy_version_log"] = ask(
+    "rolling_ic",
+    """SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) AS version, date FROM (
+         SELECT *, lag(shape) OVER (PARTITION BY strategy ORDER BY date) AS last FROM (
+           SELECT method AS strategy, date, string_agg(factor || ':' || (round(weight, 2) + 0)::VARCHAR, ',' ORDER BY factor) AS shape
+           FROM rolling_ic GROUP BY 1, 2)) WHERE shape IS DISTINCT FROM last""",
+    "strategy i:version date",
+)
+
+
 @query(QUERIES, "daily_return_attribution")
 def daily_return_attribution(spark, sf_dir):
     return attributed(spark, sf_dir)
