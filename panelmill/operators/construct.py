@@ -101,11 +101,14 @@ def industry_neutral(
 
 
 def allocate(
-    candidates: DataFrame, settings: AllocationSettings = AllocationSettings(), wide: bool = False
+    candidates: DataFrame,
+    settings: AllocationSettings = AllocationSettings(),
+    keys: tuple[str, ...] = ("date",),
+    wide: bool = False,
 ) -> DataFrame:
     """Quality-weighted allocation under cash, industry and stock limits.
 
-    ``candidates``: ``date, code, score, model_prediction, industry, risk, regime``.
+    ``candidates``: ``keys, code, score, model_prediction, industry, risk, regime``.
     Ranks run over the whole section; everything after the cut runs over at most n rows.
     """
     s = settings
@@ -116,15 +119,15 @@ def allocate(
             "risk": F.least(F.greatest(F.coalesce("risk", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)),
         }
     )
-    df = pct_rank(df, {"_sr": "score", "_mr": "model_prediction"}, wide=wide)
-    df = with_group_stats(df, ("date",), {"_models": F.count("model_prediction")}, wide)
+    df = pct_rank(df, {"_sr": "score", "_mr": "model_prediction"}, keys=keys, wide=wide)
+    df = with_group_stats(df, keys, {"_models": F.count("model_prediction")}, wide)
     blended = 0.5 * F.col("_sr") + 0.5 * F.coalesce("_mr", F.lit(0.5))
     df = df.withColumn("quality", F.when(F.col("_models") > 0, blended).otherwise(F.col("_sr")))
-    regimes = most_frequent(df, "regime")
+    regimes = most_frequent(candidates, "regime", keys)
     best = top_per_group(
-        df.drop("regime"), ["date"], [F.col("quality").desc(), F.col("code")], s.top_n
-    ).join(regimes, "date")
-    day, group = Window.partitionBy("date"), Window.partitionBy("date", "industry")
+        df.drop("regime"), keys, [F.col("quality").desc(), F.col("code")], s.top_n
+    ).join(regimes, list(keys))
+    day, group = Window.partitionBy(*keys), Window.partitionBy(*keys, "industry")
     cash = F.lit(s.cash_by_regime["sideways"])
     for state, value in s.cash_by_regime.items():
         cash = F.when(F.col("regime") == state, F.lit(value)).otherwise(cash)
@@ -135,15 +138,16 @@ def allocate(
     scale = F.when(total > s.max_industry_weight, F.lit(s.max_industry_weight) / total).otherwise(1.0)
     best = best.withColumn("weight", F.least(F.col("_w") * scale, F.lit(s.max_stock_weight)))
     return best.filter(F.col("weight") > 0).select(
-        "date", "code", "weight", "industry",
+        *keys, "code", "weight", "industry",
         F.col("model_prediction").alias("model_score"), F.col("risk").alias("risk_score"), "regime",
     )
 
 
-def most_frequent(df: DataFrame, column: str) -> DataFrame:
-    """``date, column``: the most frequent value of each date, ties by name."""
-    counts = df.groupBy("date", column).agg(F.count(F.lit(1)).alias("_n"))
-    return top_per_group(counts, ["date"], [F.col("_n").desc(), F.col(column)], 1).select("date", column)
+def most_frequent(df: DataFrame, column: str, keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """``keys, column``: the most frequent value per key, ties by name."""
+    known = df.withColumn(column, F.coalesce(column, F.lit("sideways")))
+    counts = known.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    return top_per_group(counts, keys, [F.col("_n").desc(), F.col(column)], 1).select(*keys, column)
 
 
 def cash_weight(holdings: DataFrame) -> DataFrame:

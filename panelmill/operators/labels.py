@@ -97,6 +97,7 @@ def calibration(
     signals: DataFrame,
     min_obs: int = 30,
     lower: str | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Past-only straight line score -> return for every signal date.
 
@@ -105,9 +106,10 @@ def calibration(
     per event before they meet the signals, so the join is over calendar rows only.
 
     Adds ``n_obs, training_end, intercept, slope`` to ``signals``; the line is NULL with
-    fewer than ``min_obs`` labels or a single distinct score.
+    fewer than ``min_obs`` labels or a single distinct score. ``keys`` separate scenarios.
     """
-    moments = labels.groupBy(F.col("signal_date").alias("_sig"), F.col("exit_date").alias("_exit")).agg(
+    own = [F.col(k).alias(f"_k_{k}") for k in keys]
+    moments = labels.groupBy(*own, F.col("signal_date").alias("_sig"), F.col("exit_date").alias("_exit")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("score").alias("_sx"),
         F.sum("future_return").alias("_sy"),
@@ -119,10 +121,12 @@ def calibration(
     past = F.col("_exit") < F.col("signal_date")
     if lower is not None:
         past = past & (F.col("_sig") >= F.col(lower))
+    for k in keys:
+        past = past & (F.col(f"_k_{k}") == F.col(k))
     joined = signals.join(F.broadcast(moments), past, "left")
-    keys = signals.columns
+    columns = signals.columns
     n, sx, sy, sxy, sxx = (F.sum(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx"))
-    table = joined.groupBy(*keys).agg(
+    table = joined.groupBy(*columns).agg(
         F.coalesce(n, F.lit(0)).alias("n_obs"),
         F.max("_exit").alias("training_end"),
         sx.alias("_sx"), sy.alias("_sy"), sxy.alias("_sxy"), sxx.alias("_sxx"),
@@ -134,7 +138,7 @@ def calibration(
     fit = table.withColumn("slope", F.when((F.col("n_obs") >= min_obs) & F.col("_varies"), slope))
     return fit.withColumn(
         "intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("n_obs")
-    ).select(*keys, "n_obs", "training_end", "intercept", "slope")
+    ).select(*columns, "n_obs", "training_end", "intercept", "slope")
 
 
 def ordered_split(
