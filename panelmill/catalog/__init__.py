@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("factors", "cross", "stats", "joins", "portfolio", "data", "review", "workflows")
+AREAS = ("factors", "cross", "stats", "joins", "portfolio", "data", "review", "workflows", "streams")
 
 
 def load() -> tuple[dict, dict]:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGITS = 6
+# Decimals kept below and from 1000 on: about nine significant digits either way.
+DIGITS, LARGE, LARGE_DIGITS = 6, 1000, 2
 # Moves exact decimal ties off the rounding boundary, the same way in both engines.
 NUDGE = 1.000000000001
 
@@ -21,7 +22,8 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") * F.lit(NUDGE), DIGITS)
+            c = c.cast("double") * F.lit(NUDGE)
+            c = F.when(F.abs(c) < LARGE, F.round(c, DIGITS)).otherwise(F.round(c, LARGE_DIGITS))
         columns.append(c.alias(field.name))
     return df.select(*columns)
 
@@ -68,9 +70,10 @@ def ask(needs: str, body: str, columns: str) -> str:
         kind, _, name = item.rpartition(":")
         if kind == "r":
             half = 0.5 * 10**-DIGITS
+            x = f"CAST({name} AS DOUBLE) * CAST({NUDGE!r} AS DOUBLE)"
             shaped.append(
-                f"CASE WHEN abs({name}) < {half:.10f} THEN CAST(0 AS DOUBLE) "
-                f"ELSE round(CAST({name} AS DOUBLE) * CAST({NUDGE!r} AS DOUBLE), {DIGITS}) END AS {name}"
+                f"CASE WHEN abs({name}) < {half:.10f} THEN CAST(0 AS DOUBLE) WHEN abs({x}) < {LARGE} "
+                f"THEN round({x}, {DIGITS}) ELSE round({x}, {LARGE_DIGITS}) END AS {name}"
             )
         elif kind == "i":
             shaped.append(f"CAST({name} AS BIGINT) AS {name}")
