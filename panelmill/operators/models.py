@@ -27,13 +27,14 @@ class RankingModel:
     wide: bool = False
 
 
-def _estimator(name: str, rows: int, label: str, seed: int = 0, **params):
+def _estimator(name: str, rows: int, spread: float, label: str, seed: int = 0, **params):
     common = {"featuresCol": "_features", "labelCol": label, "predictionCol": "prediction"}
     if name == "linear":
-        # Spark averages the squared error, so the ridge penalty is divided by the rows.
+        # The ridge penalty acts on a sum of squares; Spark averages the error over the
+        # rows and divides the label by its deviation first.
         alpha = params.pop("alpha", 1.0)
         return LinearRegression(
-            regParam=alpha / rows, elasticNetParam=0.0, standardization=False, solver="normal", **common, **params
+            regParam=alpha * spread / rows, elasticNetParam=0.0, standardization=False, solver="normal", **common, **params
         )
     if name == "random_forest":
         return RandomForestRegressor(**{"numTrees": 100, "seed": seed, **common, **params})
@@ -57,11 +58,13 @@ def fit_ranking(
         scaled = F.col("relevance") / F.greatest(F.col("group_size") - 1, F.lit(1))
         frame, label = ranked.withColumn("_relevance", scaled), "_relevance"
     frame = durable(frame.select("date", *features, label))
-    facts = frame.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("d")).first()
+    facts = frame.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("d"), F.stddev_pop(label).alias("s")
+    ).first()
     if facts["n"] == 0 or facts["d"] < 2:
         raise ValueError("ranking training requires at least two non-empty dates")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    fitted = _estimator(name, facts["n"], label, **params).fit(assembler.transform(frame))
+    fitted = _estimator(name, facts["n"], facts["s"], label, **params).fit(assembler.transform(frame))
     return RankingModel(name, tuple(features), fitted, wide)
 
 

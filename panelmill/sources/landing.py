@@ -54,7 +54,11 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     df = scan("UTF-8")
     # Undecodable bytes show as replacement characters; one header and a few rows decide.
     probe = [*df.columns, *(str(v) for row in df.take(20) for v in row)]
-    return scan("GB18030") if any("�" in text for text in probe) else df
+    if not any("�" in text for text in probe):
+        return df
+    # Spark accepts only a few charsets unless the session allows all of the JVM's.
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return scan("GB18030")
 
 
 def components(df: DataFrame, index_source: str) -> DataFrame:
