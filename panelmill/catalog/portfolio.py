@@ -424,7 +424,9 @@ SQL["trade_cost_table"] = ask(
 
 @query(QUERIES, "sellable_quantity")
 def sellable_quantity(spark, sf_dir):
-    fills = market.trades(spark, sf_dir).select("code", "date", "quantity")
+    fills = market.trades(spark, sf_dir).select(
+        market.pad_code("supplier").alias("code"), "date", "quantity"
+    )
     return pc.sellable_quantity(fills)
 
 
@@ -500,7 +502,10 @@ def prices(spark, sf_dir):
 
 
 def curves(spark, sf_dir):
-    return rt.equity_curve(baskets_of_two(spark, sf_dir), prices(spark, sf_dir), initial=INITIAL, from_start=True)
+    return rt.equity_curve(
+        baskets_of_two(spark, sf_dir), prices(spark, sf_dir), initial=INITIAL, from_start=True,
+        calendar=market.calendar(spark, sf_dir),
+    )
 
 
 @query(QUERIES, "equity_from_targets")
@@ -554,7 +559,7 @@ SQL["equity_from_targets"] = ask("curves", "SELECT * FROM curves", "scenario dat
 
 @query(QUERIES, "rebalance_trading_costs")
 def rebalance_trading_costs(spark, sf_dir):
-    return rt.trading_costs(baskets_of_two(spark, sf_dir), prices(spark, sf_dir), initial=INITIAL)
+    return rt.trading_costs(baskets_of_two(spark, sf_dir), prices(spark, sf_dir), initial=INITIAL, calendar=market.calendar(spark, sf_dir))
 
 
 SQL["rebalance_trading_costs"] = ask(
@@ -579,7 +584,8 @@ def volatility_controlled_equity(spark, sf_dir):
         "entry_date", F.coalesce("exposure", F.lit(1.0)).alias("base_exposure")
     )
     return rt.controlled_equity(
-        held, prices(spark, sf_dir), known, volatility_target=0.20, initial=INITIAL, from_start=True
+        held, prices(spark, sf_dir), known, volatility_target=0.20, initial=INITIAL, from_start=True,
+        calendar=market.calendar(spark, sf_dir),
     )
 
 
@@ -601,7 +607,7 @@ def drawdown_controlled_equity(spark, sf_dir):
     steps = ((s.drawdown_critical, s.critical_scale), (s.drawdown_warning, s.warning_scale))
     return rt.controlled_equity(
         held, prices(spark, sf_dir), known, s.volatility_target, s.volatility_lookback, steps,
-        initial=INITIAL, from_start=True,
+        initial=INITIAL, from_start=True, calendar=market.calendar(spark, sf_dir),
     )
 
 

@@ -378,7 +378,7 @@ def rank_score_backtest_metrics(spark, sf_dir):
     entries = F.broadcast(events.select(F.col("signal_date").alias("date"), "entry_date"))
     best = pc.equal_weight(ranked.join(entries, "date"), 5, "score")
     held = best.select(F.lit("rank").alias("scenario"), F.col("entry_date").alias("date"), "code", "weight")
-    curve = durable(rt.equity_curve(held, prices(spark, sf_dir), from_start=True))
+    curve = durable(rt.equity_curve(held, prices(spark, sf_dir), from_start=True, calendar=market.calendar(spark, sf_dir)))
     return mt.full_metrics(curve, bench_curve(spark, sf_dir))
 
 

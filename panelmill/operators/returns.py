@@ -72,18 +72,22 @@ def period_sums(
     prices: DataFrame,
     keys: Sequence[str] = ("scenario",),
     from_start: bool = False,
+    calendar: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Weighted price relatives of every held session.
 
     ``holdings``: ``keys, date (entry), code, weight``; ``prices``: ``code, date, open, close``.
+    ``calendar`` lists the sessions; without it they come from all prices.
     Returns days ``keys, p, date, entry_date, invested, marked`` and exits
     ``keys, p, invested, sold``. A target without an open on its entry date stays in cash;
     a name without a bar is marked, and sold, at its last known close.
     """
-    # Holdings are read four times below and the sums twice; both are small tables.
+    # Holdings are read four times below and the sums twice; both are small tables. Prices
+    # shrink to the names ever held before they are stored.
     holdings = durable(holdings)
-    prices = durable(prices.select("code", "date", "open", "close"))
-    calendar = prices.select("date").distinct()
+    calendar = durable(calendar if calendar is not None else prices.select("date").distinct())
+    ever = holdings.select("code").distinct()
+    prices = durable(prices.select("code", "date", "open", "close").join(ever, "code", "left_semi"))
     baskets = basket_table(holdings, keys, calendar if from_start else None)
     # (basket, session) pairs: the calendar rows in [entry, next], next included for the sale.
     span = F.broadcast(baskets).join(
@@ -132,12 +136,13 @@ def equity_curve(
     keys: Sequence[str] = ("scenario",),
     cost_scales: DataFrame | None = None,
     from_start: bool = False,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """``keys, date, p, equity`` (B1), from the first entry or the first session on.
 
     ``cost_scales`` (``keys, cost_scale``) multiplies all costs per scenario.
     """
-    days, exits = period_sums(holdings, prices, keys, from_start)
+    days, exits = period_sums(holdings, prices, keys, from_start, calendar)
     scale = F.lit(1.0)
     if cost_scales is not None:
         days = days.join(F.broadcast(cost_scales), list(keys))
@@ -164,9 +169,10 @@ def trading_costs(
     costs: TradingCosts = TradingCosts(),
     initial: float = 100_000.0,
     keys: Sequence[str] = ("scenario",),
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Cost paid around each basket: at its entry and at its sale."""
-    days, exits = period_sums(holdings, prices, keys)
+    days, exits = period_sums(holdings, prices, keys, calendar=calendar)
     buy, keep = _cost_factors(costs, F.lit(1.0))
     baskets = days.groupBy(*keys, "p").agg(
         F.min("entry_date").alias("date"), F.max("invested").alias("invested")
@@ -194,6 +200,7 @@ def controlled_equity(
     initial: float = 100_000.0,
     keys: Sequence[str] = ("scenario",),
     from_start: bool = False,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Equity whose exposure reacts to its own volatility and drawdown (B2).
 
@@ -202,7 +209,7 @@ def controlled_equity(
     scenario over one row per session. ``drawdown_steps`` are (drawdown, scale), deepest
     first.
     """
-    days, exits = period_sums(holdings, prices, keys, from_start)
+    days, exits = period_sums(holdings, prices, keys, from_start, calendar)
     table = days.join(
         exits.select(*keys, "p", F.col("sold")), [*keys, "p"], "left"
     ).join(F.broadcast(exposures), "entry_date", "left")

@@ -21,9 +21,17 @@ SESSIONS_PER_YEAR = 252
 FactorFn = Callable[[], Column]
 
 
+# Inputs whose means and deviations come from running totals.
+TOTALLED = ("close", "amount", "volume", "turnover", "ret_1")
+
+
 def with_changes(bars: DataFrame) -> DataFrame:
-    """Add one-session lags and returns that the factor windows read."""
-    return bars.withColumns(
+    """Add one-session lags, returns and the running totals that the factors read.
+
+    A rolling mean is the difference of two running totals, so its cost does not grow with
+    the window; unused totals are pruned by the optimizer.
+    """
+    df = bars.withColumns(
         {
             "prev_close": lagged("close"),
             "ret_1": ratio("close", lagged("close")) - 1,
@@ -31,6 +39,24 @@ def with_changes(bars: DataFrame) -> DataFrame:
             "amount_change": ratio("amount", lagged("amount")) - 1,
         }
     )
+    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    totals = {}
+    for x in TOTALLED:
+        if x in df.columns:
+            totals[f"_n_{x}"] = F.count(x).over(w)
+            totals[f"_s_{x}"] = F.coalesce(F.sum(x).over(w), F.lit(0.0))
+    totals["_q_ret_1"] = F.coalesce(F.sum(F.col("ret_1") * F.col("ret_1")).over(w), F.lit(0.0))
+    return df.withColumns(totals)
+
+
+def total_of(name: str, n: int) -> Column:
+    """Sum of the last n rows as a difference of running totals."""
+    return F.col(name) - F.lag(name, n, 0).over(by_code())
+
+
+def mean_of(name: str, n: int) -> Column:
+    """Rolling mean, NULL until n values are present."""
+    return F.when(total_of(f"_n_{name}", n) == n, total_of(f"_s_{name}", n) / n)
 
 
 def momentum(n: int) -> Column:
@@ -38,23 +64,22 @@ def momentum(n: int) -> Column:
 
 
 def trend(n: int) -> Column:
-    return ratio("close", rolling(F.avg, "close", n)) - 1
+    return ratio("close", mean_of("close", n)) - 1
 
 
 def volatility(n: int) -> Column:
-    return rolling(F.stddev_samp, "ret_1", n)
+    """Sample deviation of the last n returns."""
+    s, q = total_of("_s_ret_1", n), total_of("_q_ret_1", n)
+    spread = F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)
+    return F.when(total_of("_n_ret_1", n) == n, F.sqrt(spread))
 
 
 def drawdown(n: int) -> Column:
     return ratio("close", rolling(F.max, "close", n)) - 1
 
 
-def mean_of(name: str, n: int) -> Column:
-    return rolling(F.avg, name, n)
-
-
 def volume_ratio(n: int) -> Column:
-    return ratio("volume", rolling(F.avg, "volume", n))
+    return ratio("volume", mean_of("volume", n))
 
 
 def rsi(n: int = 14) -> Column:
@@ -89,14 +114,27 @@ def volatility_breakout(n: int = 20) -> Column:
     return ratio("close", rolling(F.max, "high", n)) - 1
 
 
-def beta(n: int, stock: str = "ret_1", market: str = "market_return") -> Column:
+def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
+    """Join the index returns and add the running co-moments that the betas read.
+
+    The index has one row per session, so it is broadcast.
+    """
+    df = panel.join(F.broadcast(market_returns(market)), "date", "left")
+    both = F.col("ret_1").isNotNull() & F.col("market_return").isNotNull()
+    r, m = F.when(both, F.col("ret_1")), F.when(both, F.col("market_return"))
+    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    moments = {"_b_r": r, "_b_m": m, "_b_rm": r * m, "_b_mm": m * m}
+    df = df.withColumns({k: F.coalesce(F.sum(x).over(w), F.lit(0.0)) for k, x in moments.items()} | {"_b_n": F.count(r).over(w)})
+    return df
+
+
+def beta(n: int) -> Column:
     """Rolling covariance over market variance (population), full windows only."""
-    w = trailing(n)
-    paired = F.count(F.when(F.col(stock).isNotNull() & F.col(market).isNotNull(), 1)).over(w)
-    moves = F.max(market).over(w) > F.min(market).over(w)
-    return F.when(
-        (paired == n) & moves, F.covar_pop(stock, market).over(w) / F.var_pop(market).over(w)
-    )
+    r, m, rm, mm = (total_of(f"_b_{k}", n) / n for k in ("r", "m", "rm", "mm"))
+    variance = mm - m * m
+    # A market that does not move leaves rounding noise in the difference of totals.
+    moves = variance > mm * 1e-13
+    return F.when((total_of("_b_n", n) == n) & moves, (rm - r * m) / variance)
 
 
 FACTORS: dict[str, FactorFn] = {
@@ -185,7 +223,7 @@ def build_factors(
         raise ValueError(f"unknown factor(s): {', '.join(unknown)}")
     panel = with_changes(macd(bars) if MACD_COLUMNS & set(wanted.values()) else bars)
     if market is not None:
-        panel = panel.join(F.broadcast(market_returns(market)), "date", "left")
+        panel = with_market(panel, market)
     return panel.select(
         "date", "code", *keep, *[FACTORS[f]().alias(out) for out, f in wanted.items()]
     )

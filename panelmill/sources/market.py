@@ -31,20 +31,22 @@ def pad_code(key: Column | str) -> Column:
 
 
 def week(ts: Column | str) -> Column:
-    return F.date_trunc("week", ts).cast("date")
+    """Monday of the week, by date arithmetic (no time zone conversion per row)."""
+    day = F.col(ts).cast("date")
+    return F.date_sub(day, F.weekday(day))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code, ts, date, price, quantity, amount and a total order inside a week."""
+    """supplier, date, price, quantity, amount and a total order inside a week."""
     lines = table(spark, sf_dir, "lineitem")
     # One long orders the trades of a week (day, order, line, part): fixed-width buffers
     # keep min_by/max_by in the hash aggregate, before the shuffle.
-    day = F.datediff(F.col("l_shipdate"), F.date_trunc("week", "l_shipdate")).cast("long")
+    day = F.weekday(F.col("l_shipdate").cast("date")).cast("long")
     seq = (
         (day * F.lit(1 << 40) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
     ) * F.lit(1 << 17) + F.col("l_partkey") % F.lit(1 << 17)
     return lines.select(
-        pad_code("l_suppkey").alias("code"),
+        F.col("l_suppkey").alias("supplier"),
         week("l_shipdate").alias("date"),
         (F.lit(100.0) + F.col("l_extendedprice") / F.col("l_quantity") / 1000.0).alias("price"),
         F.col("l_quantity").alias("quantity"),
@@ -53,9 +55,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bars_from_trades(ticks: DataFrame) -> DataFrame:
-    """OHLCV bars (S15): one partial aggregate and one shuffle on (code, date)."""
-    return ticks.groupBy("code", "date").agg(
+def bars_from_trades(ticks: DataFrame, key: str = "code") -> DataFrame:
+    """OHLCV bars (S15): one partial aggregate and one shuffle on (key, date)."""
+    return ticks.groupBy(key, "date").agg(
         F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -67,7 +69,9 @@ def bars_from_trades(ticks: DataFrame) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf_dir))
+    """Weekly bars; lines are grouped by the integer key and the code is padded after."""
+    df = bars_from_trades(trades(spark, sf_dir), "supplier")
+    return df.withColumn("supplier", pad_code("supplier")).withColumnRenamed("supplier", "code")
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
