@@ -14,6 +14,13 @@ DIGITS, LARGE, LARGE_DIGITS = 6, 1000, 2
 NUDGE = 1.000000000001
 
 
+def rounded(x):
+    """Rounding in plain double arithmetic; ``round`` goes through a decimal per value."""
+    scale = F.when(F.abs(x) < LARGE, F.lit(10.0**DIGITS)).otherwise(F.lit(10.0**LARGE_DIGITS))
+    r = F.rint(x * scale) / scale
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)  # no negative zero
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Integers become bigint and doubles are rounded, as in the SQL of ``ask``."""
     columns = []
@@ -22,8 +29,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = c.cast("double") * F.lit(NUDGE)
-            c = F.when(F.abs(c) < LARGE, F.round(c, DIGITS)).otherwise(F.round(c, LARGE_DIGITS))
+            c = rounded(c.cast("double") * F.lit(NUDGE))
         columns.append(c.alias(field.name))
     return df.select(*columns)
 
