@@ -137,19 +137,38 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range, from running sums in powers of an odd base (invertible)."""
-    if not len(starts):
-        return np.empty(0, U64)
-    size = int((ends - starts).max())
-    n = len(codes)
-    powers = _powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((codes + U64(1)) * powers[:n], out=total[1:])
-    # Divide by BASE**start through the inverse powers, so equal words agree anywhere.
-    inverse = _inverse_powers(n)
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return mixed(value + U64(size * 0) + (ends - starts).astype(U64))
+class RangeHashes:
+    """Hashes of byte ranges of one buffer; equal ranges agree wherever they stand.
+
+    Running sums in powers of an odd base; the base has an inverse modulo 2**64, which moves
+    every range to the origin.
+    """
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.total = np.zeros(n + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * _power_table(BASE, n + 1)[:n], out=self.total[1:])
+        self.inverse = _power_table(pow(BASE, -1, 1 << 64), n + 1)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        value = (self.total[ends] - self.total[starts]) * self.inverse[starts]
+        return mixed(value + (ends - starts).astype(U64) * U64(MIX_2) + U64(salt))
+
+
+def word_ranges(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``breaks`` (a table of 256 flags)."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~breaks[data]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One buffer with a line break after every text, and where each text starts (and the end)."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+    return data, starts
 
 
 _TABLES: dict[int, np.ndarray] = {}
@@ -166,14 +185,6 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
-def _powers(n: int) -> np.ndarray:
-    return _power_table(BASE, n)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _power_table(pow(BASE, -1, 1 << 64), n)
-
-
 def text_slices(ids: Iterable, texts: Iterable[bytes], size: int):
     """Groups of whole texts of about ``size`` bytes: (ids, texts)."""
     got, some_ids, some = 0, [], []

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding
+from . import chat_format, decontaminate, quality_classifier, quality_rules, sharding
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -112,3 +112,46 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CAST((state, role) NOT IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'),
     ('assistant', 'user')) OR (last AND role <> 'assistant') AS BIGINT)) AS BIGINT) AS n_faults
 FROM marked GROUP BY conv_id"""
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry_text=False)
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    hit = decontaminate.n_hit()
+    return rows.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+SQL["op5_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+its AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM (
+    SELECT item_id, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+    FROM its WHERE len(ws) > 0)),
+spots AS (
+  SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM (
+    SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+    FROM docs, (SELECT DISTINCT size FROM wins))),
+found AS (SELECT doc_id, i, size, item_id FROM spots JOIN wins USING (size, win)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS names FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
+  sha256(coalesce(ids.names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang")
+    return quality_classifier.classified(docs, table(spark, sf_dir, "labels"), F.col("source"), path)
