@@ -6,10 +6,11 @@ the digest columns of its contract from what the operator returns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_classifier, quality_rules, sharding
+from . import chat_format, decontaminate, packing, quality_classifier, quality_rules, sharding, tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -155,3 +156,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang")
     return quality_classifier.classified(docs, table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
