@@ -2,8 +2,8 @@
 
 The byte-level tokenizer is two deterministic machines in series: one that cuts text into
 pre-tokens, and one per pre-token whose transitions emit tokens. ``Transducer`` compiles the
-second lazily: every pre-token met becomes one labelled transition with the tokens it emits
-(their number for counting), so a text costs one table step per pre-token.
+second lazily: a stretch of text from one space to the next, once met, is a transition labelled
+with the tokens it emits (their number for counting), so a text costs one table step per word.
 
 Texts are cut into chunks of ``chunk_chars`` characters wherever that falls. What a chunk does to
 the machine's state is the map (head, n, tail): n tokens between its first and last safe cut, and
@@ -21,23 +21,22 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-# Texts of these bytes only are cut by the short expression below, which then equals the
-# tokenizer's: printable ASCII, its white space, and the letters U+00C0 to U+027F.
-_OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xca-\xff]|\xc3[\x97\xb7]")
-_PRE_TOKENS = re.compile(
-    rb"'(?:[stmd]|re|ve|ll)| ?[a-zA-Z\xc3-\xc9\x80-\xbf]+| ?\d+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+"
-)
+# Texts of these bytes only take the quick path: printable ASCII, its white space, and the
+# lead and following bytes of the letters U+00C0 to U+027F (without the signs C3 97 and C3 B7).
+_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+_RUNS = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")  # a space that does not start its white space
 _CUT = re.compile(rb"(?<=[!-~])(?=[ \t\n\r\x0b\x0c])")
-MAX_TABLE = 1_000_000  # transitions kept by a worker; beyond it the table starts anew
+MAX_TABLE = 1_000_000  # transitions kept by a worker; later ones are compiled each time
 
 
 class Transducer:
@@ -50,11 +49,10 @@ class Transducer:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.specials = re.compile(b"|".join(re.escape(s) for s in specials)) if specials else None
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.merges = self._ranked(path)
-        self.table: dict[bytes, bytes] = {}
-        self.lengths: dict[bytes, int] = {}
+        self.words: dict[bytes, bytes] = {}  # what a space and these bytes emit
+        self.lengths: dict[bytes, int] = {}  # how many tokens that is
 
     @staticmethod
     def _ranked(path: str):
@@ -69,41 +67,47 @@ class Transducer:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def _library_ids(self, text: bytes) -> list[int]:
+    def _emitted(self, text: bytes, plain: bool) -> list[int]:
+        if plain and self.merges:
+            return self.merges.encode_ordinary(text.decode())
         return self.library.encode(text.decode(), add_special_tokens=False).ids
 
-    def _emitted(self, piece: bytes) -> list[int]:
-        return self.merges.encode_ordinary(piece.decode()) if self.merges else self._library_ids(piece)
-
-    def _plain(self, text: bytes) -> bool:
-        return _OTHER.search(text) is None and (self.specials is None or self.specials.search(text) is None)
+    def _symbols(self, text: bytes) -> tuple[bool, list[bytes]]:
+        """Is the text plain, and its cut before every space; just the text where such a cut may
+        fall inside a run of white space."""
+        plain = (
+            not text.translate(None, _PLAIN)
+            and not any(s in text for s in _SIGNS)
+            and not any(s in text for s in self.specials)
+        )
+        if not plain or any(run in text for run in _RUNS):
+            return plain, [text]
+        return plain, text.split(b" ")
 
     def ids(self, text: bytes) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        if not self._plain(text):
-            return np.array(self._library_ids(text), "<u4").tobytes()
-        pieces, table = _PRE_TOKENS.findall(text), self.table
+        plain, symbols = self._symbols(text)
+        first = array("I", self._emitted(symbols.pop(0), plain)).tobytes()
+        table = self.words
         try:
-            return b"".join(map(table.__getitem__, pieces))
+            return first + b"".join(map(table.__getitem__, symbols))
         except KeyError:
-            if len(table) > MAX_TABLE:
-                table.clear()
-            for piece in set(pieces).difference(table):
-                table[piece] = np.array(self._emitted(piece), "<u4").tobytes()
-            return b"".join(map(table.__getitem__, pieces))
+            fresh = {w: array("I", self._emitted(b" " + w, True)).tobytes() for w in set(symbols).difference(table)}
+        if len(table) < MAX_TABLE:
+            table.update(fresh)
+        return first + b"".join([fresh[w] if w in fresh else table[w] for w in symbols])
 
     def count(self, text: bytes) -> int:
-        if not self._plain(text):
-            return len(self._library_ids(text))
-        pieces, table = _PRE_TOKENS.findall(text), self.lengths
+        plain, symbols = self._symbols(text)
+        first = len(self._emitted(symbols.pop(0), plain))
+        table = self.lengths
         try:
-            return sum(map(table.__getitem__, pieces))
+            return first + sum(map(table.__getitem__, symbols))
         except KeyError:
-            if len(table) > MAX_TABLE:
-                table.clear()
-            for piece in set(pieces).difference(table):
-                table[piece] = len(self._emitted(piece))
-            return sum(map(table.__getitem__, pieces))
+            fresh = {w: len(self._emitted(b" " + w, True)) for w in set(symbols).difference(table)}
+        if len(table) < MAX_TABLE:
+            table.update(fresh)
+        return first + sum([fresh[w] if w in fresh else table[w] for w in symbols])
 
     def state_map(self, chunk: bytes) -> tuple[bytes, int, bytes] | None:
         """(head, tokens between the outer safe cuts, tail); None without a safe cut."""
