@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_classifier, quality_rules, sharding, tokens
+from . import chat_format, decontaminate, packing, quality_classifier, quality_rules, sharding, tokens, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -166,3 +166,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def _base32_sql(digest: str) -> str:
+    """Upper-case base32 of a SHA-1 in hex: 40 digits of 4 bits as 32 letters of 5 bits."""
+    bits = f"array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(CAST('0x' || substr({digest}, i, 1) AS INT)), 4)), '')"
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    value = " + ".join(f"{16 >> k} * CAST(substr({bits}, 5 * i + {k + 1}, 1) AS INT)" for k in range(5))
+    return f"array_to_string(list_transform(range(0, 32), lambda i: substr({letters}, {value} + 1, 1)), '')"
+
+
+SQL["op4_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
+SELECT page_id, payload_bytes, {_base32_sql('hex')} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p"""
