@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_classifier, quality_rules, sharding, tokens, warc
+from . import chat_format, decontaminate, near_duplicates, packing, quality_classifier, quality_rules, sharding, tokens, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -188,3 +188,8 @@ SELECT page_id, payload_bytes, {_base32_sql('hex')} AS payload_digest,
   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM p"""
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
