@@ -10,7 +10,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_duplicates, packing, quality_classifier, quality_rules, sharding, tokens, warc
+from . import (
+    chat_format,
+    decontaminate,
+    near_duplicates,
+    packing,
+    quality_classifier,
+    quality_rules,
+    repeated_passages,
+    sharding,
+    tokens,
+    warc,
+)
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -193,3 +204,8 @@ FROM p"""
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.removal_digests(table(spark, sf_dir, "documents"))
