@@ -13,6 +13,7 @@ those with a name of the ledger's own columns, which the ledger's replace.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -112,12 +113,18 @@ def _blocked(body: Column, stems: Sequence[str]) -> Column:
 def ledger(
     docs: DataFrame, blocked: Sequence[str] = (), rules: Sequence[Rule] = RULES, text: str = "text"
 ) -> DataFrame:
-    """Measurements and ``failures``, the bitmask of failed rules, of every document."""
+    """Measurements and ``failures``, the bitmask of failed rules, of every document.
+
+    The ledger's size and the rules that failed anywhere are observed as it is written. That also
+    keeps filters on verdicts above the measurements: pushed below, they would evaluate these again
+    for every rule and every word.
+    """
     bits = [F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(rules)]
     failures = bits[0]
     for bit in bits[1:]:
         failures = failures.bitwiseOR(bit)
-    return measured(docs, blocked, text).withColumn("failures", failures)
+    rows = measured(docs, blocked, text).withColumn("failures", failures)
+    return rows.observe(f"ledger-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), F.bit_or("failures").alias("failed"))
 
 
 def verdict(policy: str, failures: str = "failures", policies: Mapping[str, Sequence[str]] = POLICIES) -> Column:
