@@ -39,7 +39,7 @@ from .shared_keys import SLICE, rid, shared_keys, short
 LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM + 1  # sampled positions a window chooses its anchor from
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 4 << 20
 NAME = 0xC2B2AE3D27D4EB4F
 
 
@@ -212,21 +212,31 @@ def _answer(rows: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("rid", "doc_id", "first", "last"), columns, strict=True)))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, spans: ranges [first, last) of repeated bytes, apart and in no order."""
-    spark = docs.sparkSession
-    n = 4 * buckets(spark)
-    source = docs.select("doc_id", "text").withColumn("rid", rid()).filter("doc_id is not null and text is not null")
-    source = source.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).filter(F.octet_length("text") >= LENGTH)
-    shared = shared_keys(source, _anchor_keys).groupBy("rid").agg(F.collect_set("key").alias("keys"))
-    marked = source.join(shared, "rid")
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, the text as bytes and the other columns as one, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")
+    return docs.select("doc_id", rid().alias("rid"), F.encode("text", "UTF-8").alias("text"), rest.alias("rest"))
+
+
+def with_spans(named: DataFrame) -> DataFrame:
+    """Rows of ``_named`` with ``spans``: (doc_id, first, last) ranges of repeated bytes [first, last),
+    in no order, of the documents that go by the rid of the row.
+
+    Both joins move the same columns of the same rows by rid, so the texts are shuffled once.
+    """
+    n = 4 * buckets(named.sparkSession)
+    able = named.filter("doc_id is not null and text is not null").filter(F.octet_length("text") >= LENGTH)
+    shared = shared_keys(able.select("rid", "text"), _anchor_keys).groupBy("rid").agg(F.collect_set("key").alias("keys"))
+    marked = named.join(shared, "rid")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(n)
         for batch in batches:
-            keys = [np.sort(np.asarray(k.values if k.is_valid else (), np.int64).view(U64)) for k in batch.column("keys")]
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            keys = [np.sort(np.asarray(k.values, np.int64).view(U64)) for k in batch.column("keys")]
             ids = list(zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), keys, strict=True))
-            for some, texts in text_slices(ids, batch.column("text").to_pylist(), SLICE):
+            for some, texts in text_slices(ids, (t.as_py() for t in batch.column("text")), SLICE):
                 runs.add([s[0] for s in some], [s[1] for s in some], texts, [s[2] for s in some])
                 if runs.bytes >= FLUSH_BYTES:
                     yield runs.rows()
@@ -236,12 +246,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = (
         marked.mapInArrow(send, _RUN_SQL).groupBy("bucket").applyInArrow(_answer, "rid long, doc_id long, first long, last long")
     )
-    return found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = found.groupBy("rid").agg(F.collect_set(F.struct("doc_id", "first", "last")).alias("spans"))
+    return named.join(spans, "rid", "left")
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def _merged(spans: list[dict] | None, doc: int | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for first, last in sorted((s["first"], s["last"]) for s in spans or ()):
+    for first, last in sorted((s["first"], s["last"]) for s in spans or () if s["doc_id"] == doc):
         if out and first <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], last))
         else:
@@ -249,24 +260,20 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with spans and the bytes of the text."""
-    found = repeats(docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("rid", "_rid")
-    rows = docs.drop("spans").withColumn("_key", rid())
-    return rows.join(found, (rows["_key"] == found["_rid"]) & (rows["doc_id"] == found["_doc"]), "left").drop("_key", "_rid", "_doc")
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Scalar, list[tuple[int, int]]]]:
+    """(text, ranges) of every row."""
+    for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+        yield text, _merged(spans.as_py(), doc)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                data, at, kept, removed = memoryview(text.as_buffer()), 0, hashlib.sha256(), 0
-                ranges = _merged(spans)
+            for text, ranges in _rows(batch):
+                data, at, kept, removed = memoryview(text.as_buffer() if text.is_valid else b""), 0, hashlib.sha256(), 0
                 for first, last in ranges:
                     kept.update(data[at:first])
                     removed += last - first
@@ -278,7 +285,8 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], names)
 
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = with_spans(_named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -288,15 +296,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                text if not spans else kept_text(text, _merged(spans))
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
-            ]
-            some = pa.array([not (spans and not text) for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True)], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
+            texts = [text.as_py().decode() if text.is_valid else None for text in batch.column("text")]
+            ranges = [r for _, r in _rows(batch)]
+            texts = [kept_text(text, r) if r else text for text, r in zip(texts, ranges, strict=True)]
+            some = pa.array([not r or text != "" for text, r in zip(texts, ranges, strict=True)], pa.bool_())
+            rest = iter(batch.column("rest").flatten() if len(schema) > 2 else ())
+            own = {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())}
+            columns = [own[f.name] if f.name in own else next(rest) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(some)
 
-    return _with_spans(docs).mapInArrow(cut, schema)
+    return with_spans(_named(docs)).mapInArrow(cut, schema)
 
 
 def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
