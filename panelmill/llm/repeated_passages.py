@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ from .shared_keys import SLICE, rid, shared_keys, short
 LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM + 1  # sampled positions a window chooses its anchor from
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 6 << 20
 NAME = 0xC2B2AE3D27D4EB4F
 
 
@@ -141,7 +142,7 @@ class _Runs:
             if len(told):
                 out.append(self._row(self.turn % self.n, True, told, key, owner, first, size, None, None, rids, docs))
             bucket = (mixed(key[ask]) % U64(self.n)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((key[ask], bucket))  # equal anchors side by side compress best
             ends = np.searchsorted(bucket[by], np.arange(self.n + 1))
             for b in range(self.n):
                 here = ask[by[ends[b] : ends[b + 1]]]
@@ -153,7 +154,7 @@ class _Runs:
     @staticmethod
     def _row(bucket, own, at, key, owner, first, size, text, begin, rids, docs) -> tuple:
         used, local = np.unique(owner[at], return_inverse=True)
-        body = b"" if text is None else text[_spread(begin[at], size[at])].tobytes()
+        body = b"" if text is None else zstandard.compress(text[_spread(begin[at], size[at])].tobytes(), 3)
         return (
             bucket, own, rids[used].tobytes(), docs[used].tobytes(), key[at].astype("<u8").tobytes() if text is not None else b"",
             local.astype("<u4").tobytes(), first[at].astype("<i8").tobytes(), size[at].astype("u1").tobytes(), body,
@@ -184,7 +185,8 @@ def _answer(rows: pa.Table) -> pa.Table:
         if row["own"]:
             out.append((r, d, f, f + s))
         else:
-            for part, value in zip((rid_, doc, key, first, size, text), (r, d, np.frombuffer(row["key"], "<u8"), f, s, np.frombuffer(row["text"], np.uint8)), strict=True):
+            body = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
+            for part, value in zip((rid_, doc, key, first, size, text), (r, d, np.frombuffer(row["key"], "<u8"), f, s, body), strict=True):
                 part.append(value)
     if key:
         rid_, doc, key, first, size, text = (np.concatenate(x) for x in (rid_, doc, key, first, size, text))
