@@ -40,7 +40,7 @@ from .shared_keys import SLICE, rid, shared_keys, short
 LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM + 1  # sampled positions a window chooses its anchor from
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 3 << 20
 NAME = 0xC2B2AE3D27D4EB4F
 
 
@@ -137,7 +137,7 @@ class _Runs:
             new[1:] = name[order][1:] != name[order][:-1]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             later = docs[owner[order]] > docs[owner[order][lead]]
-            told, ask = order[later], np.sort(order[new])
+            told, ask = order[later], np.sort(order[~later])
             self.turn += 1
             if len(told):
                 out.append(self._row(self.turn % self.n, True, told, key, owner, first, size, None, None, rids, docs))
@@ -190,30 +190,42 @@ def _answer(rows: pa.Table) -> pa.Table:
                 part.append(value)
     if key:
         rid_, doc, key, first, size, text = (np.concatenate(x) for x in (rid_, doc, key, first, size, text))
-        names = gram_hashes(text.astype(U64) + U64(1), LENGTH)
         begin = np.cumsum(size) - size
-        windows = size - LENGTH + 1
-        run = np.repeat(np.arange(len(size)), windows)
-        at = _spread(begin, windows)
-        name = mixed(names[at] + mixed(key)[run] * U64(NAME))
-        by_doc = np.argsort(doc[run], kind="stable")
-        order = by_doc[np.argsort(name[by_doc], kind="stable")]
-        sorted_name, sorted_doc = name[order], doc[run][order]
-        new = np.ones(len(order), bool)
-        new[1:] = sorted_name[1:] != sorted_name[:-1]
-        least = sorted_doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        hit = order[sorted_doc > least]
-        inside = at[hit] - begin[run[hit]]
-        low = np.full(len(size), LENGTH)
-        high = np.full(len(size), -1)
-        np.minimum.at(low, run[hit], inside)
-        np.maximum.at(high, run[hit], inside)
-        some = high >= 0
-        out.append((rid_[some], doc[some], (first + low)[some], (first + high + LENGTH)[some]))
+        # A part of the anchors at a time, about FLUSH_BYTES of text.
+        part = (mixed(key ^ U64(NAME)) % U64(len(text) // FLUSH_BYTES + 1)).astype(np.int64)
+        for p in range(len(text) // FLUSH_BYTES + 1):
+            some = np.flatnonzero(part == p)
+            if len(some):
+                low, high = _earlier(text[_spread(begin[some], size[some])], size[some], key[some], doc[some])
+                hit = high >= 0
+                some = some[hit]
+                out.append((rid_[some], doc[some], first[some] + low[hit], first[some] + high[hit] + LENGTH))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
     return pa.table(dict(zip(("rid", "doc_id", "first", "last"), columns, strict=True)))
 
 
+def _earlier(text: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of every run that a smaller document has under the same anchor."""
+    names = gram_hashes(text.astype(U64) + U64(1), LENGTH)
+    begin = np.cumsum(size) - size
+    windows = size - LENGTH + 1
+    run = np.repeat(np.arange(len(size)), windows)
+    at = _spread(begin, windows)
+    name = mixed(names[at] + mixed(key)[run] * U64(NAME))
+    by_doc = np.argsort(doc[run], kind="stable")
+    order = by_doc[np.argsort(name[by_doc], kind="stable")]
+    sorted_name, sorted_doc = name[order], doc[run][order]
+    new = np.ones(len(order), bool)
+    new[1:] = sorted_name[1:] != sorted_name[:-1]
+    least = sorted_doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    hit = order[sorted_doc > least]
+    inside = at[hit] - begin[run[hit]]
+    low, high = np.full(len(size), LENGTH), np.full(len(size), -1)
+    np.minimum.at(low, run[hit], inside)
+    np.maximum.at(high, run[hit], inside)
+    return low, high
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """doc_id, rid, the text as bytes and the other columns as one, whatever their names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
