@@ -168,11 +168,11 @@ def blocked_stems(
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(some), "doc_id")  # max_rows rows
     words = F.filter(F.array_distinct(F.split(F.lower("_text"), NOT_LETTERS)), lambda w: F.length(w) >= 4)
     stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, k) for k in (4, 5, 6)]))))
+    toxic = some.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
     found = (
         rows.select("toxic", F.explode(stems).alias("stem"))
         .groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
-        .join(F.broadcast(some.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("_all"))))  # one row
-        .filter((F.col("hits") >= F.greatest(F.lit(3), support * F.col("_all"))) & (F.col("hits") >= share * F.col("n")))
+        .filter((F.col("hits") >= max(3, support * toxic)) & (F.col("hits") >= share * F.col("n")))
         .orderBy(F.desc("hits"), "stem").limit(max_stems)
     )
     stems = {row.stem for row in found.select("stem").collect()}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, buckets, text_slices
 
-SLICE = 1 << 20  # bytes of text hashed at once
+SLICE = 1 << 19  # bytes of text hashed at once
 FLUSH_KEYS, FLUSH_DOCS = 1 << 20, 60_000  # what a task gathers before it sends
 
 ENTRY, ANSWER, FACTS = 0, 1, 2

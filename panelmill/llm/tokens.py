@@ -36,7 +36,7 @@ _PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0
 _SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 _RUNS = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")  # a space that does not start its white space
 _CUT = re.compile(rb"(?<=[!-~])(?=[ \t\n\r\x0b\x0c])")
-MAX_TABLE = 1_000_000  # transitions kept by a worker; later ones are compiled each time
+MAX_TABLE = 250_000  # transitions kept by a worker; later ones are compiled each time
 
 
 class Transducer:
