@@ -57,7 +57,7 @@ def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark windows; mostly contaminated documents go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _recounted(decontaminate.cleaned(decontaminate.contamination(docs, benchmark)), docs.columns)
+    return _recounted(decontaminate.decontaminated(docs, benchmark), docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,6 +194,22 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, carry_text: bool = True
 ) -> DataFrame:
     """``docs`` with n_words, spans (hit word ranges) and items (ids of the items found, sorted)."""
+    rows, last = _through_blocks(docs, benchmark, window, block_words)
+    schema = rows.schema if carry_text else T.StructType([f for f in rows.schema if f.name != "text"])
+    return _streamed(rows, last, schema)
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, max_coverage: float = 0.5
+) -> DataFrame:
+    """``docs`` without hit spans: rows with more than ``max_coverage`` of their words hit go, the
+    others lose the spans, from the first letter to the last."""
+    rows, last = _through_blocks(docs, benchmark, window, block_words)
+    return _streamed(rows, last, rows.schema, max_coverage).drop(*RESULTS.names)
+
+
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int):
+    """Rows with the results of all blocks but the last, and that one as a broadcast."""
     spark = docs.sparkSession
     rows = docs.drop(*RESULTS.names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in RESULTS})
     before: SuffixAutomaton | None = None
@@ -201,11 +217,11 @@ def contamination(
         if before is not None:
             rows = saved(_streamed(rows, spark.sparkContext.broadcast(before), rows.schema))
         before = block
-    schema = rows.schema if carry_text else T.StructType([f for f in rows.schema if f.name != "text"])
-    return _streamed(rows, spark.sparkContext.broadcast(before), schema)
+    return rows, spark.sparkContext.broadcast(before)
 
 
-def _streamed(rows: DataFrame, shared, schema: T.StructType) -> DataFrame:
+def _streamed(rows: DataFrame, shared, schema: T.StructType, max_coverage: float | None = None) -> DataFrame:
+    """Match ``rows`` against one automaton; with ``max_coverage``, clean them as well."""
     keep = [f.name for f in schema if f.name not in RESULTS.names]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +240,16 @@ def _streamed(rows: DataFrame, shared, schema: T.StructType) -> DataFrame:
                 items.append(sorted(ids.union(old_items or ())))
             span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
             new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, *RESULTS.names])
+            old = {c: batch.column(c) for c in keep}
+            if max_coverage is not None:
+                ranges = [[(s["first"], s["last"]) for s in some] for some in spans]
+                old["text"] = pa.array(
+                    [without_words(t.as_py(), r) if r else t.as_py() for t, r in zip(batch.column("text"), ranges, strict=True)], pa.string()
+                )
+                few = [sum(b - a + 1 for a, b in r) <= max_coverage * n for r, n in zip(ranges, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS.names]).filter(pa.array(few, pa.bool_()))
+                continue
+            yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS.names])
 
     return rows.mapInArrow(stream, T.StructType([*(f for f in schema if f.name in keep), *RESULTS]))
 
@@ -234,24 +259,6 @@ def n_hit():
     return F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
 
 
-def cleaned(rows: DataFrame, max_coverage: float = 0.5) -> DataFrame:
-    """Rows of ``contamination`` without their hit spans: rows with more than ``max_coverage`` of
-    their words hit go, the others lose the spans, from the first letter to the last."""
-    rows = rows.filter((F.col("n_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    schema = T.StructType([f for f in rows.schema if f.name not in RESULTS.names])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                without_words(text, [(s["first"], s["last"]) for s in spans]) if spans else text
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
-            ]
-            columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return rows.mapInArrow(cut, schema)
-
-
 def without_words(text: str, spans: Sequence[tuple[int, int]]) -> str:
     data = text.encode()
     wordy = np.frombuffer(data.translate(LOWER), np.uint8) != 32
