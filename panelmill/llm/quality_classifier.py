@@ -159,7 +159,7 @@ def learned(
 
     counts = rows.select("text", *HEADS).mapInArrow(count, "feature long, n long, low long, toxic long")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(h) for h in HEADS]).first()
-    prior = tuple(float(np.log((totals[h] + 0.5) / (totals["n"] - totals[h] + 0.5))) for h in HEADS)
+    prior = tuple(float(np.log((totals[h] + 0.5) / (totals["n"] - totals[h] + 1.5))) for h in HEADS)
 
     def ratio(head: str) -> Column:
         yes, no = totals[head] + 1.0, totals["n"] - totals[head] + 1.0
