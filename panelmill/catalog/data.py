@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.groups import shared_dir
+from ..functions.groups import keep_last, shared_dir
 from ..operators import cross_section as xs
 from ..operators import quality as dq
 from ..operators import timeseries as ts
@@ -459,14 +459,15 @@ def keep_last_per_key(spark, sf_dir):
     lines = market.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"
     )
-    kept = dq.keep_first(lines, ["l_orderkey", "l_linenumber"], F.struct(F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey")))
+    kept = keep_last(lines, ["l_orderkey", "l_linenumber"], F.struct(F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey")))
     return kept.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("l_shipdate"), "l_partkey")
 
 
 SQL["keep_last_per_key"] = ask(
     "",
     """SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (
-         PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS rk FROM lineitem) WHERE rk = 1""",
+         PARTITION BY l_orderkey, l_linenumber
+         ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rk FROM lineitem) WHERE rk = 1""",
     "l_orderkey i:l_linenumber l_shipdate l_partkey",
 )
 
