@@ -155,12 +155,26 @@ class _Runs:
     def _row(bucket, own, at, key, owner, first, size, text, begin, rids, docs) -> tuple:
         used, local = np.unique(owner[at], return_inverse=True)
         body = b"" if text is None else zstandard.compress(text[_spread(begin[at], size[at])].tobytes(), 3)
+        # Equal windows have equal anchors, so of the anchor the bucket only needs a mark to part by.
+        mark = b"" if text is None else _planes(mixed(key[at] ^ U64(NAME)) >> U64(48), "<u2")
         return (
-            bucket, own, rids[used].tobytes(), docs[used].tobytes(), key[at].astype("<u8").tobytes() if text is not None else b"",
-            local.astype("<u4").tobytes(), first[at].astype("<i8").tobytes(), size[at].astype("u1").tobytes(), body,
+            bucket, own, rids[used].tobytes(), _planes(docs[used], "<i8"), mark,
+            _planes(local, "<u4"), _planes(first[at], "<u4"), _planes(size[at], "u1"), body,
         )
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers, compressed with their low bytes first and their high bytes last."""
+    raw = values.astype(kind).view(np.uint8).reshape(len(values), -1)
+    return zstandard.compress(raw.T.tobytes(), 3)
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    """The numbers of ``_planes``."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel().astype(np.int64)
+
+
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indexes of the ranges [begin, begin + size), one after the other."""
     total = int(size.sum())
@@ -179,20 +193,20 @@ def _answer(rows: pa.Table) -> pa.Table:
     """Ranges of bytes, per document, that a smaller document has as well."""
     rid_, doc, key, first, size, text, out = [], [], [], [], [], [], []
     for row in rows.to_pylist():
-        owner = np.frombuffer(row["owner"], "<u4")
-        r, d = np.frombuffer(row["rids"], np.int64)[owner], np.frombuffer(row["docs"], np.int64)[owner]
-        f, s = np.frombuffer(row["first"], "<i8"), np.frombuffer(row["size"], "u1").astype(np.int64)
+        owner = _numbers(row["owner"], "<u4")
+        r, d = np.frombuffer(row["rids"], np.int64)[owner], _numbers(row["docs"], "<i8")[owner]
+        f, s = _numbers(row["first"], "<u4"), _numbers(row["size"], "u1")
         if row["own"]:
             out.append((r, d, f, f + s))
         else:
             body = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
-            for part, value in zip((rid_, doc, key, first, size, text), (r, d, np.frombuffer(row["key"], "<u8"), f, s, body), strict=True):
+            for part, value in zip((rid_, doc, key, first, size, text), (r, d, _numbers(row["key"], "<u2"), f, s, body), strict=True):
                 part.append(value)
     if key:
         rid_, doc, key, first, size, text = (np.concatenate(x) for x in (rid_, doc, key, first, size, text))
         begin = np.cumsum(size) - size
         # A part of the anchors at a time, about FLUSH_BYTES of text.
-        part = (mixed(key ^ U64(NAME)) % U64(len(text) // FLUSH_BYTES + 1)).astype(np.int64)
+        part = key % (len(text) // FLUSH_BYTES + 1)
         for p in range(len(text) // FLUSH_BYTES + 1):
             some = np.flatnonzero(part == p)
             if len(some):
@@ -211,7 +225,7 @@ def _earlier(text: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarra
     windows = size - LENGTH + 1
     run = np.repeat(np.arange(len(size)), windows)
     at = _spread(begin, windows)
-    name = mixed(names[at] + mixed(key)[run] * U64(NAME))
+    name = mixed(names[at] + mixed(key.astype(U64))[run] * U64(NAME))
     by_doc = np.argsort(doc[run], kind="stable")
     order = by_doc[np.argsort(name[by_doc], kind="stable")]
     sorted_name, sorted_doc = name[order], doc[run][order]
