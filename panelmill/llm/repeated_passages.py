@@ -165,7 +165,7 @@ class _Runs:
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """Numbers, compressed with their low bytes first and their high bytes last."""
-    raw = values.astype(kind).view(np.uint8).reshape(len(values), -1)
+    raw = values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
     return zstandard.compress(raw.T.tobytes(), 3)
 
 

@@ -141,3 +141,9 @@ def test_pipeline_hands_on_its_decisions(spark, small):
         docs = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_packed_numbers_come_back():
+    for kind, values in (("<i8", [-1, 0, 2**62, -(2**63)]), ("<u4", [0, 1, 2**32 - 1]), ("<u2", [65535]), ("u1", [80, 50]), ("<u4", [])):
+        back = repeated_passages._numbers(repeated_passages._planes(np.array(values, np.int64), kind), kind)
+        assert back.tolist() == values
