@@ -63,6 +63,26 @@ def test_components_match_brute_force(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_late_bridge_between_components_of_one_lot(spark):
+    lots = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(near_duplicates.PIVOTS)).alias("lot")).collect()
+    second = next(i for i in range(100, 900) if lots[i].lot == lots[0].lot)
+
+    def text(changed):
+        return " ".join(f"new{k}" if k % 15 == 7 and k // 15 < changed else f"w{k}" for k in range(200))
+
+    # The last document of either component lies between them; as the largest id it is no early pivot.
+    some = [(k, 0) for k in range(30)] + [(second + k, 12) for k in range(30)]
+    some = [(i, text(4 if i == 29 else 8 if i == second + 29 else n)) for i, n in some]
+    rows = [(10_000 + i if i in (29, second + 29) else i, t, i) for i, t in some]
+    index = [(sig, i, 196, doc_id) for doc_id, _, i in rows for sig in (1, 2 if i < 100 else 3)]
+    texts = spark.createDataFrame([(i, t.encode()) for _, t, i in rows], "rid long, text binary")
+    got = near_duplicates._linked(spark.createDataFrame(index, "sig long, rid long, n long, doc_id long"), texts, 8).collect()
+    want = brute_components([(i, t) for _, t, i in rows])
+    assert {r.node: r.component for r in got} == {i: label for i, (_, label) in want.items()}
+    assert len({label for _, label in want.values()}) == 1
+    assert len({label for _, label in brute_components([(i, t) for _, t, i in rows if i != 29]).values()}) == 2
+
+
 def brute_kept(rows):
     seen, out = set(), {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
