@@ -185,14 +185,14 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
-def text_slices(ids: Iterable, texts: Iterable[bytes], size: int):
-    """Groups of whole texts of about ``size`` bytes: (ids, texts)."""
+def text_slices(ids: Iterable, texts: Iterable[bytes], size: int, most: int | None = None):
+    """Groups of whole texts of about ``size`` bytes, ``most`` texts at most: (ids, texts)."""
     got, some_ids, some = 0, [], []
     for i, t in zip(ids, texts, strict=True):
         some_ids.append(i)
         some.append(t)
         got += len(t)
-        if got >= size:
+        if got >= size or len(some) == most:
             yield some_ids, some
             got, some_ids, some = 0, [], []
     if some:

@@ -71,7 +71,12 @@ class _Flush:
     def full(self) -> bool:
         return self.size >= FLUSH_KEYS or len(self.rids) >= FLUSH_DOCS
 
+    def takes(self, n: int) -> bool:
+        """Whether n documents more leave every owner a number below ALONE."""
+        return len(self.rids) + n <= ALONE
+
     def rows(self) -> pa.RecordBatch:
+        assert len(self.rids) <= ALONE, f"{len(self.rids)} documents do not fit 16-bit numbers"
         keys, owners = np.concatenate(self.keys), np.concatenate(self.owners).astype("<u2")
         rids = np.array(self.rids, np.int64)
         order = np.argsort(keys, kind="stable")
@@ -114,8 +119,10 @@ def shared_keys(docs: DataFrame, keys_of: Callable, n_facts: int = 0) -> DataFra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = None
         for batch in batches:
-            for rids, texts in text_slices(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), SLICE):
+            for rids, texts in text_slices(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), SLICE, FLUSH_DOCS):
                 flush = flush or _Flush(n, rids[0] % n)
+                if not flush.takes(len(rids)):
+                    yield flush.rows()
                 flush.add(rids, *keys_of(texts))
                 if flush.full():
                     yield flush.rows()

@@ -7,9 +7,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from panelmill.llm import common, near_duplicates, quality_classifier, repeated_passages, sharding
+from panelmill.llm import common, near_duplicates, quality_classifier, repeated_passages, sharding, shared_keys
 
 KIND = "doc_id long, text string, n bigint, rid string"
 
@@ -163,6 +164,25 @@ def test_pipeline_hands_on_its_decisions(spark, small):
     assert pieces.select("doc_id").distinct().count() == docs.count()
 
 
+def test_flush_holds_what_its_numbers_can_name(spark):
+    """Some long texts so that a flush ends in mid-batch, then many short ones in the same task."""
+    def keys_of(texts):  # the numbers of a text
+        each = [[int(k) << 16 for k in t.split()] for t in texts]
+        return np.array([k for e in each for k in e], np.uint64), np.repeat(np.arange(len(each)), [len(e) for e in each]), None
+
+    texts = [" ".join(str(10**6 + 200_000 * i + k) for k in range(180_000)) for i in range(6)]  # over FLUSH_KEYS keys
+    texts += [str(i % 35_000) for i in range(70_000)]  # every key in two documents
+    rows = spark.createDataFrame(pd.DataFrame({"rid": range(len(texts)), "text": [t.encode() for t in texts]})).coalesce(1)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in (10_000, 100_000):
+        spark.conf.set(conf, size)
+        try:
+            found = shared_keys.shared_keys(rows, keys_of).select("rid", "key").toPandas()
+        finally:
+            spark.conf.unset(conf)
+        assert sorted(zip(found.rid, found.key, strict=True)) == [(i + 6, i % 35_000) for i in range(70_000)]
+
+
 def test_packed_numbers_come_back():
     for kind, values in (("<i8", [-1, 0, 2**62, -(2**63)]), ("<u4", [0, 1, 2**32 - 1]), ("<u2", [65535]), ("u1", [80, 50]), ("<u4", [])):
         back = repeated_passages._numbers(repeated_passages._planes(np.array(values, np.int64), kind), kind)
