@@ -3,10 +3,13 @@
 A link is shared membership of a group (``members``: id, group), so a group of n documents
 costs n rows and never its pairs. Linked documents start in equal shares over all shards. In
 each round every document looks at where its groups' members are and asks for a shard that
-holds many of them; a shard admits as many as it has room for, largest groups first. Documents
-without links then fill the rooms left. Law ``rows``: shard sizes differ by one at most.
+holds many of them. Who leaves a shard makes room in it: what is admitted are cycles of moves
+(swaps are the shortest) and paths to free room, largest groups first. A round counts if fewer
+links are cut after it; after one that does not, groups ask for a shard with room for all of them,
+then for any of theirs at random, until several such rounds in a row. Documents without links then
+fill the rooms left. Law ``rows``: shard sizes differ by one at most.
 
-A group larger than a shard asks for as many shards as it fills, its members spread over those.
+A group larger than a shard starts side by side and asks for as many shards as it fills.
 Only built-in functions are used. No group, shard or hot key is brought into one task: votes are
 counts per (group, shard) with map-side combining, and queues are numbered over range slices.
 
@@ -16,6 +19,7 @@ repeated rows are separate documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,83 +31,142 @@ def quotas(total: int, n_shards: int) -> list[int]:
 
 
 def _at(values: list[int], index: Column) -> Column:
-    """values[index] for a column of indexes; one value per shard."""
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index.cast("int") + 1)
-
-
-def _counts(table: DataFrame, n_shards: int) -> list[int]:
-    got = {r["shard"]: r["n"] for r in table.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_shards rows
-    return [got.get(s, 0) for s in range(n_shards)]
-
-
-def balanced_shards(nodes: DataFrame, group: str, n_shards: int, rounds: int = 4, salts: int = 32) -> DataFrame:
+    """values[index] for a column of indexes."""
+    return F.element_at(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), index.cast("int") + 1)
+
+
+def _place(ends: list[int], at: str) -> Column:
+    """The shard whose end is the first above ``at``."""
+    limits = F.expr(f"array({', '.join(f'{e}L' for e in ends)})")
+    return F.size(F.filter(limits, lambda e: e <= F.col(at))).cast("int")
+
+
+def flows(asked: np.ndarray, room: list[int]) -> np.ndarray:
+    """How many of asked[s, t], who want to go from s to t, may go: what enters a shard is at most
+    what leaves it and its room. Cycles are taken out until none is left, each with an arc, of
+    which there are n_shards squared; then rooms are filled, and who fills one leaves another."""
+    n = len(room)
+    left = np.array(asked, np.int64)
+    np.fill_diagonal(left, 0)
+    start = left.copy()
+    left -= np.minimum(left, left.T)
+    ended, walked = np.zeros(n, bool), np.zeros(n, bool)
+    for s in range(n):
+        path = [] if ended[s] else [s]
+        walked[path] = True
+        while path:
+            ways = np.flatnonzero((left[path[-1]] > 0) & ~ended)
+            if not len(ways):
+                ended[path[-1]], walked[path[-1]] = True, False
+                path.pop()
+                continue
+            back = ways[walked[ways]]
+            if not len(back):
+                path.append(int(ways[0]))
+                walked[path[-1]] = True
+                continue
+            at = path.index(back[0])
+            loop = path[at:]
+            arcs = (loop, [*loop[1:], loop[0]])
+            left[arcs] -= left[arcs].min()
+            walked[loop[1:]] = False
+            path = path[: at + 1]
+    free = np.array(room)
+    while len(found := np.argwhere((left > 0) & (free > 0))):
+        s, t = found[0]
+        some = min(left[s, t], free[t])
+        left[s, t] -= some
+        free[t] -= some
+        free[s] += some
+    return start - left
+
+
+def _votes(placed: DataFrame) -> tuple[DataFrame, int]:
+    """Members per group and shard, and the number of (ordered) pairs of members in one shard."""
+    votes = saved(placed.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size")))
+    return votes, int(votes.agg(F.sum(F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)"))).first()[0] or 0)
+
+
+def balanced_shards(nodes: DataFrame, group: str, n_shards: int, patience: int = 4, salts: int = 32) -> DataFrame:
     """``nodes`` with ``shard`` (int). ``group``: column naming a node's group; null: no links.
 
-    Returns all rows and columns of ``nodes``; cut links are what the rounds left apart.
+    Returns all rows and columns of ``nodes``; rounds go on until ``patience`` of them in a row
+    cut no fewer links.
     """
     work = saved(nodes.withColumn("_row", F.monotonically_increasing_id()))
     total = work.count()
     quota = quotas(total, n_shards)
+    fits = max(1, total // n_shards)
     sizes = work.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     # Salted: a group of a third of all rows meets its size in as many tasks as there are salts.
     spread = sizes.select(group, "_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     narrow = work.select("_row", group, (F.col("_row") % salts).cast("int").alias("_salt"))
-    linked = narrow.join(spread, [group, "_salt"]).select("_row", F.xxhash64(group).alias("_group"), "_size")
-    placed = numbered(linked, [], [F.xxhash64("_row"), "_row"], "_n").select(
-        "_row", "_group", "_size", (F.col("_n") % n_shards).cast("int").alias("shard")
-    )
-    placed = saved(placed)
-    fits = max(1, total // n_shards)
-    for _ in range(rounds):
-        room = [q - n for q, n in zip(quota, _counts(placed, n_shards), strict=True)]
-        votes = placed.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size"))
+    linked = saved(narrow.join(spread, [group, "_salt"]).select("_row", F.xxhash64(group).alias("_group"), "_size"))
+    counts = np.array(quotas(linked.count(), n_shards))
+    large = F.col("_size") >= fits
+    order = [F.desc(F.when(large, F.col("_size")).otherwise(0)), F.when(large, F.col("_group")).otherwise(0), F.xxhash64("_row"), "_row"]
+    active = saved(numbered(linked, [], order, "_n").select("_row", "_group", "_size", _place(counts.cumsum().tolist(), "_n").alias("shard")))
+    discard(linked)
+    columns, settled, turn, stalled = active.columns, [], 0, 0
+    votes, together = _votes(active)
+    while stalled < patience:
         # Per group its shards, most members first; at most n_shards entries.
+        tie = F.xxhash64("_group", "shard", F.lit(turn))
+        room = np.array(quota) - counts
+        score = F.col("_n")
+        if stalled == 1:
+            score = score + F.when(F.col("_size") - F.col("_n") <= _at(room.tolist(), F.col("shard")), F.lit(total)).otherwise(F.lit(0))
+        elif stalled:
+            score = score * F.pmod(tie, F.lit(1 << 20))
         ranked = votes.groupBy("_group").agg(
             F.max("_size").alias("_all"),
-            F.reverse(F.array_sort(F.collect_list(F.struct("_n", F.xxhash64("_group", "shard").alias("_tie"), "shard")))).alias("_votes"),
+            F.reverse(F.array_sort(F.collect_list(F.struct(score.alias("_score"), tie.alias("_tie"), "shard")))).alias("_votes"),
         )
         wanted = F.ceil(F.col("_all") / fits).cast("int")
-        best = F.slice(F.col("_votes.shard"), 1, wanted)
-        # Where to go: of the wanted shards those with room, else the fullest one with room.
-        with_room = F.filter(F.col("_votes.shard"), lambda s: _at(room, s) > 0)
-        ranked = ranked.select(
-            "_group", best.alias("_best"),
-            F.when(
-                F.size(F.array_intersect(best, with_room)) > 0, F.array_intersect(best, with_room)
-            ).otherwise(F.slice(with_room, 1, wanted)).alias("_goals"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        ranked = ranked.filter(F.size("_votes") > wanted).select(
+            "_group", F.slice(F.col("_votes.shard"), 1, wanted).alias("_best"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
         )
-        asked = (
-            placed.withColumn("_salt", (F.col("_row") % salts).cast("int"))
-            .join(ranked, ["_group", "_salt"])
-            .withColumn(
-                "_goal",
-                F.when(F.array_contains("_best", F.col("shard")) | (F.size("_goals") == 0), F.col("shard")).otherwise(
-                    F.element_at("_goals", (F.pmod(F.xxhash64("_row"), F.size("_goals")) + 1).cast("int"))
-                ),
-            )
-            .drop("_best", "_goals", "_salt")
+        goal = F.element_at("_best", (F.pmod(F.xxhash64("_row", F.lit(turn)), F.size("_best")) + 1).cast("int"))
+        asked = saved(
+            active.withColumn("_salt", (F.col("_row") % salts).cast("int"))
+            .join(ranked, ["_group", "_salt"], "left")
+            .select(*columns, F.when(F.array_contains("_best", F.col("shard")), F.col("shard")).otherwise(goal).alias("_goal"))
         )
-        asked = saved(asked)
-        movers = asked.filter("_goal != shard")
-        if movers.isEmpty():
-            discard(asked)
+        if not stalled:  # groups in no more shards than they fill stay where they are
+            settled.append(asked.filter("_goal is null").select(*columns))
+            active = asked.filter("_goal is not null").select(*columns)
+            votes = votes.join(ranked.select("_group").distinct(), "_group", "left_semi")
+            together = int(votes.agg(F.sum(F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)"))).first()[0] or 0)
+        turn += 1
+        movers = asked.filter("_goal <> shard")
+        wishes = np.zeros((n_shards, n_shards), np.int64)
+        for r in movers.groupBy("shard", "_goal").agg(F.count(F.lit(1)).alias("n")).collect():  # n_shards squared
+            wishes[r["shard"], r["_goal"]] = r["n"]
+        if not wishes.any():
             break
-        queue = numbered(movers, ["_goal"], [F.desc("_size"), "_group", "_row"], "_place")
-        admitted = queue.withColumn("shard", F.when(F.col("_place") < _at(room, F.col("_goal")), F.col("_goal")).otherwise(F.col("shard")))
-        after = saved(admitted.select(*placed.columns).unionByName(asked.filter("_goal = shard").select(*placed.columns)))
-        discard(placed, asked)
-        placed = after
+        flow = flows(wishes, room.tolist())
+        if not flow.any():
+            stalled += 1
+            continue
+        queue = numbered(movers, ["shard", "_goal"], [F.desc("_size"), "_group", "_row"], "_place")
+        may = F.col("_place") < _at(flow.reshape(-1).tolist(), F.col("shard") * n_shards + F.col("_goal"))
+        after = queue.withColumn("shard", F.when(may, F.col("_goal")).otherwise(F.col("shard"))).select(*columns)
+        after = saved(after.unionByName(asked.filter("_goal = shard").select(*columns)))
+        votes_after, together_after = _votes(after)
+        if together_after > together:
+            active, votes, together, stalled = after, votes_after, together_after, 0
+            counts = counts + flow.sum(0) - flow.sum(1)
+        else:
+            discard(after, votes_after)
+            stalled += 1
+    placed = active
+    for table in settled:
+        placed = placed.unionByName(table)
+    placed = saved(placed)
     # Documents without links take the rooms left, in shard order.
-    room = [q - n for q, n in zip(quota, _counts(placed, n_shards), strict=True)]
-    ends, end = [], 0
-    for r in room:
-        end += r
-        ends.append(end)
+    ends = (np.array(quota) - counts).cumsum().tolist()
     alone = work.select("_row").join(placed.select("_row"), "_row", "left_anti")
-    filled = numbered(alone, [], [F.xxhash64("_row"), "_row"], "_n")
-    limits = F.array(*[F.lit(e).cast("long") for e in ends])
-    filled = filled.select("_row", F.size(F.filter(limits, lambda e: e <= F.col("_n"))).cast("int").alias("shard"))
+    filled = numbered(alone, [], [F.xxhash64("_row"), "_row"], "_n").select("_row", _place(ends, "_n").alias("shard"))
     return work.join(filled.unionByName(placed.select("_row", "shard")), "_row").drop("_row")
 
 

@@ -133,6 +133,30 @@ def test_shards_are_even_and_keep_groups_together(spark):
     assert sharding.shard_documents(rows.limit(0), 8).count() == 0
 
 
+def test_shards_of_a_table_in_which_every_text_has_a_copy(spark):
+    for texts, apart in ([f"text {i % 100}" for i in range(200)], 8), (["hot"] * 80 + [f"text {i % 60}" for i in range(120)], 12):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sharding.shard_documents(rows, 8).toPandas()
+        sizes = got.groupby("shard").size()
+        assert len(got) == len(texts) and sorted(sizes) == [25] * 8
+        got["text"] = [texts[i] for i in got.doc_id]
+        spread = got.groupby("text").shard.nunique()
+        assert (spread.drop("hot", errors="ignore") > 1).sum() <= apart and spread.get("hot", 1) <= 5
+
+
+def test_flows_fill_rooms_and_close_cycles():
+    pick = np.random.default_rng(1)
+    for n in (1, 2, 5, 12):
+        for _ in range(20):
+            asked, room = pick.integers(0, 4, (n, n)) * (pick.random((n, n)) < 0.4), pick.integers(0, 3, n).tolist()
+            np.fill_diagonal(asked, 0)
+            flow = sharding.flows(asked, room)
+            free = np.array(room) - flow.sum(0) + flow.sum(1)
+            assert (flow >= 0).all() and (flow <= asked).all() and (free >= 0).all()
+            assert not (asked - flow)[:, free > 0].any()  # nobody waits for a shard with room
+    assert sharding.flows(np.array([[0, 2, 0], [0, 0, 3], [4, 0, 0]]), [0, 0, 0]).tolist() == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+
+
 def test_classifier_holds_out(spark, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     path = F.concat_ws("/", "source", "lang")
