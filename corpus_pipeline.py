@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelmill.llm import decontaminate, near_duplicates, packing, quality_rules, repeated_passages
 from panelmill.llm.common import saved
 
-POLICY = "v2"
+POLICY = "v3"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -39,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that no rule of the policy fails."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     blocked = quality_rules.blocked_stems(docs, labels)
-    return quality_rules.ledger(docs, blocked).filter(quality_rules.verdict(POLICY)).select(*docs.columns)
+    repeated = quality_rules.repeated_stems(docs, labels)
+    return quality_rules.ledger(docs, blocked, repeated=repeated).filter(quality_rules.verdict(POLICY)).select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

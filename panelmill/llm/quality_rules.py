@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,7 +26,8 @@ SYMBOLS = "[#*$%&|<>]"
 NOT_LETTERS = "[^\\p{L}]+"
 
 MEASURES = (
-    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_blocked"
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_blocked",
+    "n_repeated_stems",
 )
 
 
@@ -45,13 +46,17 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", "100 * n_symbols > 10 * n_words"),
     Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("blocked_stems", "n_blocked > 0"),
+    Rule("repeated_stems", "n_repeated_stems > 0"),
 )
 BASE_RULES = ("few_words", "repeated_windows")
+V1_RULES = (*BASE_RULES, "short_words", "long_words", "symbols", "duplicate_lines")
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE_RULES,
-    "v1": (*BASE_RULES, "short_words", "long_words", "symbols", "duplicate_lines"),
-    "v2": tuple(rule.name for rule in RULES),
+    "v1": V1_RULES,
+    "v2": (*V1_RULES, "blocked_stems"),
+    "v3": (*V1_RULES, "blocked_stems", "repeated_stems"),
 }
+Repeated = Mapping[str, Sequence[tuple[str, int]]]  # per language stems and how many words must begin with one
 
 
 def mask_of(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
@@ -59,8 +64,8 @@ def mask_of(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     return sum(1 << at[name] for name in names)
 
 
-def measured(docs: DataFrame, blocked: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """``docs`` with the measurements of MEASURES (long)."""
+def measured(docs: DataFrame, blocked: Sequence[str] = (), text: str = "text", repeated: Repeated | None = None) -> DataFrame:
+    """``docs`` with the measurements of MEASURES (long). ``repeated`` needs a column ``lang``."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.drop(*MEASURES).withColumns(
         {
@@ -70,6 +75,7 @@ def measured(docs: DataFrame, blocked: Sequence[str] = (), text: str = "text") -
             "_lines": F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACE)) != ""),
             "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
             "n_blocked": _blocked(body, blocked),
+            "n_repeated_stems": _repeated(body, repeated or {}),
         }
     )
     docs = docs.withColumns(
@@ -110,8 +116,31 @@ def _blocked(body: Column, stems: Sequence[str]) -> Column:
     return body.rlike(pattern).cast("long")
 
 
+def _repeated(body: Column, stems: Repeated) -> Column:
+    """Stems of the text's language with which as many of its words begin as the list says."""
+
+    def met(own: Sequence[tuple[str, int]]) -> Column:
+        longest = sorted((s for s, _ in own), key=lambda s: (-len(s), s))
+        hits = F.regexp_extract_all(F.lower(body), F.lit("(?<!\\p{L})(?:" + "|".join(map(re.escape, longest)) + ")"), F.lit(0))
+        asked = F.array(*[F.struct(F.lit(s).alias("stem"), F.lit(k).alias("least")) for s, k in own])
+
+        def enough(found: Column) -> Column:
+            return F.size(F.filter(asked, lambda a: F.size(F.filter(found, lambda w: F.startswith(w, a["stem"]))) >= a["least"]))
+
+        return F.transform(F.array(hits), enough)[0].cast("long")  # within a transform the text is searched once
+
+    out = F.lit(0).cast("long")
+    for lang, own in sorted(stems.items()):
+        out = F.when(F.coalesce("lang", F.lit("")) == lang, met(own)).otherwise(out)
+    return out
+
+
 def ledger(
-    docs: DataFrame, blocked: Sequence[str] = (), rules: Sequence[Rule] = RULES, text: str = "text"
+    docs: DataFrame,
+    blocked: Sequence[str] = (),
+    rules: Sequence[Rule] = RULES,
+    text: str = "text",
+    repeated: Repeated | None = None,
 ) -> DataFrame:
     """Measurements and ``failures``, the bitmask of failed rules, of every document.
 
@@ -123,7 +152,7 @@ def ledger(
     failures = bits[0]
     for bit in bits[1:]:
         failures = failures.bitwiseOR(bit)
-    rows = measured(docs, blocked, text).withColumn("failures", failures)
+    rows = measured(docs, blocked, text, repeated).withColumn("failures", failures)
     return rows.observe(f"ledger-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), F.bit_or("failures").alias("failed"))
 
 
@@ -177,3 +206,45 @@ def blocked_stems(
     )
     stems = {row.stem for row in found.select("stem").collect()}
     return sorted(s for s in stems if not any(s != t and s.startswith(t) for t in stems))
+
+
+def repeated_stems(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = 5000,
+    max_stems: int = 200,
+    share: float = 0.9,
+    support: float = 0.2,
+    most: int = 3,
+) -> dict[str, list[tuple[str, int]]]:
+    """Per language (column ``lang``) weaker stems than those of ``blocked_stems``, each with the
+    least number of words, up to ``most``, that must begin with it: so many begin with it in at
+    least ``support`` of the language's toxic documents, and ``share`` of all documents with so many
+    are toxic. Of nested stems the shortest is kept, unless it asks for more words.
+
+    Fitted like ``blocked_stems``; at most ``max_stems`` a language. Without toxic labels: none.
+    """
+    some = (
+        labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    )
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").alias("_text"))
+    rows = rows.join(F.broadcast(some), "doc_id").withColumn("_row", F.monotonically_increasing_id())  # max_rows rows
+    words = F.filter(F.split(F.lower("_text"), NOT_LETTERS), lambda w: F.length(w) >= 4)
+    stems = F.flatten(F.transform(words, lambda w: F.filter(F.array(*[F.substring(w, 1, k) for k in (4, 5, 6)]), lambda s: F.length(s) <= F.length(w))))
+    toxic = rows.groupBy("lang").agg(F.sum("toxic").alias("every")).filter("every > 0")
+    counted = rows.select("_row", "lang", "toxic", F.explode(stems).alias("stem")).groupBy("_row", "lang", "toxic", "stem").agg(F.count(F.lit(1)).alias("k"))
+    found = (
+        counted.withColumn("least", F.explode(F.sequence(F.lit(1), F.least("k", F.lit(most)).cast("int"))))
+        .groupBy("lang", "stem", "least").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
+        .join(toxic, "lang").filter((F.col("hits") >= F.greatest(F.lit(3), support * F.col("every"))) & (F.col("hits") >= share * F.col("n")))
+        .groupBy("lang", "stem").agg(F.min(F.struct("least", "hits")).alias("q")).select("lang", "stem", "q.*")
+        .withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("hits"), "stem"))).filter(F.col("_place") <= max_stems)
+    )
+    lists: dict[str, dict[str, int]] = {}
+    for r in found.select("lang", "stem", "least").collect():
+        lists.setdefault(r.lang, {})[r.stem] = r.least
+    return {
+        lang: sorted((s, k) for s, k in own.items() if not any(s != t and s.startswith(t) and least <= k for t, least in own.items()))
+        for lang, own in lists.items()
+    }

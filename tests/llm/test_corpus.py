@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from panelmill.llm import common, near_duplicates, quality_classifier, repeated_passages, sharding, shared_keys
+from panelmill.llm import common, near_duplicates, quality_classifier, quality_rules, repeated_passages, sharding, shared_keys
 
 KIND = "doc_id long, text string, n bigint, rid string"
 
@@ -169,6 +169,28 @@ def test_classifier_holds_out(spark, small):
     assert quality_classifier.classified(odd.limit(0), train, F.col("source"), path).count() == 0
 
 
+def test_quality_stage_finds_toxic_texts_of_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    train, held = labels.filter("doc_id % 5 > 0"), labels.filter("doc_id % 5 = 0")
+    known = docs.join(held, "doc_id")
+    blocked, repeated = quality_rules.blocked_stems(docs, train), quality_rules.repeated_stems(docs, train)
+    bits = quality_rules.mask_of(["blocked_stems", "repeated_stems"])
+    rows = quality_rules.ledger(known, blocked, repeated=repeated).select("lang", "toxic", F.col("failures").bitwiseAND(bits).alias("bits"))
+    got = rows.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bits") > 0, 1)).alias("hit")).collect()
+    print(sorted((r.lang, r.toxic, r.hit, r.n) for r in got))
+    for r in got:
+        assert r.hit >= 0.9 * r.n if r.toxic else r.hit <= 0.05 * r.n, r
+    assert len({r.lang for r in got if r.toxic}) == 4
+    assert quality_rules.repeated_stems(docs, labels.limit(0)) == {}
+
+
+def test_repeated_stems_count_words(spark):
+    texts = ["Abcd abcde x", "abcd", "xabcd abcd", "wxyzz", "wxyz", None, ""]
+    rows = spark.createDataFrame([(i, t, "a" if i < 6 else None) for i, t in enumerate(texts)] + [(9, texts[0], "b")], "doc_id long, text string, lang string")
+    got = quality_rules.ledger(rows, repeated={"a": [("abcd", 2), ("wxyzz", 1)], "": [("abcd", 1)]}).collect()
+    assert {r.doc_id: r.n_repeated_stems for r in got} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0, 9: 0}
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 500)], "a long, b long")
     got = {r.node: r.component for r in common.components(links).collect()}
