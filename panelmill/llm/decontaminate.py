@@ -11,8 +11,9 @@ Words are runs of digits, letters and non-ASCII characters after lower-casing A-
 fewer words than the window, but not none, is one window of all its words.
 
 Defined cases: a null or empty text has no words and no hits; an item without words matches
-nothing; repeated items and rows count once and each, in this order; without items nothing is
-hit; columns named as the results (n_words, spans, items) are replaced.
+nothing; an item without an id marks words and is named nowhere; repeated items and rows count once
+and each, in this order; without items nothing is hit; ids of items may have any type; columns named
+as the results (n_words, spans, items) are replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import saved
 
 SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-RESULTS = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.LongType()))]
-)
+RESULTS = ("n_words", "spans", "items")
+
+
+def _results(benchmark: DataFrame) -> T.StructType:
+    item = benchmark.schema["item_id"].dataType
+    kinds = (T.LongType(), T.ArrayType(SPAN), T.ArrayType(item))
+    return T.StructType([T.StructField(n, k) for n, k in zip(RESULTS, kinds, strict=True)])
+
+
 _WORD_BYTES = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(128, 256))
 LOWER = bytes(
     (b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32) for b in range(256)
@@ -87,7 +95,7 @@ class SuffixAutomaton:
             self.link[fresh] = known
         return fresh
 
-    def insert(self, item: int, words: Sequence[bytes]) -> None:
+    def insert(self, item: object, words: Sequence[bytes]) -> None:
         codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
         state = 0
         for code in codes:
@@ -137,6 +145,7 @@ class SuffixAutomaton:
             self._run(codes[start:end].tolist(), start, spans, seen, items)
         for state in seen:
             items |= self.whole[state]
+        items.discard(None)
         return _merged(spans), items
 
     def _run(self, codes: list[int], start: int, spans: list, seen: set, items: set) -> None:
@@ -154,7 +163,8 @@ class SuffixAutomaton:
             state, length = ahead, length + 1
             if length >= window:
                 seen.add(self._window_state(state))
-                if spans and spans[-1][1] >= at - window:
+                # A span may grow only if it begins where this window begins or before.
+                if spans and spans[-1][0] <= at - window + 1 <= spans[-1][1] + 1:
                     spans[-1][1] = at
                 else:
                     spans.append([at - window + 1, at])
@@ -181,7 +191,7 @@ def _merged(spans: Iterable[Sequence[int]]) -> list[list[int]]:
 def automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
     """One automaton per block of items; a block ends once it has ``block_words`` words."""
     block = SuffixAutomaton(window)
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     for row in items.toLocalIterator():
         block.insert(row.item_id, words_of(row.text.encode()))
         if block.n_words >= block_words:
@@ -205,13 +215,13 @@ def decontaminated(
     """``docs`` without hit spans: rows with more than ``max_coverage`` of their words hit go, the
     others lose the spans, from the first letter to the last."""
     rows, last = _through_blocks(docs, benchmark, window, block_words)
-    return _streamed(rows, last, rows.schema, max_coverage).drop(*RESULTS.names)
+    return _streamed(rows, last, rows.schema, max_coverage).drop(*RESULTS)
 
 
 def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int):
     """Rows with the results of all blocks but the last, and that one as a broadcast."""
     spark = docs.sparkSession
-    rows = docs.drop(*RESULTS.names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in RESULTS})
+    rows = docs.drop(*RESULTS).withColumns({f.name: F.lit(None).cast(f.dataType) for f in _results(benchmark)})
     before: SuffixAutomaton | None = None
     for block in automata(benchmark, window, block_words):
         if before is not None:
@@ -222,7 +232,9 @@ def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_wo
 
 def _streamed(rows: DataFrame, shared, schema: T.StructType, max_coverage: float | None = None) -> DataFrame:
     """Match ``rows`` against one automaton; with ``max_coverage``, clean them as well."""
-    keep = [f.name for f in schema if f.name not in RESULTS.names]
+    keep = [f.name for f in schema if f.name not in RESULTS]
+    results = [f for f in rows.schema if f.name in RESULTS]
+    item = to_arrow_type(rows.schema["items"].dataType.elementType)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -239,7 +251,7 @@ def _streamed(rows: DataFrame, shared, schema: T.StructType, max_coverage: float
                 spans.append([{"first": a, "last": b} for a, b in found])
                 items.append(sorted(ids.union(old_items or ())))
             span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-            new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))]
+            new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(item))]
             old = {c: batch.column(c) for c in keep}
             if max_coverage is not None:
                 ranges = [[(s["first"], s["last"]) for s in some] for some in spans]
@@ -247,11 +259,11 @@ def _streamed(rows: DataFrame, shared, schema: T.StructType, max_coverage: float
                     [without_words(t.as_py(), r) if r else t.as_py() for t, r in zip(batch.column("text"), ranges, strict=True)], pa.string()
                 )
                 few = [sum(b - a + 1 for a, b in r) <= max_coverage * n for r, n in zip(ranges, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS.names]).filter(pa.array(few, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS]).filter(pa.array(few, pa.bool_()))
                 continue
-            yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS.names])
+            yield pa.RecordBatch.from_arrays([*old.values(), *new], [*keep, *RESULTS])
 
-    return rows.mapInArrow(stream, T.StructType([*(f for f in schema if f.name in keep), *RESULTS]))
+    return rows.mapInArrow(stream, T.StructType([*(f for f in schema if f.name in keep), *results]))
 
 
 def n_hit():

@@ -107,6 +107,22 @@ def test_automaton_matches_brute_force(items, words):
     assert all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_windows_that_begin_before_a_short_item():
+    automaton = decontaminate.SuffixAutomaton(10)
+    automaton.insert(1, [b"delta"])
+    automaton.insert(None, b"a b c delta e f g h i j".split())
+    spans, found = automaton.finish().matches(b"x a b c delta e f g h i j y".split())
+    assert spans == [[1, 10]] and found == {1}
+
+
+def test_items_without_an_id_and_with_names(spark):
+    rows = docs(spark, ["say one two three now", "four five"])
+    items = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "four five")], "item_id string, text string")
+    for size in (1, 100):
+        got = {r.doc_id: (r.items, [tuple(s) for s in r.spans]) for r in decontaminate.contamination(rows, items, block_words=size).collect()}
+        assert got == {1: (["a", "b"], [(1, 3)]), 2: ([], [(0, 1)])}
+
+
 def test_blocks_and_cleaning(spark):
     items = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "Lazy DOG!"), (2, "Lazy DOG!"), (3, None), (4, ""), (5, "ü ö ä ß")], "item_id long, text string")
     rows = docs(spark, ["say: the QUICK, brown fox jumps. over a lazy dog, no more words here", None, "", "lazy dog", "ü ö ä ß and many other words in this text"])
