@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format,
+    collocations,
+    conversation_trie,
     decontaminate,
     near_duplicates,
     packing,
+    planned_packing,
     quality_classifier,
     quality_rules,
     repeated_passages,
@@ -209,3 +212,89 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size))),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 30),
+cuts AS (
+  SELECT lang, phrase, a, size, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:], ' ') AS q
+  FROM cand, (VALUES (1), (2), (3)) s(k) WHERE k < size),
+scored AS (
+  SELECT c.*, l.a AS l, r.a AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.p AND l.size = c.k
+    JOIN f r ON r.lang = c.lang AND r.phrase = c.q AND r.size = c.size - c.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, array_to_string(ws[i:i + width - 1], ' ') AS phrase, max(a) AS above FROM (
+    SELECT lang, ws, a, width, unnest(range(1, size - width + 2)) AS i FROM cand, (VALUES (2), (3)) s(width) WHERE width < size)
+  GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN parts USING (lang, phrase)
+  WHERE above IS NULL OR CAST(100 AS HUGEINT) * above < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000"""
+
+
+@query("op12_planned_packing")
+def op12_planned_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_conversation_trie")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    octets = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: {step}), 4294967295)"
+
+
+SQL["op13_conversation_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+m AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (
+  SELECT m.conv_id, 0 AS part, i, tid, words FROM m JOIN t ON t.conv_id = m.base AND i < h
+  UNION ALL SELECT m.conv_id, 1, i, tid, words FROM m JOIN t ON t.conv_id = m.conv_id AND i >= h),
+convs AS (
+  SELECT m.conv_id, coalesce(ks, []) AS ks, coalesce(ws, []) AS ws FROM m LEFT JOIN (
+    SELECT conv_id, list(tid ORDER BY part, i) AS ks, list(words ORDER BY part, i) AS ws FROM turns GROUP BY conv_id) USING (conv_id)),
+pre AS (
+  SELECT conv_id, depth, len(ks) AS size, md5(array_to_string(ks[1:depth], ',')) AS p, md5(array_to_string(ks[1:depth - 1], ',')) AS up,
+    CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS depth FROM convs)),
+node AS (
+  SELECT depth, p, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM pre GROUP BY depth, p),
+kids AS (SELECT depth - 1 AS depth, up AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT a.depth, a.p, count(*) FILTER (n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * node.words) AS BIGINT) AS saved_tokens
+  FROM node LEFT JOIN kids USING (depth, p) JOIN pre a ON a.conv_id = node.conv_id AND a.depth <= node.depth GROUP BY ALL)
+SELECT node.conv_id, node.depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN sums USING (depth, p) LEFT JOIN kids USING (depth, p)
+  LEFT JOIN node parent ON parent.depth = node.depth - 1 AND parent.p = node.up"""
