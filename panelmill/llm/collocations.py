@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, RangeHashes, joined, mixed, power, saved
+from .common import U64, RangeHashes, joined, mixed, new_path, power, saved
 
 LONGEST = 4
 MAX_BITS = 28
@@ -99,6 +99,14 @@ def encoded(docs: DataFrame, shards: int, unit_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, UNITS)
 
 
+def _written(units: DataFrame) -> DataFrame:
+    """The units as a table of one row a row group, so readers hold a unit at a time."""
+    spark = units.sparkSession
+    path = new_path(spark)
+    units.write.option("parquet.block.row.count.limit", 1).parquet(path)
+    return spark.read.schema(units.schema).parquet(path)
+
+
 def _rows(units: list[tuple | None]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     names = [c.split()[0] for c in UNITS.split(", ")]
@@ -235,13 +243,13 @@ def _exact(shared, unit: Unit) -> Iterator[pa.RecordBatch]:
             )
 
 
-def phrase_counts(docs: DataFrame, support: int, longest: int = LONGEST, shards: int = 8, unit_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, support: int, longest: int = LONGEST, shards: int = 8, unit_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f) of every phrase of at most ``longest`` words that occurs
     ``support`` times or more, (lang, n) words of every language)."""
     if support < 1 or longest < 2:
         raise ValueError("a support of at least one and phrases of at least two words")
     spark = docs.sparkSession
-    units = saved(encoded(docs, shards, unit_bytes))
+    units = _written(encoded(docs, shards, unit_bytes))
     shares = units.groupBy("lang", "shard").agg(F.sum("n_words").alias("here"))
     totals = saved(shares.groupBy("lang").agg(F.sum("here").alias("n")))
     # A row per language and shard.
@@ -275,7 +283,7 @@ SCALE = 2_000_000
 
 
 def collocations(
-    docs: DataFrame, support: int = 30, longest: int = LONGEST, inside: int = 80, top: int = 2000, shards: int = 8, unit_bytes: int = 16 << 20
+    docs: DataFrame, support: int = 30, longest: int = LONGEST, inside: int = 80, top: int = 2000, shards: int = 8, unit_bytes: int = 4 << 20
 ) -> DataFrame:
     """The ``top`` phrases of every language by their lowest-scoring cut: lang, rank, phrase, a,
     l, r, n, score. A phrase is dropped where a longer one that holds it has at least ``inside``
