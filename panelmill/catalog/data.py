@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.groups import keep_last, shared_dir
+from ..functions.groups import keep_last, new_path
 from ..operators import cross_section as xs
 from ..operators import quality as dq
 from ..operators import timeseries as ts
@@ -19,7 +18,7 @@ _OHLC = "r:open r:high r:low r:close r:volume r:amount r:turnover"
 
 
 def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/panelmill-{uuid.uuid4().hex}"
+    return new_path(spark)
 
 
 @query(QUERIES, "panel_store_round_trip")
@@ -45,42 +44,69 @@ SQL["benchmark_by_code"] = ask("benches", "SELECT date, close FROM benches WHERE
 
 @query(QUERIES, "component_csv_scan")
 def component_csv_scan(spark, sf_dir):
-    """Supplier list exported with Chinese headers and suffixed codes, then scanned."""
-    members = market.universe(spark, sf_dir)
+    """Five lists of suppliers under two sets of headers, with suffixed codes. Two are in another
+    encoding, first seen in their last line; one has a member without a name and is rejected."""
+    members = market.universe(spark, sf_dir).withColumn("part", F.col("code").cast("long") % 5)
+    last = members.groupBy("part").agg(F.max("code").alias("last"))
+    members = members.join(last, "part")
+    name = F.when(F.col("code") != F.col("last"), F.col("name")).when(F.col("part") == 4, "").when(F.col("part") >= 2, F.concat(F.lit("华"), "name"))
+    line = F.concat_ws(",", F.concat(F.lit("SZ"), "code"), F.coalesce(name, F.col("name")), "industry")
     path = _scratch(spark)
-    out = members.select(
-        F.concat(F.lit("SZ"), "code").alias("证券代码"), F.col("name").alias("证券简称"), F.col("industry").alias("行业")
-    )
-    out.write.option("header", True).csv(path)
-    return landing.components(landing.read_text_csv(spark, path), "HS300")
+    for k in range(5):
+        head, encoding = ("code,name,industry", "gb18030") if k in (2, 3) else ("证券代码,证券简称,行业", "utf-8")
+        lines = members.filter(F.col("part") == k).repartitionByRange("code").sortWithinPartitions("code").select(line.alias("line"))
+        lines.mapInArrow(_encoded(head, encoding), "value binary").select(F.col("value").cast("string")).write.text(f"{path}/list={k}")
+    lists = landing.components(landing.read_lists(spark, path), "HS300")
+    whole = lists.withColumn("file", F.regexp_extract("file", r"list=(\d+)", 1))
+    return landing.accepted_lists(whole)[0].drop("file")
+
+
+def _encoded(head, encoding):
+    """Lines as bytes of an encoding, under a header in every file."""
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head.encode(encoding)])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t.encode(encoding) for t in batch.column("line").to_pylist()], pa.binary())], ["value"])
+
+    return run
 
 
 _MARKET = "CASE WHEN substr(code, 1, 1) IN ('5', '6', '9') THEN 'SH' WHEN substr(code, 1, 1) IN ('4', '8') THEN 'BJ' ELSE 'SZ' END"
 SQL["component_csv_scan"] = ask(
     "universe",
-    f"SELECT code, name, 'HS300' AS index_source, {_MARKET} AS market, industry AS sector FROM universe",
+    f"""SELECT code, CASE WHEN part IN (2, 3) AND row_number() OVER (PARTITION BY part ORDER BY code DESC) = 1 THEN '华' || name ELSE name END AS name,
+          'HS300' AS index_source, {_MARKET} AS market, industry AS sector
+        FROM (SELECT *, CAST(code AS BIGINT) % 5 AS part FROM universe) WHERE part <> 4""",
     "code name index_source market sector",
 )
 
 
 @query(QUERIES, "industry_snapshot_scan")
 def industry_snapshot_scan(spark, sf_dir):
-    """Snapshot with blank sectors and industries, as text files."""
+    """Snapshot with other headers, blank sectors and industries, and codes that come again."""
     members = market.universe(spark, sf_dir)
-    key = F.col("code").cast("int") % 7
+    key = F.col("code").cast("long") % 7
     path = _scratch(spark)
-    members.select(
-        F.concat("code", F.when(key == 1, ".0").otherwise("")).alias("code"),
+    rows = members.select(
+        F.concat("code", F.when(key == 1, ".0").otherwise("")).alias("Stock Code"),
         F.when(key == 2, " ").otherwise(F.col("sector")).alias("sector"),
-        F.when(key == 3, "").otherwise(F.col("industry")).alias("industry"),
-    ).write.option("header", True).csv(path)
-    return landing.industry_snapshot(spark.read.csv(path, header=True))
+        F.when(key == 3, "").otherwise(F.col("industry")).alias("CSRC Industry"),
+        F.lit(1).alias("version"),
+    )
+    again = members.filter(key >= 5).select(
+        F.col("code").alias("Stock Code"), F.when(key == 6, "nan").otherwise(F.lit("Revised")).alias("sector"),
+        F.col("industry").alias("CSRC Industry"), F.lit(2).alias("version"),
+    )
+    rows.unionByName(again).write.option("header", True).csv(path)
+    df = spark.read.csv(path, header=True)
+    return landing.industry_snapshot(df.withColumn("version", F.col("version").cast("int")), "version")
 
 
 SQL["industry_snapshot_scan"] = ask(
     "universe",
-    """SELECT code, sector, CASE WHEN CAST(code AS INT) % 7 = 3 THEN 'Unknown' ELSE industry END AS industry
-       FROM universe WHERE CAST(code AS INT) % 7 <> 2""",
+    """SELECT code, CASE WHEN CAST(code AS BIGINT) % 7 = 5 THEN 'Revised' ELSE sector END AS sector,
+         CASE WHEN CAST(code AS BIGINT) % 7 = 3 THEN 'Unknown' ELSE industry END AS industry
+       FROM universe WHERE CAST(code AS BIGINT) % 7 <> 2""",
     "code sector industry",
 )
 

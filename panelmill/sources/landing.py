@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.groups import keep_last
+from ..functions.groups import durable, keep_last
 from ..operators.quality import infer_market, normalize_code
 
 # Header aliases, first present non-empty one wins.
@@ -36,38 +37,67 @@ BAR_SCHEMA = T.StructType(
 
 
 def _field(df: DataFrame, names: Sequence[str]) -> Column:
-    """First non-empty alias of a field; headers are compared trimmed and lower-cased."""
-    present = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
-    found = [
-        F.nullif(F.trim(F.col(f"`{present[n.lower()]}`").cast("string")), F.lit(""))
-        for n in names
-        if n.lower() in present
-    ]
+    """First non-empty alias of a field; headers are compared trimmed and lower-cased. Rows of
+    ``read_lists`` bring their own header."""
+    if {"header", "cells"} <= set(df.columns):
+        found = [F.get("cells", F.array_position("header", F.lit(n.lower())).cast("int") - 1) for n in names]
+    else:
+        present = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
+        found = [F.col(f"`{present[n.lower()]}`").cast("string") for n in names if n.lower() in present]
+    found = [F.nullif(F.trim(c), F.lit("")) for c in found]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text: UTF-8, or GB18030 where UTF-8 does not decode."""
-    def scan(encoding: str) -> DataFrame:
-        return spark.read.csv(path, header=True, encoding=encoding)
+def _decoded(encoding: str):
+    def decode(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda b: b.decode(encoding), na_action="ignore")
+
+    # Filters on its result may not move below the join that says which lines are foreign.
+    return F.pandas_udf(decode, "string").asNondeterministic()
 
-    df = scan("UTF-8")
-    # Undecodable bytes show as replacement characters; one header and a few rows decide.
-    probe = [*df.columns, *(str(v) for row in df.take(20) for v in row)]
-    if not any("�" in text for text in probe):
-        return df
-    # Spark accepts only a few charsets unless the session allows all of the JVM's.
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return scan("GB18030")
 
+def read_lists(spark: SparkSession, path: str, foreign: str = "gb18030") -> DataFrame:
+    """``file, seq, header, cells``: the records of all CSV files under a path.
 
-def components(df: DataFrame, index_source: str) -> DataFrame:
-    """Normalised members of one index list."""
-    code = normalize_code(_field(df, CODE_FIELDS))
+    A file is UTF-8 where every one of its lines is, and ``foreign`` otherwise: the check is an
+    aggregate over whole files, wherever the first foreign byte stands. Lines are read as bytes
+    (no line end is part of a character in either encoding), so a file is never held whole.
+    Every file has its own header. ``seq`` is the order inside a file. Quoted line breaks are
+    not part of these lists.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"),
+        "value",
+    )
+    lines = durable(lines.withColumn("value", F.col("value").cast("binary")))
+    # A row per file.
+    plain = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("plain"))
+    marked = lines.join(plain, "file")
+    text = marked.filter("plain").withColumn("text", F.col("value").cast("string")).unionByName(
+        marked.filter("not plain").withColumn("text", _decoded(foreign)("value"))
+    )
+    text = durable(text.select("file", "seq", F.regexp_replace("text", "^\ufeff|\r$", "").alias("text")).filter("text <> ''"))
+    heads = text.groupBy("file").agg(F.min_by("text", "seq").alias("head"), F.min("seq").alias("first"))
+    widths = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    fields = ", ".join(f"c{i} string" for i in range(widths))
+    split = lambda c: F.from_csv(c, fields)
+    cells = F.array(*[F.col(f"r.c{i}") for i in range(widths)])
+    header = F.array(*[F.coalesce(F.lower(F.trim(F.col(f"h.c{i}"))), F.lit("")) for i in range(widths)])
+    records = text.join(heads, "file").filter(F.col("seq") > F.col("first"))
+    records = records.select("file", "seq", split("head").alias("h"), split("text").alias("r"))
+    return records.select("file", "seq", header.alias("header"), cells.alias("cells"))
+
+
+def components(df: DataFrame, index_source: str | Column) -> DataFrame:
+    """Normalised members of index lists (S4); rows of ``read_lists`` keep their file."""
+    code = F.coalesce(normalize_code(_field(df, CODE_FIELDS)), F.lit(""))
+    keep = ["file"] if "cells" in df.columns else []
     rows = df.select(
         code.alias("code"),
         _field(df, NAME_FIELDS).alias("name"),
-        F.lit(index_source).alias("index_source"),
+        (F.lit(index_source) if isinstance(index_source, str) else index_source).alias("index_source"),
+        *keep,
         _field(df, MARKET_FIELDS).alias("_market"),
         _field(df, SECTOR_FIELDS).alias("_sector"),
     )
@@ -75,7 +105,18 @@ def components(df: DataFrame, index_source: str) -> DataFrame:
         "code", "name", "index_source",
         F.upper(F.coalesce("_market", infer_market("code"))).alias("market"),
         F.coalesce("_sector", F.lit("Unknown")).alias("sector"),
+        *keep,
+    )
+
+
+def accepted_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the lists without a bad record, and ``file, bad, rows`` of the others: one
+    member without code or name rejects its whole file (S4)."""
+    judged = members.groupBy("file").agg(
+        F.count_if((F.col("code") == "") | F.col("name").isNull()).alias("bad"), F.count(F.lit(1)).alias("rows")
     )
+    rejected = judged.filter("bad > 0")
+    return members.join(rejected.select("file"), "file", "left_anti"), rejected
 
 
 def incomplete_components(df: DataFrame) -> DataFrame:
@@ -83,18 +124,45 @@ def incomplete_components(df: DataFrame) -> DataFrame:
     return df.filter((F.col("code") == "") | F.col("name").isNull())
 
 
-def industry_snapshot(df: DataFrame) -> DataFrame:
-    """``code, sector, industry`` of a saved snapshot (S16): rows without code or sector
-    are dropped, a blank industry is ``Unknown``."""
+# Headers of industry tables, in order of preference.
+SNAPSHOT_HEADERS = {
+    "code": ("code", "symbol", "证券代码", "股票代码"),
+    "sector": ("sector", "行业门类"),
+    "industry": ("industry", "所属行业", "行业"),
+}
+
+
+def find_header(columns: Sequence[str], wanted: Sequence[str], fallback: int | None = None) -> str:
+    """The column meant by a header (S16): an equal name before one that contains it, both
+    without case and blanks, in order of ``wanted``; else the column at ``fallback``."""
+    def plain(text: str) -> str:
+        return text.lstrip("\ufeff").lower().replace(" ", "").strip()
+
+    for test in (str.__eq__, str.__contains__):
+        hit = next((c for w in wanted for c in columns if test(plain(c), plain(w))), None)
+        if hit is not None:
+            return hit
+    if fallback is None or fallback >= len(columns):
+        raise ValueError(f"no column of the table stands for {wanted[0]}")
+    return columns[fallback]
+
+
+def industry_snapshot(df: DataFrame, *seq: str) -> DataFrame:
+    """``code, sector, industry`` of a saved snapshot (S16): headers are searched, rows without
+    code or sector are dropped, a blank industry is ``Unknown``. With ``seq`` the last usable
+    row of a code wins."""
+    named = {name: find_header(df.columns, wanted) for name, wanted in SNAPSHOT_HEADERS.items()}
+
     def text(name: str) -> Column:
-        t = F.trim(F.col(name).cast("string"))
+        t = F.trim(F.col(f"`{named[name]}`").cast("string"))
         return F.when((t != "") & (F.lower(t) != "nan"), t)
 
     rows = df.select(
-        normalize_code("code").alias("code"), text("sector").alias("sector"),
-        F.coalesce(text("industry"), F.lit("Unknown")).alias("industry"),
+        normalize_code(F.col(f"`{named['code']}`")).alias("code"), text("sector").alias("sector"),
+        F.coalesce(text("industry"), F.lit("Unknown")).alias("industry"), *seq,
     )
-    return rows.filter((F.col("code") != "") & F.col("sector").isNotNull())
+    rows = rows.filter((F.col("code") != "") & F.col("sector").isNotNull())
+    return keep_last(rows, ["code"], *seq).drop(*seq) if seq else rows
 
 
 def vendor_prices(df: DataFrame, headers: Mapping[str, str] = PRICE_HEADERS, seq: str | None = None) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.groups import keep_last
+from ..functions.groups import durable, keep_last, path_exists
 
 
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,10 +41,10 @@ def read_panel(spark: SparkSession, path: str, years: Sequence[int] | None = Non
     return (df if years is None else df.filter(F.col("year").isin(*years))).drop("year")
 
 
-def merge_bars(stored: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Stored and fetched bars; the fetched row wins per (code, date)."""
-    both = stored.withColumn("_seq", F.lit(0)).unionByName(fetched.withColumn("_seq", F.lit(1)))
-    return keep_last(both, ["code", "date"], "_seq").drop("_seq")
+def merge_bars(stored: DataFrame, fetched: DataFrame, *seq: str) -> DataFrame:
+    """Stored and fetched bars; the fetched row wins per (code, date) (S8), the last by
+    ``seq`` where it was fetched more than once."""
+    return upsert(stored, fetched, ["code", "date"], *seq)
 
 
 def request_start(universe: DataFrame, stored: DataFrame, wanted: str) -> DataFrame:
@@ -59,10 +59,35 @@ def request_start(universe: DataFrame, stored: DataFrame, wanted: str) -> DataFr
     )
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing and incoming rows; the incoming one wins per key."""
-    both = existing.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)))
-    return keep_last(both, keys, "_seq").drop("_seq")
+def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], *seq: str) -> DataFrame:
+    """Existing and incoming rows; the incoming one wins per key (S9), the last by ``seq``
+    where a key comes in more than once. ``seq`` may be columns of ``incoming`` alone."""
+    newest = keep_last(incoming, keys, *seq) if seq else incoming
+    newest = newest.select(*existing.columns).withColumn("_seq", F.lit(1))
+    return keep_last(existing.withColumn("_seq", F.lit(0)).unionByName(newest), keys, "_seq").drop("_seq")
+
+
+def upsert_table(
+    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], seq: Sequence[str], partition: str, by: Column
+) -> None:
+    """Upsert into a stored table, rewriting only the partitions that ``incoming`` touches.
+
+    ``by`` derives the column ``partition`` from key columns, so a key never changes its
+    partition. The touched partitions are read, merged and put in place by a dynamic
+    overwrite; files of all others stay as they are. Running it again changes nothing.
+    """
+    delta = durable(incoming.withColumn(partition, by))
+    touched = [r[0] for r in delta.select(partition).distinct().collect()]  # as many as partitions
+    if not touched:
+        return
+    if not path_exists(spark, path):
+        keep_last(delta, keys, *seq).drop(*seq).write.partitionBy(partition).parquet(path)
+        return
+    stored = spark.read.parquet(path)
+    hit = stored.filter(F.col(partition).isin([t for t in touched if t is not None]) | F.lit(None in touched) & F.col(partition).isNull())
+    # Written aside first: the files being replaced are those being read.
+    merged = durable(upsert(hit, delta, keys, *seq))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def append_ledger(df: DataFrame, path: str, date: str = "date") -> None:

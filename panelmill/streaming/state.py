@@ -3,35 +3,103 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "code string, date date, close double, ema double, peak double, drawdown double"
-STATE = "ema double, peak double, seen bigint"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
 
 
-def running_state(bars: DataFrame, span: int = 12) -> DataFrame:
-    """Add the running mean and drawdown of each code to streamed bars (ST3).
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of the queries started inside is kept in RocksDB, beside the heap; the session's
+    own setting is put back after."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
-    State is three numbers per code. A trigger holds at most one bar per session of a code,
-    so the rows of one call are bounded by the calendar.
+
+class RunningState(StatefulProcessor):
+    """Mean and peak of one code, in the order of dates.
+
+    ``waiting`` holds bars by date until the watermark passes them, so a late bar inside the
+    bound takes its place; a timer on the earliest of them releases what is due. ``totals``
+    is three numbers. A code without a bar for ``keep_days`` of event time loses its state.
+    """
+
+    def __init__(self, span: int, keep_days: int):
+        self.span, self.keep = span, keep_days * DAY_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "ema double, peak double, seen bigint, newest bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint", "date date, close double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        newest = None
+        for frame in rows:
+            # One bar a session: the last by sequence.
+            frame = frame.sort_values(["at", "seq"], kind="stable").drop_duplicates("at", keep="last")
+            for at, date, close in zip(frame["at"].tolist(), frame["date"], frame["close"].tolist(), strict=True):
+                self.waiting.updateValue((at,), (date, None if close is None or close != close else close))
+            self.handle.registerTimer(int(frame["at"].iloc[0]))
+            newest = max(newest or 0, int(frame["at"].iloc[-1]))
+        if newest is not None:
+            self.handle.registerTimer(newest + self.keep)
+        yield pd.DataFrame(columns=["code", "date", "close", "ema", "peak", "drawdown"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((k[0], v) for k, v in self.waiting.iterator())
+        due = [(at, row) for at, row in held if at <= now]
+        if len(held) > len(due):
+            self.handle.registerTimer(int(held[len(due)][0]))
+        if due:
+            yield self._released(key[0], due)
+        elif not held and self.totals.exists() and self.totals.get()[3] + self.keep <= now:
+            self.totals.clear()
+
+    def _released(self, code: str, due: list[tuple[int, tuple]]) -> pd.DataFrame:
+        ema, peak, seen, _ = self.totals.get() if self.totals.exists() else (None, None, 0, 0)
+        close = pd.Series([row[1] for _, row in due], dtype=float)
+        # The values that the state stands for, then the new ones; a bar without a close
+        # carries both on.
+        means = pd.concat([pd.Series([ema], dtype=float), close]).ewm(span=self.span, adjust=False, ignore_na=True).mean()
+        peaks = pd.concat([pd.Series([peak], dtype=float), close]).cummax().ffill()
+        count = seen + close.notna().cumsum()
+        out = pd.DataFrame({"code": code, "date": [row[0] for _, row in due], "close": close})
+        means, peaks = means.iloc[1:].to_numpy(), peaks.iloc[1:].to_numpy()
+        out["ema"] = np.where(count >= self.span, means, np.nan)
+        out["peak"], out["drawdown"] = peaks, close / peaks - 1
+        value = lambda x: None if np.isnan(x) else float(x)
+        self.totals.update((value(means[-1]), value(peaks[-1]), int(count.iloc[-1]), int(due[-1][0])))
+        for at, _ in due:
+            self.waiting.removeKey((at,))
+        return out.astype(object).where(out.notna(), None)
+
+    def close(self) -> None:
+        pass
+
+
+def running_state(bars: DataFrame, span: int = 12, late: str = "35 days", keep_days: int = 3650) -> DataFrame:
+    """Running mean and drawdown of each code over streamed bars (ST3).
+
+    ``bars``: ``code, date, seq, close``; a row comes out once the watermark, ``late`` behind
+    the newest date, has passed it. Later bars are dropped, and counted in the progress of the
+    query. To be started inside ``rocksdb``.
     """
-    a = 2.0 / (span + 1)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, peak, seen = state.get if state.exists else (None, None, 0)
-        pdf = pd.concat(list(frames)).sort_values("date", kind="stable")
-        rows = []
-        for date, close in zip(pdf["date"], pdf["close"]):
-            ema = close if ema is None else ema * (1 - a) + close * a
-            peak = close if peak is None else max(peak, close)
-            seen += 1
-            rows.append((key[0], date, close, ema if seen >= span else None, peak, close / peak - 1))
-        state.update((ema, peak, seen))
-        yield pd.DataFrame(rows, columns=["code", "date", "close", "ema", "peak", "drawdown"])
-
-    return bars.select("code", "date", "close").groupBy("code").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    rows = bars.select("code", "date", "seq", "close", F.col("date").cast("timestamp").alias("ts"))
+    rows = rows.withColumn("at", F.unix_millis("ts")).withWatermark("ts", late)
+    return rows.groupBy("code").transformWithStateInPandas(
+        statefulProcessor=RunningState(span, keep_days), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
     )

@@ -60,13 +60,53 @@ def test_component_lists_in_both_encodings(spark, tmp_path):
     for encoding in ("utf-8-sig", "gb18030"):
         path = tmp_path / f"{encoding}.csv"
         path.write_bytes(text.encode(encoding))
-        got = rows(landing.components(landing.read_text_csv(spark, str(path)), "HS300"), "code")
+        got = rows(landing.components(landing.read_lists(spark, str(path)), "HS300"), "code")
         assert got["code"].tolist() == ["000001", "600000"] and got["name"].tolist() == ["平安", "浦发"]
         assert got["market"].tolist() == ["SZ", "SH"] and got["sector"].tolist() == ["银行", "Unknown"]
     bad = spark.createDataFrame([("x", "")], "code string, name string")
     assert landing.incomplete_components(landing.components(bad, "HS300")).count() == 1
 
 
+def test_lists_of_both_encodings_in_one_folder(spark, tmp_path):
+    """The first foreign byte stands in the last of many lines; headers differ by file."""
+    many = "".join(f"{i:06d},n{i}\n" for i in range(1, 3001))
+    (tmp_path / "a.csv").write_bytes(("\ufeffcode,name\n" + many + "003001,末\n").encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes(("name, Symbol \r\n" + "".join(f"n{i},{i:06d}\r\n" for i in range(5000, 8000)) + '"末, 二",008000\r\n').encode("gb18030"))
+    (tmp_path / "c.csv").write_bytes("code,name\n000001,x\n,y\n000003,\n".encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    lists = landing.components(landing.read_lists(spark, str(tmp_path)), "X")
+    good, rejected = landing.accepted_lists(lists)
+    got = {r["code"]: r["name"] for r in good.collect()}
+    assert len(got) == 6002 and got["003001"] == "末" and got["008000"] == "末, 二" and got["005000"] == "n5000"
+    assert [(r["file"].rsplit("/", 1)[1], r["bad"], r["rows"]) for r in rejected.collect()] == [("c.csv", 2, 3)]
+
+
+def test_headers_are_searched():
+    columns = ["\ufeffStock Code", "name", "CSRC Industry", "Industry"]
+    assert landing.find_header(columns, ("code", "symbol")) == columns[0]
+    assert landing.find_header(columns, ("industry",)) == "Industry"
+    assert landing.find_header(columns, ("none",), 1) == "name"
+    with pytest.raises(ValueError):
+        landing.find_header(columns, ("none",), 9)
+
+
+def test_touched_partitions_alone_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "log")
+    kind = "date date, symbol string, v int, seq int"
+    day = lambda m, d: pd.Timestamp(2020, m, d).date()
+    month = F.trunc("date", "month")
+    put = lambda rows_: store.upsert_table(spark, path, spark.createDataFrame(rows_, kind), ["date", "symbol"], ["seq"], "month", month)
+    files = lambda: {(str(r["month"]), r["f"]) for r in spark.read.parquet(path).select("month", F.input_file_name().alias("f")).collect()}
+    put([(day(1, 1), "a", 1, 0), (day(2, 1), "a", 2, 0), (day(3, 1), "a", 3, 0)])
+    before = files()
+    for _ in range(2):  # again, as after a crash
+        put([(day(2, 1), "a", 9, 1), (day(2, 1), "a", 5, 0), (day(2, 3), "b", 7, 0), (day(4, 1), "a", 4, 0)])
+        got = {(str(r["date"]), r["symbol"]): r["v"] for r in spark.read.parquet(path).collect()}
+        assert got == {("2020-01-01", "a"): 1, ("2020-02-01", "a"): 9, ("2020-02-03", "b"): 7, ("2020-03-01", "a"): 3, ("2020-04-01", "a"): 4}
+    after = files()
+    assert {f for f in before if f[0] != "2020-02-01"} <= after and not {f for f in before if f[0] == "2020-02-01"} & after
+
+
 def test_price_payload(spark):
     long = '["2024-01-03","10","11","12","9","100","a","b","5000","c","0.7"]'
     short = '["2024-01-02","10","10.5","11","9","200"]'
