@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
 from ..sources import market
-from .kit import H, SCORING, ask, cte, full, query
+from .kit import H, SCORING, ask, code_of, cte, full, query, week_of
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -259,3 +259,65 @@ SQL["registered_user_factor"] = ask(
         FROM changes""",
     "date code r:scaled_reversal",
 )
+
+
+# ---------------------------------------------------------------- bars with bad values
+
+DIRTY = (
+    "momentum_20", "trend_20", "trend_60", "volatility_20", "volatility_60", "liquidity_20", "volume_ratio_20", "turnover_5",
+    "turnover_20", "drawdown_60", "beta_60",
+)
+
+
+def dirty_bars(spark, sf_dir):
+    """Bars of trades without quantity, with NaN, infinities and extreme values set by rule."""
+    lines = market.table(spark, sf_dir, "lineitem")
+    lines = lines.withColumn("l_quantity", F.when(F.col("l_orderkey") % 37 == 0, 0.0).otherwise(F.col("l_quantity")))
+    bars = market.bars_from_trades(market.trades_of(lines), "supplier")
+    week = (F.datediff("date", F.lit("1992-01-06").cast("date")) / 7).cast("long") + F.col("supplier")
+    hit = lambda n: week % n == 0
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    bars = bars.withColumns(
+        {
+            "close": F.when(hit(97), nan).otherwise(F.col("close")),
+            "amount": F.when(hit(101), inf).when(hit(89), F.col("amount") * 1e6).otherwise(F.col("amount")),
+            "turnover": F.when(hit(103), nan).otherwise(F.col("turnover")),
+            "volume": F.when(hit(107), -inf).otherwise(F.col("volume")),
+        }
+    )
+    return bars.withColumn("supplier", market.pad_code("supplier")).withColumnRenamed("supplier", "code")
+
+
+@query(QUERIES, "dirty_bar_factors")
+def dirty_bar_factors(spark, sf_dir):
+    """Rolling factors over bad bars: what is not finite is missing in its own windows only."""
+    return ts.build_factors(dirty_bars(spark, sf_dir), DIRTY, market.benchmark(spark, sf_dir))
+
+
+cte(
+    "dirty_bars",
+    f"""SELECT code, date, CASE WHEN k % 97 <> 0 THEN close END AS close,
+          CASE WHEN k % 101 = 0 THEN NULL WHEN k % 89 = 0 THEN amount * 1e6 ELSE amount END AS amount,
+          CASE WHEN k % 103 <> 0 THEN turnover END AS turnover, CASE WHEN k % 107 <> 0 THEN volume END AS volume
+        FROM (
+          SELECT {code_of('l_suppkey')} AS code, date, (date - DATE '1992-01-06') // 7 + l_suppkey AS k,
+            arg_max(price, seq) FILTER (price IS NOT NULL) AS close, sum(quantity) AS volume, sum(amount) AS amount,
+            sum(quantity) / 1024 AS turnover
+          FROM (SELECT l_suppkey, {week_of('l_shipdate')} AS date, l_extendedprice AS amount,
+                  CASE WHEN l_orderkey % 37 = 0 THEN 0 ELSE l_quantity END AS quantity,
+                  CASE WHEN l_orderkey % 37 <> 0 THEN 100 + l_extendedprice / l_quantity / 1000 END AS price,
+                  row(l_shipdate, l_orderkey, l_linenumber, l_partkey) AS seq
+                FROM lineitem)
+          GROUP BY l_suppkey, date)""",
+)
+SQL["dirty_bar_factors"] = ask(
+    "dirty_bars market_ret",
+    f"""SELECT date, code, close / lag(close, 20) {H} - 1 AS momentum_20,
+        close / ({full('avg', 'close', 20)}) - 1 AS trend_20, close / ({full('avg', 'close', 60)}) - 1 AS trend_60,
+        {full('stddev_samp', 'ret_1', 20)} AS volatility_20, {full('stddev_samp', 'ret_1', 60)} AS volatility_60,
+        {full('avg', 'amount', 20)} AS liquidity_20, volume / ({full('avg', 'volume', 20)}) AS volume_ratio_20,
+        {full('avg', 'turnover', 5)} AS turnover_5, {full('avg', 'turnover', 20)} AS turnover_20,
+        close / ({full('max', 'close', 60)}) - 1 AS drawdown_60, {_beta_sql(60)} AS beta_60
+        FROM (SELECT *, close / lag(close) {H} - 1 AS ret_1 FROM dirty_bars) LEFT JOIN market_ret USING (date)""",
+    "date code " + " ".join(f"r:{f}" for f in DIRTY),
+)

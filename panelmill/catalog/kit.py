@@ -117,7 +117,7 @@ cte(
     SELECT {code_of('l_suppkey')} AS code, {week_of('l_shipdate')} AS date,
            100 + l_extendedprice / l_quantity / 1000 AS price, l_quantity AS quantity,
            l_extendedprice AS amount,
-           row(l_shipdate, l_orderkey, l_linenumber, l_partkey % 131072) AS seq
+           row(l_shipdate, l_orderkey, l_linenumber, l_partkey) AS seq
     FROM lineitem""",
 )
 cte(

@@ -1,21 +1,19 @@
 """Per-group statistics, ranks and order statistics that hold for any group size.
 
-A date holds one row per instrument, so the group size grows with the universe. Every
-primitive has two physical forms with the same result:
+A date holds one row per instrument, so the group size grows with the universe. No primitive
+brings a group into one task, and each has one form at every size:
 
-* ``wide=False``: one window per group, for groups that fit in a task;
-* ``wide=True``: no group is ever brought into one task. Statistics are partial
-  aggregates joined back; ranks come from a range partitioning on (keys, order) with
-  per-partition offsets, so even a group holding most of the rows is spread out.
+* statistics are partial aggregates, one row per group, joined back;
+* quantiles are selected from the values between two approximate quantiles, counted per value;
+* ranks are counted in slices of about ``SLICE_ROWS`` rows, cut at approximate quantiles; a
+  value that fills a slice is a slice of its own, ranked by its count alone. A group of fewer
+  rows is one slice.
 
-``is_wide`` picks the form from a checked row count.
+The primitives evaluate their input several times; ``stored`` makes that cheap.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -24,12 +22,13 @@ from pyspark.sql import functions as F
 
 from .columns import col
 
-# Rows of one group that a single task may sort.
-MAX_ROWS_PER_TASK = 2_000_000
-
-
-def is_wide(rows_per_group: int) -> bool:
-    return rows_per_group > MAX_ROWS_PER_TASK
+# Rows of one group that a task sorts, and the most slices of a group.
+SLICE_ROWS, MOST_SLICES = 1_000_000, 200
+# Files of a table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+# Accuracy of approximate quantiles: ranks are off by at most n / ACCURACY.
+ACCURACY = 10_000
+SALTS = 64
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -38,50 +37,61 @@ def durable(df: DataFrame) -> DataFrame:
     The copy survives lost executors and, unlike a cached or checkpointed RDD, gives the
     optimizer file sizes and column pruning.
     """
-    path = f"{shared_dir(df.sparkSession)}/panelmill-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a stored table; written unless it is one just as it was read."""
+    return df if getattr(df, "stored_at", None) else durable(df)
 
 
-_local_dirs: dict[str, str] = {}
+def checked(df: DataFrame) -> DataFrame:
+    """A table stored and, where its files are small, marked for broadcast."""
+    table = stored(df)
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster; a temporary one only
-    for a local master where none is configured."""
+    """Folder every executor can reach, as named by the cluster; the session's warehouse
+    only for a local master where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if context.applicationId not in _local_dirs:
-        made = tempfile.mkdtemp(prefix="panelmill-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _local_dirs[context.applicationId] = made
-    return _local_dirs[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
 
 
-def with_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], wide: bool = False
-) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/panelmill-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Attach aggregates of each group to its rows."""
-    if not wide:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(w) for name, agg in stats.items()})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(table, list(keys), "left")
-
+    return df.join(checked(table), list(keys), "left")
 
-def with_row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, wide: bool = False
-) -> DataFrame:
-    """1-based position inside each group; ``order`` must be total inside a group.
 
-    An empty ``keys`` numbers the whole table and always takes the spread form.
-    """
-    if keys and not wide:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position inside each group; ``order`` must be total inside a group. An empty
+    ``keys`` numbers the whole table. Rows are range partitioned on (keys, order), so a value
+    that many rows share is spread as well."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The written copy pins the sampled range bounds: both reads below see the same slices.
@@ -98,64 +108,153 @@ def with_row_number(
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
     numbered = ranged.withColumn("_local", F.row_number().over(local))
     return (
-        numbered.join(offsets, [*keys, "_slice"])
+        numbered.join(checked(offsets), [*keys, "_slice"])
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_slice", "_local", "_before")
     )
 
 
-def with_average_rank(
+def with_ranks(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
-    out: str,
+    averages: Mapping[str, str],
+    numbers: Mapping[str, str] | None = None,
+    counts: Mapping[str, str] | None = None,
     unique: Sequence[str] = ("code",),
-    wide: bool = False,
 ) -> DataFrame:
-    """Average-tie rank of ``value`` inside each group; NULL values get a NULL rank."""
-    if not wide:
-        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = Window.partitionBy(*keys, value)
-        rank = F.rank().over(w) + (F.count(value).over(ties) - 1) / 2.0
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
-    order = [F.col(value).asc_nulls_last(), *[F.col(u) for u in unique]]
-    numbered = with_row_number(df, keys, order, "_rn", wide=True)
-    tied = (
-        numbered.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(((F.min("_rn") + F.max("_rn")) / 2.0).alias(out))
-    )
-    return numbered.drop("_rn").join(tied, [*keys, value], "left")
+    """Attach ranks of columns inside each group, ascending.
+
+    ``averages`` maps an output to the column whose average-tie rank it is, ``numbers`` to the
+    column whose 1-based position it is, ties by ``unique``, and ``counts`` to the column whose
+    values it counts; ``unique`` tells the rows of a group apart. NULL values have no rank.
+    """
+    numbers, counts = numbers or {}, counts or {}
+    values = list(dict.fromkeys([*averages.values(), *numbers.values()]))
+    sizes = checked(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(v).alias(out) for out, v in counts.items()]))
+    rows = df.join(sizes, list(keys), "left") if counts else df
+    # Only groups of more than a slice have cut points; the others meet an empty table.
+    large = F.broadcast(durable(sizes.filter(F.col("_rows") > SLICE_ROWS).select(*keys)))
+    cuts = checked(df.join(large, list(keys), "left_semi").groupBy(*keys).agg(*[_cut_points(v).alias(f"_cuts{i}") for i, v in enumerate(values)]))
+    rows = rows.drop("_rows").join(cuts, list(keys), "left")
+    for i, v in enumerate(values):
+        rows = rows.withColumn(f"_slice{i}", _slice_of(F.col(v), F.col(f"_cuts{i}")))
+    held = checked(_slice_sizes(rows.filter(F.col("_cuts0").isNotNull()), keys, len(values)))
+    lone = [not held.filter(F.exists(F.map_keys("_held"), _is_lone(i))).isEmpty() for i in range(len(values))]
+    rows = rows.drop(*[f"_cuts{i}" for i in range(len(values))]).join(held, list(keys), "left")
+    for i, _ in enumerate(values):
+        place = F.struct(F.lit(i).alias("i"), F.col(f"_slice{i}").alias("s"))
+        rows = rows.withColumn(f"_held{i}", F.try_element_at("_held", place))
+    rows = rows.drop("_held")
+    salt = F.pmod(F.hash(*unique), F.lit(SALTS))
+    for out, v in numbers.items():
+        i = values.index(v)
+        part = [*keys, f"_slice{i}", F.when(F.col(v).isNull(), salt).otherwise(0)]
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(v, *unique))
+        placed = F.when(F.col(v).isNotNull(), place + F.coalesce(F.col(f"_held{i}.below"), F.lit(0)))
+        if not lone[i]:
+            rows = rows.withColumn(out, placed)
+            continue
+        # Rows of a value that fills slices are numbered by ``unique`` alone, spread over tasks.
+        alone = F.coalesce(F.col(f"_slice{i}") % 2 == 1, F.lit(False))
+        rest = rows.filter(~alone).withColumn(out, placed)
+        tied = with_row_number(rows.filter(alone), [*keys, v], [F.col(u) for u in unique], out)
+        rows = rest.unionByName(tied.withColumn(out, F.col(out) + F.col(f"_held{i}.below")).select(*rest.columns))
+    for out, v in averages.items():
+        i = values.index(v)
+        held, alone = F.col(f"_held{i}"), F.col(f"_slice{i}") % 2 == 1
+        # Rows that need no order are spread: those of a lone value, and those without one.
+        part = [*keys, f"_slice{i}", F.when(alone | F.col(v).isNull(), salt).otherwise(0)]
+        first = F.rank().over(Window.partitionBy(*part).orderBy(v))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*part, v))
+        rank = F.when(alone, (held.n + 1) / 2.0).otherwise(first + (ties - 1) / 2.0) + F.coalesce(held.below, F.lit(0))
+        rows = rows.withColumn(out, F.when(F.col(v).isNotNull(), rank))
+    return rows.drop(*[f"_slice{i}" for i in range(len(values))], *[f"_held{i}" for i in range(len(values))])
+
+
+def _is_lone(column: int):
+    return lambda place: (place["i"] == column) & (place["s"] % 2 == 1)
+
+
+def _slice_sizes(rows: DataFrame, keys: Sequence[str], columns: int) -> DataFrame:
+    """One row per group: a map from (column, slice) to its size and the rows below it; at most
+    2 MOST_SLICES entries a column."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_slice{i}").alias("s")) for i in range(columns)]))
+    sizes = rows.select(*keys, each.alias("e")).filter("e.s is not null").groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy(*keys).agg(F.collect_list(F.struct("e", "n")).alias("_all"))
+    below = "aggregate(filter(_all, y -> y.e.i = x.e.i AND y.e.s < x.e.s), 0L, (t, y) -> t + y.n)"
+    return lists.select(*keys, F.expr(f"map_from_entries(transform(_all, x -> struct(x.e, struct({below} AS below, x.n AS n))))").alias("_held"))
+
+
+def _slice_of(value: Column, cuts: Column) -> Column:
+    """Even between two cuts, odd on a cut."""
+    under = F.size(F.filter(cuts, lambda cut: cut < value))
+    place = F.when(cuts.isNull(), 0).otherwise(under * 2 + F.array_contains(cuts, value).cast("int"))
+    return F.when(value.isNotNull(), place)
+
+
+def _cut_points(value: str) -> Column:
+    """Values that cut a group into slices of about SLICE_ROWS rows."""
+    n = F.least(F.lit(MOST_SLICES), F.ceil(F.count(value) / SLICE_ROWS)).cast("int")
+    points = F.percentile_approx(value, [k / MOST_SLICES for k in range(1, MOST_SLICES)], F.lit(ACCURACY))
+    picked = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.get(points, (k * MOST_SLICES / n).cast("int") - 1))
+    return F.when(n > 1, F.array_sort(F.array_distinct(picked))).otherwise(F.slice(points, 1, 0))
 
 
 def with_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    unique: Sequence[str] = ("code",),
-    wide: bool = False,
+    df: DataFrame, keys: Sequence[str], quantiles: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
-    """Attach exact linearly interpolated quantiles of ``value`` per group."""
-    if not wide:
-        w = Window.partitionBy(*keys)
-        return df.withColumns(
-            {out: F.percentile(value, F.lit(q)).over(w) for out, q in quantiles.items()}
+    """Attach exact linearly interpolated quantiles: output -> (column, q)."""
+    return df.join(checked(quantile_table(df, keys, quantiles)), list(keys), "left").drop("_missed")
+
+
+def quantile_table(df: DataFrame, keys: Sequence[str], quantiles: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``keys`` and the quantiles, one stored row per group.
+
+    Approximate quantiles on either side of the wanted one bracket it. Only values inside the
+    bracket are counted one by one, the others as a number below, so a group sends a few
+    ten-thousandths of its rows. A bracket that misses is widened and tried again.
+    """
+    outs = list(quantiles)
+    margin = 2.0 / ACCURACY
+    while True:
+        edges = []
+        for i, (v, q) in enumerate(quantiles.values()):
+            ends = [max(q - margin, 0.0), min(q + margin, 1.0)]
+            edges += [F.count(v).alias(f"_n{i}"), F.percentile_approx(v, ends, F.lit(ACCURACY)).alias(f"_ends{i}")]
+        brackets = checked(df.groupBy(*keys).agg(*edges))
+        rows = df.select(*keys, *dict.fromkeys(v for v, _ in quantiles.values())).join(brackets, list(keys))
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"), F.col(f"_n{i}").alias("n"), F.lit(q).alias("q"),
+                    # NULL stands for all values below the bracket.
+                    F.when(F.col(v) >= F.get(f"_ends{i}", F.lit(0)), F.col(v)).alias("v"),
+                    (F.col(v) <= F.get(f"_ends{i}", F.lit(1))).alias("used"),
+                )
+                for i, (v, q) in enumerate(quantiles.values())
+            ]
+        )
+        counted = rows.select(*keys, F.explode(cells).alias("c")).filter("c.used").groupBy(*keys, "c.i", "c.n", "c.q", "c.v").agg(
+            F.count(F.lit(1)).alias("m")
         )
-    # Order statistics by position: two rows per group and quantile survive the filter.
-    present = df.filter(F.col(value).isNotNull()).select(*keys, value, *unique)
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col(value), *[F.col(u) for u in unique]]
-    numbered = with_row_number(present, keys, order, "_rn", wide=True).join(sizes, list(keys))
-    picks = []
-    for out, q in quantiles.items():
-        at = (F.col("_n") - 1) * F.lit(q)
+        upto = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        at = (F.col("n") - 1) * F.col("q")
         low = F.floor(at)
-        lo = F.max(F.when(F.col("_rn") == low + 1, F.col(value)))
-        hi = F.max(F.when(F.col("_rn") == F.ceil(at) + 1, F.col(value)))
-        frac = F.max(at - low)
-        picks.append((lo + (hi - lo) * frac).alias(out))
-    return df.join(numbered.groupBy(*keys).agg(*picks), list(keys), "left")
+        placed = counted.withColumn("end", F.sum("m").over(upto))
+
+        def value_at(k: Column) -> Column:
+            return F.max(F.when((F.col("end") - F.col("m") <= k) & (k < F.col("end")), F.col("v")))
+
+        lo, hi = value_at(low), value_at(F.ceil(at))
+        picks = placed.groupBy(*keys, "i").agg((lo + (hi - lo) * F.max(at - low)).alias("x"))
+        table = durable(
+            picks.groupBy(*keys).agg(
+                *[F.max(F.when(F.col("i") == i, F.col("x"))).alias(out) for i, out in enumerate(outs)], F.bool_or(F.col("x").isNull()).alias("_missed")
+            )
+        )
+        if margin >= 1 or table.filter("_missed").isEmpty():
+            return table
+        margin *= 16
 
 
 def top_per_group(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_code, ratio
-from ..functions.groups import with_group_stats
+from ..functions.groups import stored, with_group_stats
+from .joins import asof_join
 
 
 def in_calendar():
@@ -26,11 +27,9 @@ def forward_return(panel: DataFrame, h: int, out: str = "future_return") -> Data
     return panel.withColumn(out, ratio(F.lead("close", h).over(by_code()), "close") - 1)
 
 
-def cross_section_excess(
-    panel: DataFrame, label: str = "future_return", out: str = "label", wide: bool = False
-) -> DataFrame:
+def cross_section_excess(panel: DataFrame, label: str = "future_return", out: str = "label") -> DataFrame:
     """Label minus its date mean (L2)."""
-    df = with_group_stats(panel, ("date",), {"_mean": F.avg(label)}, wide)
+    df = with_group_stats(stored(panel), ("date",), {"_mean": F.avg(label)})
     return df.withColumn(out, F.col(label) - F.col("_mean")).drop("_mean")
 
 
@@ -103,42 +102,76 @@ def calibration(
 
     Only labels with ``exit_date < signal_date`` count, and with ``lower`` (a column of
     ``signals``) only those signalled on or after it. Labels shrink to one row of moments
-    per event before they meet the signals, so the join is over calendar rows only.
+    per event; running totals of these rows are an index in time. A signal reads the totals
+    as of the last exit before it and, with ``lower``, as of the last signal before that, and
+    takes the difference: two as-of lookups, no range join. Labels of a later signal must not
+    leave earlier, as on any rebalance grid.
 
     Adds ``n_obs, training_end, intercept, slope`` to ``signals``; the line is NULL with
     fewer than ``min_obs`` labels or a single distinct score. ``keys`` separate scenarios.
     """
-    own = [F.col(k).alias(f"_k_{k}") for k in keys]
-    moments = labels.groupBy(*own, F.col("signal_date").alias("_sig"), F.col("exit_date").alias("_exit")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("score").alias("_sx"),
-        F.sum("future_return").alias("_sy"),
-        F.sum(F.col("score") * F.col("future_return")).alias("_sxy"),
-        F.sum(F.col("score") * F.col("score")).alias("_sxx"),
-        F.min("score").alias("_lo"),
-        F.max("score").alias("_hi"),
-    )
-    past = F.col("_exit") < F.col("signal_date")
-    if lower is not None:
-        past = past & (F.col("_sig") >= F.col(lower))
-    for k in keys:
-        past = past & (F.col(f"_k_{k}") == F.col(k))
-    joined = signals.join(F.broadcast(moments), past, "left")
-    columns = signals.columns
-    n, sx, sy, sxy, sxx = (F.sum(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx"))
-    table = joined.groupBy(*columns).agg(
-        F.coalesce(n, F.lit(0)).alias("n_obs"),
-        F.max("_exit").alias("training_end"),
-        sx.alias("_sx"), sy.alias("_sy"), sxy.alias("_sxy"), sxx.alias("_sxx"),
-        (F.max("_hi") > F.min("_lo")).alias("_varies"),
+    index = moment_index(labels, keys)
+    totals = [c for c in index.columns if c not in (*keys, "_sig", "_exit", "_closes", "_opens")]
+    upper, under = {c: f"_u{c}" for c in [*totals, "_exit"]}, {c: f"_l{c}" for c in totals}
+    closed = index.filter("_closes").select(*keys, F.col("_exit").alias("_at"), *[F.col(c).alias(x) for c, x in upper.items()])
+    table = asof_join(signals, closed, keys, "signal_date", "_at", list(upper.values()), strict=True)
+    if lower is None:
+        table = table.withColumns({x: F.lit(None).cast(index.schema[c].dataType) for c, x in under.items()})
+    else:
+        opened = index.filter("_opens").select(*keys, F.col("_sig").alias("_at"), *[F.col(c).alias(x) for c, x in under.items()])
+        table = asof_join(table, opened, keys, lower, "_at", list(under.values()), strict=True)
+    # What is excluded ends no later than what is known.
+    some = F.coalesce(F.col("_u_pos") > F.coalesce("_l_pos", F.lit(0)), F.lit(False))
+
+    def within(c: str) -> Column:
+        return F.when(some, F.col(upper[c]) - F.coalesce(F.col(under[c]), F.lit(0)))
+
+    varies = (within("_mixed") > 0) | (F.col("_u_turns") > F.coalesce("_l_next_turns", F.lit(0)))
+    fit = table.select(
+        *signals.columns,
+        F.coalesce(within("_n"), F.lit(0)).alias("n_obs"),
+        F.when(some, F.col("_u_exit")).alias("training_end"),
+        *[within(c).alias(c) for c in ("_sx", "_sy", "_sxy", "_sxx")],
+        F.when(some, varies).alias("_varies"),
     )
     slope = (F.col("n_obs") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / F.nullif(
         F.col("n_obs") * F.col("_sxx") - F.col("_sx") * F.col("_sx"), F.lit(0.0)
     )
-    fit = table.withColumn("slope", F.when((F.col("n_obs") >= min_obs) & F.col("_varies"), slope))
+    fit = fit.withColumn("slope", F.when((F.col("n_obs") >= min_obs) & F.col("_varies"), slope))
     return fit.withColumn(
         "intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("n_obs")
-    ).select(*columns, "n_obs", "training_end", "intercept", "slope")
+    ).select(*signals.columns, "n_obs", "training_end", "intercept", "slope")
+
+
+def moment_index(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Running moments of labels in order of time, one row per event.
+
+    ``_n, _sx, _sy, _sxy, _sxx`` are totals up to the row, ``_pos`` its place. ``_mixed``
+    counts rows with several scores and ``_turns`` changes of score from row to row, so a
+    difference of two rows tells whether scores vary in between. ``_closes`` and ``_opens``
+    mark the last row of an exit and of a signal date.
+    """
+    x, y = F.col("score"), F.col("future_return")
+    sums = {"_n": F.count(F.lit(1)), "_sx": F.sum(x), "_sy": F.sum(y), "_sxy": F.sum(x * y), "_sxx": F.sum(x * x)}
+    events = labels.groupBy(*keys, F.col("signal_date").alias("_sig"), F.col("exit_date").alias("_exit")).agg(
+        *[agg.alias(name) for name, agg in sums.items()], F.min("score").alias("_lo"), F.max("score").alias("_hi")
+    )
+    order = Window.partitionBy(*keys).orderBy("_exit", "_sig")
+    turn = F.coalesce(F.col("_lo") != F.lag("_hi").over(order), F.lit(False))
+    events = events.withColumns({"_mixed": (F.col("_lo") < F.col("_hi")).cast("long"), "_turns": turn.cast("long")})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    totals = events.select(
+        *keys, "_sig", "_exit",
+        *[F.sum(c).over(so_far).alias(c) for c in (*sums, "_mixed", "_turns")],
+        F.row_number().over(order).alias("_pos"),
+    )
+    return totals.withColumns(
+        {
+            "_next_turns": F.lead("_turns").over(order),
+            "_closes": F.coalesce(F.lead("_exit").over(order) != F.col("_exit"), F.lit(True)),
+            "_opens": F.coalesce(F.lead("_sig").over(order) != F.col("_sig"), F.lit(True)),
+        }
+    )
 
 
 def ordered_split(

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chains import first_position, on_chain, positions_bitmap
 from ..functions.columns import ratio
 from ..functions.groups import durable
 from .joins import asof_join, fill_sessions
@@ -259,55 +260,56 @@ def controlled_equity(
     return table.groupBy(*keys).applyInPandas(fold, schema)
 
 
+def successors(holdings: DataFrame, prices: DataFrame, keys: Sequence[str] = ("scenario",)) -> DataFrame:
+    """``keys, p, entry_date, succ``: the first later plan at which each basket can be sold.
+
+    A basket can be sold where every name that it bought has a positive open. The plans at
+    which a name trades are one bitmap per name; the bitmaps of a basket's names are combined
+    by a bitwise aggregate, and the first bit after the basket is its successor. Rows are
+    holdings, never pairs of baskets. NULL: no later plan can trade.
+    """
+    baskets = durable(basket_table(holdings, keys).select(*keys, F.col("p").cast("long").alias("p"), "entry_date"))
+    opens = prices.filter(F.col("open") > 0).select("code", F.col("date").alias("entry_date"))
+    names = holdings.filter(F.col("weight") > 0).select(*keys, F.col("date").alias("entry_date"), "code").distinct()
+    # Opens on the plan days of each scenario, for names that it ever holds.
+    held = names.select(*keys, "code").distinct()
+    traded = durable(
+        opens.join(baskets, "entry_date").join(held, [*keys, "code"], "left_semi").select(*keys, "code", "p")
+    )
+    bought = durable(names.join(baskets, [*keys, "entry_date"]).join(traded, [*keys, "code", "p"]).select(*keys, "code", "p"))
+    bitmaps = positions_bitmap(traded, [*keys, "code"], "p")
+    size = bought.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("_names"))
+    together = (
+        bought.join(bitmaps, [*keys, "code"])
+        .groupBy(*keys, "p", "_block")
+        .agg(F.bitmap_and_agg("_bits").alias("_bits"), F.count(F.lit(1)).alias("_have"))
+        .join(size, [*keys, "p"])
+        # A name without a single open in a block leaves it without a common plan.
+        .filter(F.col("_have") == F.col("_names"))
+    )
+    ends = baskets.groupBy(*keys).agg(F.max("p").alias("_last"))
+    free = first_position(F.col("_bits"), F.col("_block"), F.col("p") + 1, F.col("_last"))
+    ready = together.join(ends, list(keys)).select(*keys, "p", free.alias("succ")).groupBy(*keys, "p").agg(F.min("succ").alias("succ"))
+    # A basket that bought nothing hands over at once.
+    plan = baskets.join(size, [*keys, "p"], "left").join(ready, [*keys, "p"], "left")
+    return plan.select(
+        *keys, "p", "entry_date", F.when(F.col("_names").isNotNull(), F.col("succ")).otherwise(F.col("p") + 1).alias("succ")
+    )
+
+
 def executed_baskets(
     holdings: DataFrame, prices: DataFrame, keys: Sequence[str] = ("scenario",)
 ) -> DataFrame:
     """Holdings of the rebalances that can trade.
 
     A rebalance waits when a name of the basket in force has no positive open that day;
-    the next planned one replaces it. Whether basket p may hand over at plan q is a grouped
-    count over held names; following the first possible successor is a walk over the plan
-    rows of one scenario.
+    the next planned one replaces it. The baskets in force are the chain of successors from
+    the first plan on, found by pointer jumping.
     """
     holdings = durable(holdings)
-    baskets = basket_table(holdings, keys).select(*keys, "p", "entry_date")
-    opens = prices.filter(F.col("open") > 0).select("code", "date")
-    names = holdings.filter(F.col("weight") > 0).select(
-        *keys, F.col("date").alias("entry_date"), "code"
-    )
-    bought = names.join(opens.withColumnRenamed("date", "entry_date"), ["code", "entry_date"])
-    later = baskets.select(*keys, F.col("p").alias("q"), F.col("entry_date").alias("date"))
-    pairs = baskets.join(F.broadcast(later), list(keys)).filter(F.col("q") > F.col("p"))
-    wanted = bought.join(F.broadcast(pairs), [*keys, "entry_date"])
-    found = wanted.join(opens.withColumn("_open", F.lit(1)), ["code", "date"], "left")
-    ready = (
-        found.groupBy(*keys, "p", "q")
-        .agg((F.count("_open") == F.count(F.lit(1))).alias("_all"))
-        .filter(F.col("_all"))
-        .groupBy(*keys, "p")
-        .agg(F.min("q").alias("succ"))
-    )
-    # A basket that bought nothing hands over at once.
-    some = bought.select(*keys, "entry_date").distinct().withColumn("_some", F.lit(True))
-    plan = (
-        baskets.join(ready, [*keys, "p"], "left")
-        .join(some, [*keys, "entry_date"], "left")
-        .withColumn("succ", F.when(F.col("_some"), F.col("succ")).otherwise(F.col("p") + 1))
-        .select(*keys, "p", "entry_date", "succ")
-    )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        successor = dict(zip(pdf["p"], pdf["succ"]))
-        here, kept = pdf["p"].min(), []
-        while here in successor:
-            kept.append(here)
-            here = successor[here]
-        return pdf.loc[pdf["p"].isin(kept), [*keys, "entry_date"]]
-
-    types = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", entry_date date"
-    kept = plan.groupBy(*keys).applyInPandas(walk, schema).withColumnRenamed("entry_date", "date")
-    return holdings.join(F.broadcast(kept), [*keys, "date"], "left_semi")
+    plan = durable(successors(holdings, prices, keys))
+    kept = on_chain(plan, keys, "p", "succ").join(plan.drop("succ"), [*keys, "p"])
+    return holdings.join(kept.select(*keys, F.col("entry_date").alias("date")), [*keys, "date"], "left_semi")
 
 
 def constant_weight_nav(

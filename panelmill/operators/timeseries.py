@@ -8,12 +8,12 @@ Factors are NULL until their window is full.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_code, lagged, ratio, rolling, trailing
+from ..functions.columns import by_code, finite, lagged, ratio, rolling, trailing
 
 # Sessions per year used to annualise.
 SESSIONS_PER_YEAR = 252
@@ -21,16 +21,32 @@ SESSIONS_PER_YEAR = 252
 FactorFn = Callable[[], Column]
 
 
-# Inputs whose means and deviations come from running totals.
+# Window lengths built from one another: each is a multiple of the one before.
+BLOCKS = (5, 20, 60, 120)
+# Inputs whose means come from block sums.
 TOTALLED = ("close", "amount", "volume", "turnover", "ret_1")
+PRICES = ("open", "high", "low", "close", "volume", "amount", "turnover")
+
+
+def finite_bars(bars: DataFrame) -> DataFrame:
+    """NaN and infinities of the bar columns become NULL, so they count as missing sessions
+    of their windows and of no other."""
+    return bars.withColumns({x: finite(x) for x in PRICES if x in bars.columns and _is_real(bars, x)})
+
+
+def _is_real(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() in ("double", "float")
 
 
 def with_changes(bars: DataFrame) -> DataFrame:
-    """Add one-session lags, returns and the running totals that the factors read.
+    """Add one-session lags, returns and the block statistics that the factors read.
 
-    A rolling mean is the difference of two running totals, so its cost does not grow with
-    the window; unused totals are pruned by the optimizer.
+    A window of 120 rows is two of 60, one of 60 is three of 20, one of 20 is four of 5: sums
+    add up along that ladder by lags over one sort, so the cost of a window does not grow with
+    its length. Nothing is ever subtracted: a missing, non-finite or extreme value touches the
+    windows that hold it and leaves with them. Unused columns are pruned by the optimizer.
     """
+    bars = finite_bars(bars)
     df = bars.withColumns(
         {
             "prev_close": lagged("close"),
@@ -39,24 +55,38 @@ def with_changes(bars: DataFrame) -> DataFrame:
             "amount_change": ratio("amount", lagged("amount")) - 1,
         }
     )
-    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    totals = {}
-    for x in TOTALLED:
-        if x in df.columns:
-            totals[f"_n_{x}"] = F.count(x).over(w)
-            totals[f"_s_{x}"] = F.coalesce(F.sum(x).over(w), F.lit(0.0))
-    totals["_q_ret_1"] = F.coalesce(F.sum(F.col("ret_1") * F.col("ret_1")).over(w), F.lit(0.0))
-    return df.withColumns(totals)
+    return with_blocks(df, [x for x in TOTALLED if x in df.columns], {"ret_1": ("ret_1", "ret_1")})
 
 
-def total_of(name: str, n: int) -> Column:
-    """Sum of the last n rows as a difference of running totals."""
-    return F.col(name) - F.lag(name, n, 0).over(by_code())
+def with_blocks(df: DataFrame, sums: Sequence[str], products: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Block statistics over the last n rows for every n of BLOCKS, NULL unless all are present.
+
+    ``_s{n}_{x}``: sum of x. ``_c{n}_{name}``: sum of (a - mean a)(b - mean b) for the columns
+    (a, b) of a product, merged from shorter blocks by the spread of their means; a and b must
+    be among ``sums`` and NULL in the same rows.
+    """
+    w, b = trailing(BLOCKS[0]), BLOCKS[0]
+    level = {f"_s{b}_{x}": F.when(F.count(x).over(w) == b, F.sum(x).over(w)) for x in sums}
+    for name, (x, y) in products.items():
+        level[f"_c{b}_{name}"] = F.when(F.count(x).over(w) == b, F.covar_pop(x, y).over(w) * b)
+    df = df.withColumns(level)
+    for small, big in zip(BLOCKS, BLOCKS[1:], strict=False):
+        parts = range(big // small)
+        back = lambda c, k, small=small: F.lag(c, k * small).over(by_code()) if k else F.col(c)
+        df = df.withColumns({f"_s{big}_{x}": sum((back(f"_s{small}_{x}", k) for k in parts), F.lit(0.0)) for x in sums})
+        level = {}
+        for name, (x, y) in products.items():
+            inside = sum((back(f"_c{small}_{name}", k) for k in parts), F.lit(0.0))
+            apart = [(back(f"_s{small}_{c}", k) / small - F.col(f"_s{big}_{c}") / big) for k in parts for c in (x, y)]
+            between = sum((u * v for u, v in zip(apart[::2], apart[1::2], strict=True)), F.lit(0.0))
+            level[f"_c{big}_{name}"] = inside + between * small
+        df = df.withColumns(level)
+    return df
 
 
 def mean_of(name: str, n: int) -> Column:
     """Rolling mean, NULL until n values are present."""
-    return F.when(total_of(f"_n_{name}", n) == n, total_of(f"_s_{name}", n) / n)
+    return F.col(f"_s{n}_{name}") / n if n in BLOCKS else rolling(F.avg, name, n)
 
 
 def momentum(n: int) -> Column:
@@ -69,9 +99,7 @@ def trend(n: int) -> Column:
 
 def volatility(n: int) -> Column:
     """Sample deviation of the last n returns."""
-    s, q = total_of("_s_ret_1", n), total_of("_q_ret_1", n)
-    spread = F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)
-    return F.when(total_of("_n_ret_1", n) == n, F.sqrt(spread))
+    return F.sqrt(F.col(f"_c{n}_ret_1") / (n - 1)) if n in BLOCKS else rolling(F.stddev_samp, "ret_1", n)
 
 
 def drawdown(n: int) -> Column:
@@ -115,26 +143,22 @@ def volatility_breakout(n: int = 20) -> Column:
 
 
 def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
-    """Join the index returns and add the running co-moments that the betas read.
+    """Join the index returns and add the co-moments that the betas read.
 
     The index has one row per session, so it is broadcast.
     """
     df = panel.join(F.broadcast(market_returns(market)), "date", "left")
     both = F.col("ret_1").isNotNull() & F.col("market_return").isNotNull()
-    r, m = F.when(both, F.col("ret_1")), F.when(both, F.col("market_return"))
-    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    moments = {"_b_r": r, "_b_m": m, "_b_rm": r * m, "_b_mm": m * m}
-    df = df.withColumns({k: F.coalesce(F.sum(x).over(w), F.lit(0.0)) for k, x in moments.items()} | {"_b_n": F.count(r).over(w)})
-    return df
+    df = df.withColumns({"_r": F.when(both, F.col("ret_1")), "_m": F.when(both, F.col("market_return"))})
+    return with_blocks(df, ["_r", "_m"], {"rm": ("_r", "_m"), "mm": ("_m", "_m")})
 
 
 def beta(n: int) -> Column:
     """Rolling covariance over market variance (population), full windows only."""
-    r, m, rm, mm = (total_of(f"_b_{k}", n) / n for k in ("r", "m", "rm", "mm"))
-    variance = mm - m * m
-    # A market that does not move leaves rounding noise in the difference of totals.
-    moves = variance > mm * 1e-13
-    return F.when((total_of("_b_n", n) == n) & moves, (rm - r * m) / variance)
+    variance, mean = F.col(f"_c{n}_mm") / n, F.col(f"_s{n}__m") / n
+    # A market that does not move leaves rounding noise.
+    moves = variance > (variance + mean * mean) * 1e-13
+    return F.when(moves, F.col(f"_c{n}_rm") / n / variance)
 
 
 FACTORS: dict[str, FactorFn] = {
@@ -221,7 +245,7 @@ def build_factors(
     unknown = sorted(set(wanted.values()) - set(FACTORS))
     if unknown:
         raise ValueError(f"unknown factor(s): {', '.join(unknown)}")
-    panel = with_changes(macd(bars) if MACD_COLUMNS & set(wanted.values()) else bars)
+    panel = with_changes(macd(finite_bars(bars)) if MACD_COLUMNS & set(wanted.values()) else bars)
     if market is not None:
         panel = with_market(panel, market)
     return panel.select(
@@ -237,7 +261,7 @@ def market_returns(market: DataFrame) -> DataFrame:
 
 def ema(df: DataFrame, x: str, span: int, out: str, block: int = 512) -> DataFrame:
     """Exponential mean y = a x + (1 - a) y', a = 2 / (span + 1), first value as seed,
-    NULL before ``span`` observations. ``x`` may only be NULL before its first value.
+    NULL before ``span`` observations. Rows without a value are skipped and stay NULL.
 
     The recursion is a weighted prefix sum. Weights are rebased every ``block`` rows so
     they cannot overflow; a value two blocks back carries (1 - a) ** block, below double
@@ -287,7 +311,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 def breadth(bars: DataFrame, window: int = 20) -> DataFrame:
     """``date, breadth``: share of instruments above their own moving mean (F16)."""
-    above = bars.select("date", (F.col("close") > rolling(F.avg, "close", window)).alias("_above"))
+    above = finite_bars(bars).select("date", (F.col("close") > rolling(F.avg, "close", window)).alias("_above"))
     return (
         above.filter(F.col("_above").isNotNull())
         .groupBy("date")
@@ -297,7 +321,7 @@ def breadth(bars: DataFrame, window: int = 20) -> DataFrame:
 
 def latest_breadth(bars: DataFrame, as_of: str, window: int = 20) -> DataFrame:
     """One row: breadth over the last bar of each instrument up to ``as_of``."""
-    flagged = bars.filter(F.col("date") <= F.lit(as_of).cast("date")).select(
+    flagged = finite_bars(bars).filter(F.col("date") <= F.lit(as_of).cast("date")).select(
         "code", "date", (F.col("close") > rolling(F.avg, "close", window)).alias("_above")
     )
     last = flagged.groupBy("code").agg(F.max_by("_above", "date").alias("_above"))

@@ -7,13 +7,9 @@ of listed equities and compounded curves keep their precision.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.groups import is_wide
-
 
 # Shares outstanding of every instrument. A power of two keeps turnover, and the ties in
 # its rolling means, exact.
@@ -38,17 +34,28 @@ def week(ts: Column | str) -> Column:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier, date, price, quantity, amount and a total order inside a week."""
-    lines = table(spark, sf_dir, "lineitem")
-    # One long orders the trades of a week (day, order, line, part): fixed-width buffers
-    # keep min_by/max_by in the hash aggregate, before the shuffle.
-    day = F.weekday(F.col("l_shipdate").cast("date")).cast("long")
-    seq = (
-        (day * F.lit(1 << 40) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
-    ) * F.lit(1 << 17) + F.col("l_partkey") % F.lit(1 << 17)
+    return trades_of(table(spark, sf_dir, "lineitem"))
+
+
+# A trade's place in its week as two longs, joined to one decimal of 38 digits: microseconds and
+# the leading digits of the order above its last LOW_ORDER digits, the line and the part. It keeps the
+# buffers of min_by and max_by fixed in width, so they stay in the hash aggregate and combine
+# before the shuffle. Orders may have 12 digits, lines 2 and parts 11.
+LOW_ORDER, LINE_DIGITS, PART_DIGITS = 5, 2, 11
+LOW_DIGITS = LOW_ORDER + LINE_DIGITS + PART_DIGITS
+
+
+def trades_of(lines: DataFrame) -> DataFrame:
+    """Trades of order lines; a line without quantity has no price."""
+    since = F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(week("l_shipdate").cast("timestamp"))
+    order, head = F.col("l_orderkey").cast("long"), 10**LOW_ORDER
+    high = since * F.lit(10**7) + F.floor(order / head)
+    low = ((order % head) * F.lit(10**LINE_DIGITS) + F.col("l_linenumber")) * F.lit(10**PART_DIGITS) + F.col("l_partkey")
+    seq = (high.cast("decimal(19,0)") * F.lit(10**LOW_DIGITS).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)")
     return lines.select(
         F.col("l_suppkey").alias("supplier"),
         week("l_shipdate").alias("date"),
-        (F.lit(100.0) + F.col("l_extendedprice") / F.col("l_quantity") / 1000.0).alias("price"),
+        (F.lit(100.0) + F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) / 1000.0).alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("amount"),
         seq.alias("seq"),
@@ -56,12 +63,14 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_from_trades(ticks: DataFrame, key: str = "code") -> DataFrame:
-    """OHLCV bars (S15): one partial aggregate and one shuffle on (key, date)."""
+    """OHLCV bars (S15): one partial aggregate and one shuffle on (key, date). Prices come
+    from the trades that have one."""
+    priced = F.when(F.col("price").isNotNull(), F.col("seq"))
     return ticks.groupBy(key, "date").agg(
-        F.min_by("price", "seq").alias("open"),
+        F.min_by("price", priced).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
+        F.max_by("price", priced).alias("close"),
         F.sum("quantity").alias("volume"),
         F.sum("amount").alias("amount"),
         (F.sum("quantity") / SHARES).alias("turnover"),
@@ -142,13 +151,3 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("net") / F.lag("net").over(w) - 1).alias("profit_growth"),
         (F.col("gross") / F.lag("gross").over(w) - 1).alias("revenue_growth"),
     )
-
-
-@functools.lru_cache(maxsize=16)
-def _names(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "supplier").count()
-
-
-def wide_cross_section(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether one date can outgrow a task. The count reads parquet footers only."""
-    return is_wide(_names(spark, sf_dir))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.operators import timeseries as ts
+from panelmill.sources import market
 from tests.helpers import panel, rows
 
 
@@ -121,3 +122,50 @@ def test_register_factor(spark):
     np.testing.assert_allclose(got["double_close"], pdf["close"] * 2)
     with pytest.raises(ValueError, match="unknown factor"):
         ts.build_factors(spark.createDataFrame(pdf), ["nope"])
+
+
+def test_bad_values_leave_with_their_window(spark):
+    """NaN, infinities, gaps and extremes against windows taken literally, one by one."""
+    rng = np.random.default_rng(11)
+    pdf = panel(4, 200, seed=11)
+    for column, bad in (("close", [np.nan, np.inf, 1e13]), ("amount", [np.inf, -np.inf, 1e17]), ("volume", [np.nan, 0.0, 1e15]), ("turnover", [np.nan])):
+        at = rng.choice(len(pdf), 6, replace=False)
+        pdf.loc[at, column] = rng.choice(bad, 6)
+    bench = pd.DataFrame({"date": sorted(pdf["date"].unique())})
+    bench["close"] = 1000 * np.exp(np.cumsum(rng.normal(0, 0.01, len(bench))))
+    names = ["trend_20", "trend_60", "trend_120", "volatility_20", "volatility_60", "liquidity_20", "volume_ratio_20", "turnover_5", "turnover_20", "beta_60"]
+    got = rows(ts.build_factors(spark.createDataFrame(pdf), names, spark.createDataFrame(bench)), "code", "date")
+    pdf = pdf.sort_values(["code", "date"]).reset_index(drop=True).replace([np.inf, -np.inf], np.nan)
+    market = dict(zip(bench["date"], bench["close"].pct_change(), strict=True))
+
+    def literal(x, n, fn):
+        return np.array([fn(x[i - n + 1 : i + 1]) if i >= n - 1 and not np.isnan(x[i - n + 1 : i + 1]).any() else np.nan for i in range(len(x))])
+
+    for code, g in pdf.groupby("code"):
+        mine = got[got["code"] == code]
+        x = {c: g[c].to_numpy() for c in ("close", "amount", "volume", "turnover")}
+        ret = np.concatenate(([np.nan], x["close"][1:] / x["close"][:-1] - 1))
+        want = {f"trend_{n}": x["close"] / literal(x["close"], n, np.mean) - 1 for n in (20, 60, 120)}
+        want |= {f"volatility_{n}": literal(ret, n, lambda w: w.std(ddof=1)) for n in (20, 60)}
+        want |= {f"turnover_{n}": literal(x["turnover"], n, np.mean) for n in (5, 20)}
+        want["liquidity_20"] = literal(x["amount"], 20, np.mean)
+        want["volume_ratio_20"] = x["volume"] / literal(x["volume"], 20, np.mean)
+        m = np.array([market[d] for d in g["date"]])
+        pair = np.where(np.isnan(ret) | np.isnan(m), np.nan, np.arange(len(ret), dtype=float))
+        want["beta_60"] = literal(pair, 60, lambda w: np.cov(ret[w.astype(int)], m[w.astype(int)], ddof=0)[0, 1] / m[w.astype(int)].var())
+        for name, values in want.items():
+            np.testing.assert_allclose(mine[name].to_numpy(float), values, rtol=1e-9, atol=1e-12, equal_nan=True, err_msg=f"{code} {name}")
+    assert got["trend_120"].notna().any() and got["beta_60"].notna().any()
+
+
+def test_trades_keep_a_full_order(spark):
+    """Orders and parts beyond the old widths; a line without quantity is no trade."""
+    day = "2021-03-02 00:00:00"
+    lines = [(1, 2**40 + 1, 1, 5, 10.0, 1000.0, day), (1, 2**40, 7, 2**33, 10.0, 2000.0, day), (1, 2**40, 7, 2**33 + 131072, 10.0, 3000.0, day),
+             (1, 1, 1, 1, 0.0, 9.0, day), (1, 0, 1, 1, 10.0, 4000.0, "2021-03-02 10:00:00"), (2, 1, 1, 1, 0.0, 9.0, day)]
+    df = spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate string")
+    got = {r["supplier"]: r for r in market.bars_from_trades(market.trades_of(df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))), "supplier").collect()}
+    assert (got[1]["open"], got[1]["close"], got[1]["volume"]) == (100.2, 100.4, 40.0)
+    assert (got[2]["open"], got[2]["volume"], got[2]["amount"]) == (None, 0.0, 9.0)
+    plan = market.bars_from_trades(market.trades_of(df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))), "supplier")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -1,4 +1,4 @@
-"""The spread form of every group primitive gives the same rows as the window form."""
+"""Group primitives against pandas, for groups of one slice and of many."""
 import numpy as np
 import pandas as pd
 import pytest
@@ -29,13 +29,6 @@ def skewed(spark):
     return df.withColumn("date", F.col("date").cast("date"))
 
 
-def test_row_number(skewed):
-    order = [F.col("x").asc_nulls_last(), F.col("code")]
-    a = rows(g.with_row_number(skewed, ["date"], order, "r"), "code")
-    b = rows(g.with_row_number(skewed, ["date"], order, "r", wide=True), "code")
-    same(a, b, ["r"])
-
-
 def test_global_row_number(skewed):
     got = rows(g.with_row_number(skewed, [], [F.col("x").asc_nulls_last(), F.col("code")], "r"), "r")
     assert got["r"].tolist() == list(range(1, 901))
@@ -43,25 +36,62 @@ def test_global_row_number(skewed):
     assert got["code"].tolist() == want
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_average_rank_matches_pandas(skewed, wide):
-    got = rows(g.with_average_rank(skewed, ["date"], "x", "r", wide=wide), "code")
+def test_row_number_inside_groups(skewed):
+    got = rows(g.with_row_number(skewed, ["date"], [F.col("x").asc_nulls_first(), F.col("code")], "r"), "code")
+    want = skewed.toPandas().sort_values(["x", "code"], na_position="first")
+    want["r"] = want.groupby("date").cumcount() + 1
+    assert got["r"].tolist() == want.sort_values("code")["r"].tolist()
+
+
+@pytest.mark.parametrize("size", [g.SLICE_ROWS, 200, 23, 1])
+def test_ranks_match_pandas_at_any_slice_size(skewed, monkeypatch, size):
+    """One slice, several, and slices of a single value, which holds a third of a date."""
+    monkeypatch.setattr(g, "SLICE_ROWS", size)
+    got = rows(g.with_ranks(skewed, ["date"], {"rx": "x", "ry": "y"}, {"px": "x", "py": "y"}), "code")
     want = skewed.toPandas().sort_values("code").reset_index(drop=True)
-    np.testing.assert_allclose(got["r"], want.groupby("date")["x"].rank())
+    by = want.groupby("date")
+    np.testing.assert_allclose(got["rx"].to_numpy(float), by["x"].rank())
+    np.testing.assert_allclose(got["ry"].to_numpy(float), by["y"].rank())
+    np.testing.assert_allclose(got["px"].to_numpy(float), by["x"].rank(method="first"))
+    np.testing.assert_allclose(got["py"].to_numpy(float), by["y"].rank(method="first"))
+    assert got.columns.tolist() == ["date", "code", "x", "y", "px", "py", "rx", "ry"]
+
 
+def test_a_lone_value_meets_no_window(skewed, monkeypatch):
+    """Rows of the value that fills slices are spread over salts before any sort."""
+    monkeypatch.setattr(g, "SLICE_ROWS", 23)
+    plan = g.with_ranks(skewed, ["date"], {"rx": "x"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(hash(code" in plan
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_quantiles_match_pandas(skewed, wide):
-    got = rows(g.with_quantiles(skewed, ["date"], "x", {"q": 0.975, "m": 0.5}, wide=wide), "code")
-    want = skewed.toPandas().sort_values("code").reset_index(drop=True).groupby("date")["x"]
-    np.testing.assert_allclose(got["q"], want.transform(lambda s: s.quantile(0.975)))
-    np.testing.assert_allclose(got["m"], want.transform("median"))
 
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_quantiles_match_pandas(skewed, monkeypatch, accuracy):
+    monkeypatch.setattr(g, "ACCURACY", accuracy)
+    wanted = {"q": ("x", 0.975), "m": ("x", 0.5), "low": ("y", 0.025), "least": ("y", 0.0), "most": ("y", 1.0)}
+    got = rows(g.with_quantiles(skewed, ["date"], wanted), "code")
+    by = skewed.toPandas().sort_values("code").reset_index(drop=True).groupby("date")
+    for out, (value, q) in wanted.items():
+        np.testing.assert_allclose(got[out], by[value].transform(lambda s, q=q: s.quantile(q)), err_msg=out)
 
-def test_group_stats(skewed):
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([("d", "a", None), ("d", "b", None), ("e", "a", 3.0)], "date string, code string, x double")
+    got = {r["date"]: r["m"] for r in g.with_quantiles(df, ["date"], {"m": ("x", 0.5)}).collect()}
+    assert got == {"d": None, "e": 3.0}
+    assert g.with_quantiles(df.limit(0), ["date"], {"m": ("x", 0.5)}).count() == 0
+    assert g.with_ranks(df.limit(0), ["date"], {"r": "x"}, {"p": "x"}).count() == 0
+
+
+def test_group_stats_and_checked_broadcast(spark, skewed, monkeypatch):
     stats = {"m": F.avg("x"), "n": F.count("x")}
-    same(rows(g.with_group_stats(skewed, ["date"], stats), "code"),
-         rows(g.with_group_stats(skewed, ["date"], stats, wide=True), "code"), ["m", "n"])
+    want = skewed.toPandas().groupby("date")["x"]
+    for limit, broadcast in ((g.BROADCAST_BYTES, True), (0, False)):
+        monkeypatch.setattr(g, "BROADCAST_BYTES", limit)
+        df = g.with_group_stats(skewed, ["date"], stats)
+        got = rows(df, "code")
+        np.testing.assert_allclose(got.groupby("date")["m"].first(), want.mean())
+        assert got.groupby("date")["n"].first().tolist() == want.count().tolist()
+        assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == broadcast
 
 
 def test_keep_last_is_not_arbitrary(spark):
@@ -70,23 +100,26 @@ def test_keep_last_is_not_arbitrary(spark):
     assert {r["k"]: r["v"] for r in g.keep_first(df, ["k"], "s").collect()} == {"a": 10, "b": 5}
 
 
-def test_wide_operators_agree(spark):
+def test_operators_hold_for_many_slices(spark, monkeypatch):
+    """Per-date operators give the same rows whether a date is one slice or many."""
     pdf = panel(15, 30, seed=3)
     pdf.loc[pdf.index % 17 == 0, "volume"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("volume", F.when(~F.isnan("volume"), F.col("volume")))
     df = lb.forward_return(df, 5).withColumn("industry", (F.col("code").cast("int") % 3).cast("string"))
     names = ["close", "volume"]
-    for op, cols in (
-        (lambda w: xs.process_scores(df, names, wide=w), ["close_z", "volume_z"]),
-        (lambda w: xs.winsor_zscore(df, {"a": "close", "b": "volume"}, wide=w), ["a", "b"]),
-        (lambda w: xs.rule_score(df, {"close": 0.5, "volume": -0.2}, wide=w), ["prediction"]),
-        (lambda w: xs.pct_rank(df, {"a": "volume"}, {"volume": -1}, wide=w), ["a"]),
-        (lambda w: xs.neutralize(df.fillna(0.0, ["volume"]), ["volume"], cap="amount", wide=w), ["volume_neutralized"]),
-        (lambda w: lb.cross_section_excess(df, wide=w), ["label"]),
-    ):
-        same(rows(op(False), "code", "date"), rows(op(True), "code", "date"), cols)
-    a, b = (rows(fs.daily_ic(df, names, "future_return", wide=w), "date", "factor") for w in (False, True))
-    same(a, b, ["ic", "rank_ic", "spread", "observations"])
-    a, b = (rows(xs.relevance_labels(df, "future_return", w), "code", "date") for w in (False, True))
-    same(a, b, ["relevance", "group_size"])
+
+    def results():
+        yield rows(xs.process_scores(df, names), "code", "date"), ["close_z", "volume_z"]
+        yield rows(xs.winsor_zscore(df, {"a": "close", "b": "volume"}), "code", "date"), ["a", "b"]
+        yield rows(xs.rule_score(df, {"close": 0.5, "volume": -0.2}), "code", "date"), ["prediction"]
+        yield rows(xs.pct_rank(df, {"a": "volume"}, {"volume": -1}), "code", "date"), ["a"]
+        yield rows(xs.neutralize(df.fillna(0.0, ["volume"]), ["volume"], cap="amount"), "code", "date"), ["volume_neutralized"]
+        yield rows(fs.daily_ic(df, names, "future_return"), "date", "factor"), ["ic", "rank_ic", "spread", "observations"]
+        yield rows(xs.relevance_labels(df, "future_return"), "code", "date"), ["relevance", "group_size"]
+
+    one = list(results())
+    monkeypatch.setattr(g, "SLICE_ROWS", 4)
+    monkeypatch.setattr(g, "BROADCAST_BYTES", 0)
+    for (a, columns), (b, _) in zip(one, results(), strict=True):
+        same(a, b, columns)
     assert xs.relevance_contract(xs.relevance_labels(df, "future_return")).count() == 0
