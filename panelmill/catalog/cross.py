@@ -33,8 +33,7 @@ def scoring_panel(spark, sf_dir, keep=("open", "close")):
 
 
 def scores(spark, sf_dir, keep=()):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return xs.composite_scores(scoring_panel(spark, sf_dir), WEIGHTS, keep, wide)
+    return xs.composite_scores(scoring_panel(spark, sf_dir), WEIGHTS, keep)
 
 
 def score_table(spark, sf_dir):
@@ -75,8 +74,7 @@ _ALL = " ".join(f"r:{f}" for f in SCORING)
 
 @query(QUERIES, "sigma_clip")
 def sigma_clip(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return xs.clip_sigma(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
+    return xs.clip_sigma(scoring_panel(spark, sf_dir, ()), SCORING)
 
 
 SQL["sigma_clip"] = ask("clipped", "SELECT * FROM clipped", f"date code {_ALL}")
@@ -84,8 +82,7 @@ SQL["sigma_clip"] = ask("clipped", "SELECT * FROM clipped", f"date code {_ALL}")
 
 @query(QUERIES, "median_imputation")
 def median_imputation(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return xs.clean(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
+    return xs.clean(scoring_panel(spark, sf_dir, ()), SCORING)
 
 
 SQL["median_imputation"] = ask("cleaned", "SELECT * FROM cleaned", f"date code {_ALL}")
@@ -93,8 +90,7 @@ SQL["median_imputation"] = ask("cleaned", "SELECT * FROM cleaned", f"date code {
 
 @query(QUERIES, "factor_zscores")
 def factor_zscores(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
+    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING)
     return z.select("date", "code", *[f"{f}_z" for f in SCORING])
 
 
@@ -113,10 +109,9 @@ SQL["composite_score"] = ask("scores", "SELECT * FROM scores", "date code r:comp
 
 @query(QUERIES, "percent_rank_average_ties")
 def percent_rank_average_ties(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = market.bars(spark, sf_dir).select("date", "code", "volume", "close")
     return xs.pct_rank(
-        panel, {"volume_rank": "volume", "close_rank": "close"}, {"close": -1}, wide=wide
+        panel, {"volume_rank": "volume", "close_rank": "close"}, {"close": -1}
     ).select("date", "code", "volume_rank", "close_rank")
 
 
@@ -154,9 +149,8 @@ cte(
 
 
 def rank_scores(spark, sf_dir, keep=()):
-    wide = market.wide_cross_section(spark, sf_dir)
     return xs.mean_rank_score(
-        scoring_panel(spark, sf_dir, keep), SCORING, RANK_DIRECTIONS, wide=wide
+        scoring_panel(spark, sf_dir, keep), SCORING, RANK_DIRECTIONS
     ).select("date", "code", *keep, "score")
 
 
@@ -175,8 +169,7 @@ def latest_ranking(spark, sf_dir):
     last = market.bars(spark, sf_dir).agg(F.max("date").alias("date"))
     snapshot = panel.join(F.broadcast(last), "date")
     names = market.universe(spark, sf_dir).select("code", "name")
-    wide = market.wide_cross_section(spark, sf_dir)
-    ranked = xs.mean_rank_score(snapshot, SCORING, RANK_DIRECTIONS, wide=wide)
+    ranked = xs.mean_rank_score(snapshot, SCORING, RANK_DIRECTIONS)
     return ranked.join(names, "code").select("code", "name", "score").orderBy(F.desc("score"), "code")
 
 
@@ -190,10 +183,9 @@ SQL["latest_ranking"] = ask(
 
 @query(QUERIES, "winsorized_zscore")
 def winsorized_zscore(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = scoring_panel(spark, sf_dir, ())
     return xs.winsor_zscore(
-        panel, {"momentum_z": "momentum_20", "volatility_z": "volatility"}, wide=wide
+        panel, {"momentum_z": "momentum_20", "volatility_z": "volatility"}
     ).select("date", "code", "momentum_z", "volatility_z")
 
 
@@ -227,8 +219,7 @@ RULE = {"momentum_20": 0.4, "trend_60": 0.4, "volatility": -0.2}
 
 @query(QUERIES, "rule_model_score")
 def rule_model_score(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return xs.rule_score(scoring_panel(spark, sf_dir, ()), RULE, wide=wide).select(
+    return xs.rule_score(scoring_panel(spark, sf_dir, ()), RULE).select(
         "date", "code", "prediction"
     )
 
@@ -249,9 +240,8 @@ SQL["rule_model_score"] = ask("rule", "SELECT * FROM rule", "date code r:predict
 
 @query(QUERIES, "factor_coverage")
 def factor_coverage(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     raw = scoring_panel(spark, sf_dir, ())
-    return xs.coverage(raw, xs.clean(raw, SCORING, wide=wide), SCORING)
+    return xs.coverage(raw, xs.clean(raw, SCORING), SCORING)
 
 
 SQL["factor_coverage"] = ask(
@@ -270,15 +260,14 @@ NEUTRAL = ["momentum_20", "trend_60", "volatility"]
 
 
 def neutral_panel(spark, sf_dir, factors=tuple(NEUTRAL)):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = ts.build_factors(
         market.market_caps(market.bars(spark, sf_dir)),
         {f: ts.SCORING_FACTORS[f] for f in factors},
         keep=["close", "market_cap"],
     )
     members = market.universe(spark, sf_dir).select("code", "industry")
-    cleaned = xs.clean(panel, factors, wide=wide).join(members, "code", "left")
-    return xs.neutralize(cleaned, factors, wide=wide)
+    cleaned = xs.clean(panel, factors).join(members, "code", "left")
+    return xs.neutralize(cleaned, factors)
 
 
 @query(QUERIES, "industry_cap_neutral_factors")
@@ -348,8 +337,7 @@ SQL["top_names_per_date"] = ask(
 
 @query(QUERIES, "factor_contributions")
 def factor_contributions(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
+    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING)
     return z.select("date", "code", F.explode(xs.contribution_map(WEIGHTS)).alias("factor", "contribution"))
 
 

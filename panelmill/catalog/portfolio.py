@@ -345,8 +345,7 @@ SQL["candidate_ranking"] = ask(
 
 @query(QUERIES, "allocator_holdings")
 def allocator_holdings(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return pc.allocate(candidates(spark, sf_dir), wide=wide).drop("model_score")
+    return pc.allocate(candidates(spark, sf_dir)).drop("model_score")
 
 
 def _avg_rank(x: str) -> str:
@@ -638,8 +637,7 @@ SQL["deferred_rebalances"] = ask(
 
 
 def rule_targets(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    scored = xs.rule_score(scoring_panel(spark, sf_dir, ()), RULE, wide=wide).select("date", "code", "prediction")
+    scored = xs.rule_score(scoring_panel(spark, sf_dir, ()), RULE).select("date", "code", "prediction")
     dates = events_of(spark, sf_dir).select(F.col("signal_date").alias("date"))
     on = rk.risk_on(market.benchmark(spark, sf_dir))
     return pc.capped_top_n(scored.join(F.broadcast(dates), "date"), on)

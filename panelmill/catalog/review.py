@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.groups import durable
+from ..functions.groups import durable, new_path
 from ..operators import cross_section as xs
 from ..operators import decisions as dc
 from ..operators import errors as er
@@ -29,8 +29,7 @@ DIRECTIONS = {f: d for f, (_, d) in WEIGHTS.items()}
 
 def signal_table(spark, sf_dir):
     """Scores with their factor contributions, stored once."""
-    wide = market.wide_cross_section(spark, sf_dir)
-    z = xs.process_scores(scoring_panel(spark, sf_dir, ("open", "close")), SCORING, wide=wide)
+    z = xs.process_scores(scoring_panel(spark, sf_dir, ("open", "close")), SCORING)
     return durable(
         z.select(
             "date", "code", "open", "close", xs.composite(WEIGHTS).alias("composite_score"),
@@ -176,10 +175,16 @@ SQL["late_exit_prices"] = ask(
 
 @query(QUERIES, "decision_log_upsert")
 def decision_log_upsert(spark, sf_dir):
-    """The second half of the log is recorded again with doubled weights."""
+    """The second half of the log is recorded twice more, last with doubled weights."""
     log = durable(decision_log(spark, sf_dir)).select("date", "symbol", "strategy", "weight")
-    again = log.filter(F.col("date") >= "1998-06-01").withColumn("weight", F.col("weight") * 2)
-    return store.upsert(log, again, dc.LOG_KEYS)
+    path = new_path(spark)
+    month = F.trunc("date", "month")
+    store.upsert_table(spark, path, log.withColumn("seq", F.lit(0)), dc.LOG_KEYS, ["seq"], "month", month)
+    late = log.filter(F.col("date") >= "1998-06-01")
+    again = [late.withColumns({"weight": F.col("weight") * n, "seq": F.lit(n)}) for n in (2, 1)]
+    delta = again[0].unionByName(again[1])
+    store.upsert_table(spark, path, delta, dc.LOG_KEYS, ["seq"], "month", month)
+    return spark.read.parquet(path).select(*log.columns)
 
 
 SQL["decision_log_upsert"] = ask(
@@ -585,9 +590,8 @@ query(QUERIES, "combination_weights_optimized")(_combination("rolling_optimized"
 
 @query(QUERIES, "combined_factor_score")
 def combined_factor_score(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     weights = durable(_combination("ic")(spark, sf_dir))
-    return wt.combined_score(scoring_panel(spark, sf_dir, ()), weights, SCORING, DIRECTIONS, wide)
+    return wt.combined_score(scoring_panel(spark, sf_dir, ()), weights, SCORING, DIRECTIONS)
 
 
 def _raw_z(f: str) -> str:
@@ -609,9 +613,8 @@ ROLLING = [f"{f}_neutralized" for f in NEUTRAL]
 
 def rolling(spark, sf_dir, methods):
     panel = durable(neutral_labelled(spark, sf_dir))
-    wide = market.wide_cross_section(spark, sf_dir)
     daily = durable(
-        fs.evaluated_only(fs.daily_ic(panel, ROLLING, "future_excess_return", wide=wide), 5)
+        fs.evaluated_only(fs.daily_ic(panel, ROLLING, "future_excess_return"), 5)
     )
     return wt.rolling_weights(panel, daily, ROLLING, "future_excess_return", HORIZON, methods=methods)
 
@@ -661,6 +664,28 @@ def rolling_regression_weights(spark, sf_dir):
     return rolling(spark, sf_dir, ("regression",))
 
 
+@query(QUERIES, "rolling_forest_weights")
+def rolling_forest_weights(spark, sf_dir):
+    return rolling(spark, sf_dir, ("ml",))
+
+
+@query(QUERIES, "factor_scores_by_method")
+def factor_scores_by_method(spark, sf_dir):
+    """The panel scored under every closed-form weighting method at once."""
+    weights = rolling(spark, sf_dir, ("equal", "ic", "icir"))
+    return wt.method_scores(neutral_labelled(spark, sf_dir), weights, ROLLING)
+
+
+SQL["factor_scores_by_method"] = ask(
+    "rolling_ic neutral_labelled",
+    f"""SELECT n.date, code, method, {' + '.join(f"coalesce({f}, 0) * w_{f}" for f in ROLLING)} AS factor_score
+        FROM neutral_labelled n JOIN (
+          SELECT date, method, {', '.join(f"max(CASE WHEN factor = '{f}' THEN weight END) AS w_{f}" for f in ROLLING)}
+          FROM rolling_ic GROUP BY 1, 2) w ON w.date = n.date""",
+    "date code method r:factor_score",
+)
+
+
 @query(QUERIES, "strategy_version_log")
 def strategy_version_log(spark, sf_dir):
     """A version whenever the rounded weights of a method move."""

@@ -35,9 +35,8 @@ SQL["forward_returns"] = ask("labelled", "SELECT * FROM labelled", "date code r:
 
 @query(QUERIES, "cross_section_excess_label")
 def cross_section_excess_label(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = lb.forward_return(market.bars(spark, sf_dir).select("date", "code", "close"), HORIZON)
-    return lb.cross_section_excess(panel, wide=wide).select("date", "code", "label")
+    return lb.cross_section_excess(panel).select("date", "code", "label")
 
 
 SQL["cross_section_excess_label"] = ask(
@@ -85,10 +84,9 @@ def _ic_sql(source: str, factor: str, target: str) -> str:
 
 @query(QUERIES, "daily_rank_ic_momentum")
 def daily_rank_ic_momentum(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = ts.build_factors(market.bars(spark, sf_dir), ["momentum_5"], keep=["close"])
     panel = lb.forward_return(panel, HORIZON)
-    daily = fs.daily_ic(panel, ["momentum_5"], "future_return", MIN_NAMES, wide=wide)
+    daily = fs.daily_ic(panel, ["momentum_5"], "future_return", MIN_NAMES)
     return daily.select("date", "rank_ic", "observations")
 
 
@@ -102,8 +100,7 @@ cte("daily_ic", " UNION ALL ".join(_ic_sql("labelled", f, "future_return") for f
 
 
 def daily_ic(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return fs.daily_ic(labelled(spark, sf_dir), SCORING, "future_return", wide=wide)
+    return fs.daily_ic(labelled(spark, sf_dir), SCORING, "future_return")
 
 
 @query(QUERIES, "daily_factor_ic")
@@ -148,10 +145,9 @@ SQL["factor_spread_summary"] = ask("spreads", "SELECT * FROM spreads", "factor r
 
 @query(QUERIES, "factor_analysis_table")
 def factor_analysis_table(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     raw = labelled(spark, sf_dir)
-    cleaned = xs.clean(raw, SCORING, wide=wide)
-    daily = fs.daily_ic(cleaned, SCORING, "future_return", wide=wide)
+    cleaned = xs.clean(raw, SCORING)
+    daily = fs.daily_ic(cleaned, SCORING, "future_return")
     return fs.factor_analysis(daily, xs.coverage(raw, cleaned, SCORING))
 
 
@@ -204,8 +200,7 @@ cte(
 
 
 def neutral_ic(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    return fs.daily_ic(neutral_labelled(spark, sf_dir), _NEUTRALIZED, "future_excess_return", wide=wide)
+    return fs.daily_ic(neutral_labelled(spark, sf_dir), _NEUTRALIZED, "future_excess_return")
 
 
 @query(QUERIES, "professional_factor_summary")
@@ -245,9 +240,8 @@ SQL["yearly_ic_stability"] = ask(
 
 @query(QUERIES, "prediction_ic")
 def prediction_ic(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = scores(spark, sf_dir, ("close",))
-    return fs.prediction_ic(lb.forward_return(panel, HORIZON), "composite_score", "future_return", MIN_NAMES, wide)
+    return fs.prediction_ic(lb.forward_return(panel, HORIZON), "composite_score", "future_return", MIN_NAMES)
 
 
 cte("score_labels", f"SELECT *, lead(close, {HORIZON}) {H} / close - 1 AS future_return FROM scores", "scores")
@@ -262,9 +256,8 @@ SQL["prediction_ic"] = ask(
 
 @query(QUERIES, "relevance_labels")
 def relevance_labels(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = lb.forward_return(market.bars(spark, sf_dir).select("date", "code", "close"), HORIZON)
-    return xs.relevance_labels(panel, "future_return", wide).select(
+    return xs.relevance_labels(panel, "future_return").select(
         "date", "code", "relevance", "group_size"
     )
 

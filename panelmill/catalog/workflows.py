@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..functions.groups import durable
+from ..functions.groups import durable, new_path
 from ..operators import construct as pc
 from ..operators import cross_section as xs
 from ..operators import factor_stats as fs
@@ -27,13 +28,14 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def variant_scores(spark, sf_dir, variants=None):
+BASE_WEIGHTS = {"base": 0.0}
+
+
+def variant_scores(spark, sf_dir, changes=None):
     """Scores under several weight sets from one standardisation (V4)."""
-    wide = market.wide_cross_section(spark, sf_dir)
-    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
-    sets = variants or {"base": WEIGHTS}
-    columns = z.select("date", "code", *[xs.composite(w).alias(name) for name, w in sets.items()])
-    long = columns.unpivot(["date", "code"], list(sets), "variant", "score").filter(F.col("score").isNotNull())
+    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING)
+    variants = replay.weight_variants(spark, WEIGHTS, changes or BASE_WEIGHTS)
+    long = replay.variant_scores(z, variants, SCORING).filter(F.col("score").isNotNull())
     kept = replay.thinned_codes(market.universe(spark, sf_dir), 0.8).withColumn("kept", F.lit(True))
     return durable(long.join(kept, "code", "left").fillna(False, ["kept"]))
 
@@ -44,8 +46,7 @@ def _replay(spark, sf_dir, scenarios, variants=None):
     bench = market.benchmark(spark, sf_dir)
     dates = durable(jn.common_sessions(scored.filter(F.col("variant") == "base"), bars, bench))
     regimes = durable(rk.market_regime(bench, ts.breadth(bars)))
-    wide = market.wide_cross_section(spark, sf_dir)
-    held = replay.replay(scored, bars, market.universe(spark, sf_dir), regimes, dates, scenarios, wide=wide)
+    held = replay.replay(scored, bars, market.universe(spark, sf_dir), regimes, dates, scenarios)
     return durable(held), bars.join(F.broadcast(dates), "date", "left_semi"), dates
 
 
@@ -84,7 +85,7 @@ cte(
     "wf_fit", "scores", "universe", "regime",
 )
 cte(
-    "wf_holdings",
+    "wf_planned",
     f"""SELECT entry_date AS date, date AS signal_date, code, industry,
           least(w * CASE WHEN sum(w) OVER g > 0.25 THEN 0.25 / sum(w) OVER g ELSE 1 END, 0.10) AS weight, model_prediction AS model_score, regime
         FROM (SELECT *, raw / sum(raw) OVER (PARTITION BY date) * (1 - CASE regime WHEN 'bull' THEN 0 WHEN 'bear' THEN 0.6
@@ -95,6 +96,20 @@ cte(
         WINDOW g AS (PARTITION BY date, industry)""",
     "wf_candidates",
 )
+# A basket hands over at the first later plan at which every name that it bought has an open.
+cte(
+    "wf_holdings",
+    """WITH RECURSIVE plans AS (SELECT date, row_number() OVER (ORDER BY date) AS p FROM (SELECT DISTINCT date FROM wf_planned)),
+       bought AS (SELECT k.p, t.code FROM wf_planned t JOIN plans k USING (date) JOIN bars o ON o.code = t.code AND o.date = t.date WHERE t.weight > 0),
+       ready AS (SELECT p, min(q) AS succ FROM (
+           SELECT b.p, k.p AS q FROM bought b JOIN plans k ON k.p > b.p LEFT JOIN bars x ON x.code = b.code AND x.date = k.date
+           GROUP BY 1, 2 HAVING count(*) = count(x.code)) GROUP BY p),
+       chain AS (SELECT 1::BIGINT AS p UNION ALL
+                 SELECT coalesce(r.succ, c.p + 1) FROM chain c LEFT JOIN ready r ON r.p = c.p
+                 WHERE c.p <= (SELECT count(*) FROM plans) AND (r.succ IS NOT NULL OR c.p NOT IN (SELECT p FROM bought)))
+       SELECT t.* FROM wf_planned t JOIN plans k USING (date) WHERE k.p IN (SELECT p FROM chain)""",
+    "wf_planned", "bars",
+)
 SQL["walk_forward_holdings"] = ask(
     "wf_holdings", "SELECT * FROM wf_holdings", "date signal_date code industry r:weight r:model_score regime"
 )
@@ -147,27 +162,54 @@ SQL["walk_forward_results"] = ask(
 METRICS = ("annual_return", "sharpe", "max_drawdown", "win_rate", "turnover")
 
 
-@query(QUERIES, "robustness_matrix")
-def robustness_matrix(spark, sf_dir):
-    scenarios = replay.robustness_scenarios(spark)
-    sets = {
-        "base": WEIGHTS,
-        "minus": replay.perturbed_weights(WEIGHTS, -0.05),
-        "plus": replay.perturbed_weights(WEIGHTS, 0.05),
-    }
-    held, bars, _ = _replay(spark, sf_dir, scenarios, sets)
-    curve = durable(replay.scenario_curves(held, bars, scenarios))
+def _matrix(spark, sf_dir, scenarios):
+    changes = {"base": 0.0, "minus": -0.05, "plus": 0.05}
+    checked = durable(replay.checked_scenarios(scenarios, replay.weight_variants(spark, WEIGHTS, changes)))
+    sound = checked.filter("problem IS NULL").drop("problem")
+    held, bars, _ = _replay(spark, sf_dir, sound, changes)
+    curve = durable(replay.scenario_curves(held, bars, sound))
     turn = pc.turnover(held, ("scenario",)).groupBy("scenario").agg(F.sum("turnover").alias("turnover"))
     measured = mt.curve_metrics(curve).join(turn, "scenario", "left")
-    return replay.scenario_report(scenarios, measured, METRICS)
+    baskets = held.groupBy("scenario").agg(F.countDistinct("date").alias("baskets"))
+    progress = baskets.join(curve.groupBy("scenario").agg(F.count(F.lit(1)).alias("sessions")), "scenario", "left")
+    return replay.scenario_report(checked, measured, METRICS, progress)
+
+
+@query(QUERIES, "robustness_matrix")
+def robustness_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir, replay.robustness_scenarios(spark))
+
+
+@query(QUERIES, "robustness_failures")
+def robustness_failures(spark, sf_dir):
+    """Status and detail of every cell of a matrix in which some cannot be run: no interval, no
+    costs, no such scores, and an interval beyond the calendar."""
+    bad = [("every=0", "bad", 0, 1.0, "base", False), ("cost=nan", "bad", 10, float("nan"), "base", False),
+           ("variant=none", "bad", 10, 1.0, "none", False), ("every=5000", "bad", 5000, 1.0, "base", False)]
+    scenarios = replay.robustness_scenarios(spark).unionByName(spark.createDataFrame(bad, replay.SCENARIO_SCHEMA))
+    return _matrix(spark, sf_dir, scenarios).select("scenario", "status", "detail")
+
+
+SQL["robustness_failures"] = ask(
+    "",
+    """SELECT scenario, status, detail FROM (VALUES
+         ('rebalance_frequency=5', 'available', 'measured'), ('rebalance_frequency=10', 'available', 'measured'),
+         ('rebalance_frequency=20', 'available', 'measured'), ('transaction_cost_multiplier=0.5', 'available', 'measured'),
+         ('transaction_cost_multiplier=1.0', 'available', 'measured'), ('transaction_cost_multiplier=2.0', 'available', 'measured'),
+         ('factor_weight_perturbation=-0.05', 'available', 'measured'), ('factor_weight_perturbation=0.05', 'available', 'measured'),
+         ('universe_fraction=0.8', 'available', 'measured'), ('universe_fraction=1.0', 'available', 'measured'),
+         ('every=0', 'unavailable', 'a rebalance every 0 sessions'), ('cost=nan', 'unavailable', 'costs are not a positive multiple'),
+         ('variant=none', 'unavailable', 'no scores of variant none'), ('every=5000', 'unavailable', 'no signal had enough matured labels')
+       ) t(scenario, status, detail)""",
+    "scenario status detail",
+)
 
 
 @query(QUERIES, "perturbed_weight_scores")
 def perturbed_weight_scores(spark, sf_dir):
-    wide = market.wide_cross_section(spark, sf_dir)
-    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING, wide=wide)
-    plus = replay.perturbed_weights(WEIGHTS, 0.05)
-    return z.select("date", "code", xs.composite(plus).alias("composite_score"))
+    z = xs.process_scores(scoring_panel(spark, sf_dir, ()), SCORING)
+    variants = replay.weight_variants(spark, WEIGHTS, {"plus": 0.05})
+    return replay.variant_scores(z, variants, SCORING).select("date", "code", F.col("score").alias("composite_score"))
 
 
 def _shifted(change: float) -> dict[str, float]:
@@ -204,12 +246,51 @@ SQL["thinned_universe"] = ask(
 def annual_walk_forward(spark, sf_dir):
     """Every fourth year on from 1999, on neutralised factors."""
     panel = durable(neutral_labelled(spark, sf_dir))
-    wide = market.wide_cross_section(spark, sf_dir)
     return annual.annual_walk_forward(
-        panel, ROLLING, "future_excess_return", HORIZON, market="benchmark_future_return", wide=wide
+        panel, ROLLING, "future_excess_return", HORIZON, market="benchmark_future_return"
     )
 
 
+@query(QUERIES, "period_research")
+def period_research(spark, sf_dir):
+    """Rolling periods of two training years, evaluated together."""
+    panel = scoring_panel(spark, sf_dir, ("close",)).select("date", "code", "close", "momentum_20")
+    panel = durable(lb.forward_return(panel, HORIZON))
+    periods = durable(lb.rolling_periods(panel.select("date"), train_years=2))
+    return annual.run_periods(panel, periods, lambda rows: annual.slope_research(rows, "momentum_20", "future_return", HORIZON))
+
+
+cte(
+    "period_spans",
+    """WITH e AS (SELECT min(date) AS first, max(date) AS last FROM scoring),
+       s AS (SELECT i AS period, first + to_months(CAST(6 * i AS INTEGER)) AS start FROM e, range(0, 40) r(i)),
+       p AS (SELECT period, part, CAST(start + to_months(lo) AS DATE) AS lo, CAST(start + to_months(hi) AS DATE) AS hi FROM s,
+               (VALUES ('train', 0, 24), ('validation', 24, 30), ('test', 30, 36)) v(part, lo, hi)),
+       h AS (SELECT period, part, min(date) AS start_date, max(date) AS end_date, count(date) AS n
+             FROM p LEFT JOIN (SELECT DISTINCT date FROM scoring) d ON date >= lo AND date < hi GROUP BY 1, 2)
+       SELECT * FROM h WHERE period < (SELECT min(period) FROM h WHERE n = 0)""",
+    "scoring",
+)
+SQL["period_research"] = ask(
+    "scoring period_spans",
+    f"""WITH k AS (SELECT date, code, momentum_20 AS x, lead(close, {HORIZON}) OVER (PARTITION BY code ORDER BY date) / close - 1 AS y FROM scoring),
+       r AS (SELECT s.period, s.part, k.* FROM k JOIN period_spans s ON k.date BETWEEN s.start_date AND s.end_date WHERE x IS NOT NULL AND y IS NOT NULL),
+       f AS (SELECT period, regr_slope(y, x) AS slope FROM r WHERE part = 'train' GROUP BY 1),
+       t AS (SELECT period, date FROM (SELECT period, date, row_number() OVER (PARTITION BY period ORDER BY date) - 1 AS i
+             FROM (SELECT DISTINCT period, date FROM r WHERE part = 'test')) WHERE i % {HORIZON} = 0),
+       d AS (SELECT *, row_number() OVER (PARTITION BY period, date ORDER BY -slope * x, code) AS rk, count(*) OVER (PARTITION BY period, date) AS n
+             FROM r JOIN t USING (period, date) JOIN f USING (period) WHERE part = 'test'),
+       g AS (SELECT period, date, avg(y) FILTER (rk <= greatest(1, ceil(n * 0.2::DOUBLE))) AS r, avg(y) AS b FROM d GROUP BY 1, 2),
+       v AS (SELECT *, exp(sum(ln(1 + r)) OVER w) AS nav FROM g WINDOW w AS (PARTITION BY period ORDER BY date)),
+       m AS (SELECT period, exp(sum(ln(1 + r))) - 1 AS "return", exp(sum(ln(1 + b))) - 1 AS benchmark,
+               CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(252.0 / {HORIZON}) ELSE 0 END AS sharpe, min(dd) AS drawdown
+             FROM (SELECT *, nav / max(nav) OVER (PARTITION BY period ORDER BY date) - 1 AS dd FROM v) GROUP BY 1)
+       SELECT s.period, s.start_date || ' to ' || s.end_date AS span, "return", benchmark, "return" - benchmark AS alpha, sharpe, drawdown
+       FROM period_spans s LEFT JOIN m USING (period) WHERE s.part = 'test'""",
+    "i:period span r:return r:benchmark r:alpha r:sharpe r:drawdown",
+)
+
+
 @query(QUERIES, "weight_grid_search")
 def weight_grid_search(spark, sf_dir):
     """Normalised weight grid over three factors by weighted mean IC."""
@@ -266,10 +347,9 @@ def _daily(spark, sf_dir):
     stored = durable(ts.build_factors(old, ts.SCORING_FACTORS, keep=["open", "close"]))
     known, events = event_labels(spark, sf_dir)
     fit = lb.calibration(known, events.agg(F.max("signal_date").alias("signal_date")), min_obs=10)
-    wide = market.wide_cross_section(spark, sf_dir)
     return daily.daily_run(
         bars, stored, market.universe(spark, sf_dir), market.benchmark(spark, sf_dir), WEIGHTS, ts.SCORING_FACTORS,
-        fit.select("intercept", "slope"), wide=wide,
+        fit.select("intercept", "slope"),
     )
 
 
@@ -290,9 +370,8 @@ FEATURES = ["momentum_20", "trend_60", "volatility", "liquidity", "turnover"]
 
 def model_panel(spark, sf_dir):
     """Cleaned, standardised features with the benchmark-excess label."""
-    wide = market.wide_cross_section(spark, sf_dir)
     panel = xs.zscore(
-        xs.clean(scoring_panel(spark, sf_dir, ("close",)), FEATURES, wide=wide), {f"{f}_z": f for f in FEATURES}, wide
+        xs.clean(scoring_panel(spark, sf_dir, ("close",)), FEATURES), {f"{f}_z": f for f in FEATURES}
     )
     return durable(lb.benchmark_excess(panel, market.benchmark(spark, sf_dir), HORIZON))
 
@@ -310,21 +389,21 @@ def _held_out(name, **params):
     def run(spark, sf_dir):
         panel = model_panel(spark, sf_dir)
         model = ml.fit_ranking(_split(panel, "train"), _Z, LABEL, name, cleaned=True, **params)
-        return ml.predict_ranking(model, _split(panel, "test"), cleaned=True).select("date", "code", "prediction")
+        return model.transform(_split(panel, "test")).select("date", "code", "prediction")
 
     return run
 
 
 query(QUERIES, "linear_ranking_predictions")(_held_out("linear"))
-query(QUERIES, "forest_ranking_predictions")(_held_out("random_forest", numTrees=20, maxDepth=5))
-query(QUERIES, "boosted_ranking_predictions")(_held_out("gradient_boosting", maxIter=5, maxDepth=3))
+query(QUERIES, "forest_ranking_predictions")(_held_out("random_forest", numTrees=100, maxDepth=5))
+query(QUERIES, "boosted_ranking_predictions")(_held_out("gradient_boosting", maxIter=100, maxDepth=3))
 
 
 @query(QUERIES, "model_feature_importance")
 def model_feature_importance(spark, sf_dir):
     panel = _split(model_panel(spark, sf_dir), "train")
     out = None
-    for name, params in (("linear", {}), ("random_forest", {"numTrees": 20})):
+    for name, params in (("linear", {}), ("random_forest", {"numTrees": 100})):
         model = ml.fit_ranking(panel, _Z, LABEL, name, cleaned=True, **params)
         rows = ml.feature_importance(model, spark).withColumn("model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
@@ -338,7 +417,7 @@ def model_train_and_test(spark, sf_dir):
     model = ml.fit_ranking(_split(panel, "train"), _Z, LABEL, "linear", cleaned=True)
     out = None
     for part in ("validation", "test"):
-        scored = ml.predict_ranking(model, _split(panel, part), cleaned=True)
+        scored = model.transform(_split(panel, part))
         rows = fs.prediction_ic(scored, "prediction", LABEL, 5).withColumn("part", F.lit(part))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -346,7 +425,7 @@ def model_train_and_test(spark, sf_dir):
 
 def _rolling_scores(spark, sf_dir):
     return ml.rolling_refit_scores(
-        model_panel(spark, sf_dir), _Z, LABEL, every=20, horizon=HORIZON, name="random_forest", numTrees=10, maxDepth=4
+        model_panel(spark, sf_dir), _Z, LABEL, every=20, horizon=HORIZON, name="random_forest", numTrees=50
     )
 
 
@@ -366,10 +445,46 @@ def model_signal_list(spark, sf_dir):
     panel = model_panel(spark, sf_dir)
     model = ml.fit_ranking(_split(panel, "train"), _Z, LABEL, "linear", cleaned=True)
     last = panel.dropna(subset=_Z).agg(F.max("date").alias("date"))
-    scored = ml.predict_ranking(model, panel.join(F.broadcast(last), "date"), cleaned=True)
+    scored = model.transform(panel.join(F.broadcast(last), "date"))
     return xs.top_n(scored, 20, "prediction").select("date", "code", "rank", "prediction")
 
 
+@query(QUERIES, "saved_ranking_pipeline")
+def saved_ranking_pipeline(spark, sf_dir):
+    """A pipeline of cleaning and a ridge model: fitted, saved, loaded, and scoring the held-out part."""
+    raw = lb.benchmark_excess(scoring_panel(spark, sf_dir, ("close",)), market.benchmark(spark, sf_dir), HORIZON)
+    raw = durable(raw.select("date", "code", "momentum_20", "volatility", LABEL))
+    path = new_path(spark)
+    ml.fit_ranking(_split(raw, "train"), ["momentum_20", "volatility"], LABEL, "linear", alpha=5.0).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(_split(raw, "test")).select("date", "code", "prediction")
+
+
+cte(
+    "split_days",
+    """SELECT date, CASE WHEN i < a THEN 'train' WHEN i >= a + 40 + b THEN 'test' END AS part FROM (
+         SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, floor(count(*) OVER () * 0.6::DOUBLE) AS a, floor(count(*) OVER () * 0.2::DOUBLE) AS b
+         FROM (SELECT DISTINCT date FROM scoring))""",
+    "scoring",
+)
+cte(
+    "two_cleaned",
+    """SELECT c.date, c.code, c.momentum_20 AS x, c.volatility AS z, e.future_excess_return AS y, part
+       FROM cleaned c JOIN split_days USING (date) LEFT JOIN excess e ON e.date = c.date AND e.code = c.code""",
+    "cleaned", "split_days", "excess",
+)
+SQL["saved_ranking_pipeline"] = ask(
+    "two_cleaned",
+    """SELECT date, code, CASE WHEN x IS NOT NULL AND z IS NOT NULL THEN my + bx * (x - mx) + bz * (z - mz) END AS prediction
+       FROM two_cleaned, (
+         SELECT *, (sxy * (szz + 5) - szy * sxz) / ((sxx + 5) * (szz + 5) - sxz * sxz) AS bx,
+           (szy * (sxx + 5) - sxy * sxz) / ((sxx + 5) * (szz + 5) - sxz * sxz) AS bz FROM (
+           SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * var_pop(z) AS szz,
+             count(*) * covar_pop(x, z) AS sxz, count(*) * covar_pop(x, y) AS sxy, count(*) * covar_pop(z, y) AS szy
+           FROM two_cleaned WHERE part = 'train' AND x IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL)) WHERE part = 'test'""",
+    "date code r:prediction",
+)
+
+
 @query(QUERIES, "rank_score_backtest_metrics")
 def rank_score_backtest_metrics(spark, sf_dir):
     """Equal-mean rank score, top five every 20 sessions, traded at the next open."""

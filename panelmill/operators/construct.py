@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.groups import top_per_group, with_group_stats
-from .cross_section import pct_rank, top_n
+from ..functions.columns import ratio
+from ..functions.groups import stored, top_per_group, with_ranks
+from .cross_section import top_n
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class PortfolioConstraints:
         if not (0 < self.max_industry_weight <= 1 and 0 < self.max_stock_weight <= 1):
             raise ValueError("weight limits must be in (0, 1]")
         if self.min_industry_count < 1:
-            raise ValueError("min_industry_count must be at least 1")
+            raise ValueError("a basket needs at least one industry")
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,9 @@ class AllocationSettings:
         if not (0 < self.max_stock_weight <= 1 and 0 < self.max_industry_weight <= 1):
             raise ValueError("weight limits must be in (0, 1]")
         if self.top_n < 1:
-            raise ValueError("top_n must be at least one")
+            raise ValueError("nothing can be allocated to fewer than one name")
         if any(not 0 <= v <= 1 for v in self.cash_by_regime.values()):
-            raise ValueError("cash_by_regime values must be in [0, 1]")
+            raise ValueError("a cash share lies between 0 and 1")
 
 
 def equal_weight(scores: DataFrame, n: int = 20, score: str = "composite_score") -> DataFrame:
@@ -104,14 +105,13 @@ def allocate(
     candidates: DataFrame,
     settings: AllocationSettings = AllocationSettings(),
     keys: tuple[str, ...] = ("date",),
-    wide: bool = False,
 ) -> DataFrame:
     """Quality-weighted allocation under cash, industry and stock limits.
 
     ``candidates``: ``keys, code, score, model_prediction, industry, risk, regime``.
     Ranks run over the whole section; everything after the cut runs over at most n rows.
     """
-    s = settings
+    s, candidates = settings, stored(candidates)
     df = candidates.filter(F.col("score").isNotNull()).withColumns(
         {
             "industry": F.coalesce("industry", F.lit("Unknown")),
@@ -119,10 +119,11 @@ def allocate(
             "risk": F.least(F.greatest(F.coalesce("risk", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)),
         }
     )
-    df = pct_rank(df, {"_sr": "score", "_mr": "model_prediction"}, keys=keys, wide=wide)
-    df = with_group_stats(df, keys, {"_models": F.count("model_prediction")}, wide)
-    blended = 0.5 * F.col("_sr") + 0.5 * F.coalesce("_mr", F.lit(0.5))
-    df = df.withColumn("quality", F.when(F.col("_models") > 0, blended).otherwise(F.col("_sr")))
+    counts = {"_scores": "score", "_models": "model_prediction"}
+    df = with_ranks(df, keys, {"_sr": "score", "_mr": "model_prediction"}, counts=counts)
+    by_score, by_model = F.col("_sr") / F.col("_scores"), ratio("_mr", "_models")
+    blended = 0.5 * by_score + 0.5 * F.coalesce(by_model, F.lit(0.5))
+    df = df.withColumn("quality", F.when(F.col("_models") > 0, blended).otherwise(by_score))
     regimes = most_frequent(candidates, "regime", keys)
     best = top_per_group(
         df.drop("regime"), keys, [F.col("quality").desc(), F.col("code")], s.top_n

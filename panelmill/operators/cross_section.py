@@ -1,7 +1,8 @@
 """Per-date operators: cleaning, ranks, scores, neutralisation, selection.
 
-Every operator takes ``wide``: False when one date fits in a task, True otherwise (see
-``functions.groups``).
+A date may hold any number of names: statistics, quantiles and ranks come from the primitives of
+``functions.groups``, which bring no date into one task. Operators store their input once, as
+the primitives read it several times.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, col, finite, ratio
 from ..functions.groups import (
+    stored,
     top_per_group,
-    with_average_rank,
     with_group_stats,
     with_quantiles,
-    with_row_number,
+    with_ranks,
 )
 
 DATE = ("date",)
@@ -34,15 +35,13 @@ def finite_columns(panel: DataFrame, names: Sequence[str]) -> DataFrame:
     return panel.withColumns({n: finite(n) for n in names})
 
 
-def clip_sigma(
-    panel: DataFrame, names: Sequence[str], sigma: float = 3.0, wide: bool = False
-) -> DataFrame:
+def clip_sigma(panel: DataFrame, names: Sequence[str], sigma: float = 3.0) -> DataFrame:
     """Clip to mean +/- sigma population deviations of the date."""
     stats: dict[str, Column] = {}
     for n in names:
         stats[f"_m_{n}"] = F.avg(n)
         stats[f"_s_{n}"] = F.stddev_pop(n)
-    df = with_group_stats(panel, DATE, stats, wide)
+    df = with_group_stats(stored(panel), DATE, stats)
     out = {}
     for n in names:
         m, s = F.col(f"_m_{n}"), F.col(f"_s_{n}")
@@ -51,40 +50,30 @@ def clip_sigma(
     return df.withColumns(out).drop(*stats)
 
 
-def impute_median(panel: DataFrame, names: Sequence[str], wide: bool = False) -> DataFrame:
+def impute_median(panel: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fill gaps with the median of the same date."""
     medians = {n: f"_med_{n}" for n in names}
-    if wide:
-        long = to_long(panel, names)
-        table = with_quantiles(
-            long, ["date", "factor"], "value", {"_median": 0.5}, wide=True
-        )
-        per_date = table.groupBy("date").pivot("factor", list(names)).agg(F.first("_median"))
-        per_date = per_date.select("date", *[F.col(n).alias(medians[n]) for n in names])
-        df = panel.join(per_date, "date", "left")
-    else:
-        df = panel
-        for n in names:
-            df = with_quantiles(df, DATE, n, {medians[n]: 0.5})
+    df = with_quantiles(panel, DATE, {m: (n, 0.5) for n, m in medians.items()})
     return df.withColumns({n: F.coalesce(n, medians[n]) for n in names}).drop(*medians.values())
 
 
-def clean(
-    panel: DataFrame, names: Sequence[str], sigma: float = 3.0, wide: bool = False
-) -> DataFrame:
+def clean(panel: DataFrame, names: Sequence[str], sigma: float = 3.0) -> DataFrame:
     """Finite -> sigma clip -> median imputation."""
-    return impute_median(clip_sigma(finite_columns(panel, names), names, sigma, wide), names, wide)
+    return impute_median(clip_sigma(finite_columns(panel, names), names, sigma), names)
 
 
-def zscore(
-    panel: DataFrame, names: Mapping[str, str], wide: bool = False
-) -> DataFrame:
+def zscore(panel: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Add ``out -> (x - mean) / population std`` of the date; 0 where std is 0."""
+    return _zscored(stored(panel), names)
+
+
+def _zscored(panel: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """``zscore`` of a panel that is cheap to read twice."""
     stats: dict[str, Column] = {}
     for x in names.values():
         stats[f"_zm_{x}"] = F.avg(x)
         stats[f"_zs_{x}"] = F.stddev_pop(x)
-    df = with_group_stats(panel, DATE, stats, wide)
+    df = with_group_stats(panel, DATE, stats)
     out = {}
     for name, x in names.items():
         m, s = F.col(f"_zm_{x}"), F.col(f"_zs_{x}")
@@ -93,35 +82,29 @@ def zscore(
     return df.withColumns(out).drop(*stats)
 
 
-def winsor_zscore(
-    panel: DataFrame, names: Mapping[str, str], q: float = 0.025, min_names: int = 5,
-    wide: bool = False,
-) -> DataFrame:
+def winsor_zscore(panel: DataFrame, names: Mapping[str, str], q: float = 0.025, min_names: int = 5) -> DataFrame:
     """Z-score after clipping to the q and 1-q quantiles of the date."""
-    df = panel
+    panel = stored(panel)
+    ends = {f"_lo_{name}": (x, q) for name, x in names.items()} | {f"_hi_{name}": (x, 1 - q) for name, x in names.items()}
+    df = with_quantiles(panel, DATE, ends)
+    df = df.withColumns({name: clamp(F.col(x), F.col(f"_lo_{name}"), F.col(f"_hi_{name}")) for name, x in names.items()})
+    stats: dict[str, Column] = {}
+    for name, x in names.items():
+        stats |= {f"_n_{name}": F.count(x), f"_wm_{name}": F.avg(name), f"_ws_{name}": F.stddev_pop(name)}
+    df = with_group_stats(df, DATE, stats)
+    out = {}
     for name, x in names.items():
-        lo, hi, n = f"_lo_{name}", f"_hi_{name}", f"_n_{name}"
-        df = with_quantiles(df, DATE, x, {lo: q, hi: 1 - q}, wide=wide)
-        df = with_group_stats(df, DATE, {n: F.count(x)}, wide)
-        df = df.withColumn(name, clamp(F.col(x), F.col(lo), F.col(hi)))
-        df = with_group_stats(
-            df, DATE, {f"_wm_{name}": F.avg(name), f"_ws_{name}": F.stddev_pop(name)}, wide
-        )
         m, s = F.col(f"_wm_{name}"), F.col(f"_ws_{name}")
         z = F.when(s > 0, (F.col(name) - m) / s).otherwise(0.0)
         # A flat section scores 0 for every row; a thin one scores nothing.
-        df = df.withColumn(
-            name, F.when((F.col(n) >= min_names) & (F.col(x).isNotNull() | (s == 0)), z)
-        ).drop(lo, hi, n, f"_wm_{name}", f"_ws_{name}")
-    return df
+        out[name] = F.when((F.col(f"_n_{name}") >= min_names) & (F.col(x).isNotNull() | (s == 0)), z)
+    return df.withColumns(out).drop(*ends, *stats)
 
 
-def rule_score(
-    panel: DataFrame, weights: Mapping[str, float], out: str = "prediction", wide: bool = False
-) -> DataFrame:
+def rule_score(panel: DataFrame, weights: Mapping[str, float], out: str = "prediction") -> DataFrame:
     """Sum of weight x clipped winsorised z-score; a missing value counts 0."""
     scored = {f"_w_{n}": n for n in weights}
-    df = winsor_zscore(panel, scored, wide=wide)
+    df = winsor_zscore(panel, scored)
     total = F.lit(0.0)
     for n, w in weights.items():
         z = F.coalesce(F.col(f"_w_{n}"), F.lit(0.0))
@@ -135,36 +118,28 @@ def pct_rank(
     directions: Mapping[str, int] | None = None,
     keys: Sequence[str] = DATE,
     unique: Sequence[str] = ("code",),
-    wide: bool = False,
 ) -> DataFrame:
     """Add ``out -> average-tie rank / valid count``; direction -1 ranks downward."""
-    df = panel
-    for out, x in names.items():
-        sign = (directions or {}).get(x, 1)
-        df = df.withColumn("_v", F.col(x) * sign if sign < 0 else F.col(x))
-        df = with_average_rank(df, keys, "_v", "_r", unique, wide)
-        df = with_group_stats(df, keys, {"_c": F.count("_v")}, wide)
-        df = df.withColumn(out, F.col("_r") / F.col("_c")).drop("_v", "_r", "_c")
-    return df
+    signed = {f"_v_{out}": F.col(x) * -1 if (directions or {}).get(x, 1) < 0 else F.col(x) for out, x in names.items()}
+    valid = {f"_c_{out}": f"_v_{out}" for out in names}
+    df = with_ranks(stored(panel).withColumns(signed), keys, {f"_r_{out}": f"_v_{out}" for out in names}, counts=valid, unique=unique)
+    df = df.withColumns({out: F.col(f"_r_{out}") / F.col(f"_c_{out}") for out in names})
+    return df.drop(*[f"{k}{out}" for out in names for k in ("_v_", "_r_", "_c_")])
 
 
 def mean_rank_score(
-    panel: DataFrame, names: Sequence[str], directions: Mapping[str, int] | None = None,
-    out: str = "score", wide: bool = False,
+    panel: DataFrame, names: Sequence[str], directions: Mapping[str, int] | None = None, out: str = "score"
 ) -> DataFrame:
     """Equal mean of the percent ranks over rows with every factor present."""
     ranks = {f"{n}_rank": n for n in names}
-    df = pct_rank(panel.dropna(subset=list(names)), ranks, directions, wide=wide)
+    df = pct_rank(panel.dropna(subset=list(names)), ranks, directions)
     total = sum((F.col(r) for r in ranks), F.lit(0.0))
     return df.withColumn(out, total / len(names)).drop(*ranks)
 
 
-def process_scores(
-    panel: DataFrame, factors: Sequence[str], sigma: float = 3.0, wide: bool = False
-) -> DataFrame:
+def process_scores(panel: DataFrame, factors: Sequence[str], sigma: float = 3.0) -> DataFrame:
     """Clean and standardise: adds ``<factor>_z``."""
-    cleaned = clean(panel, factors, sigma, wide)
-    return zscore(cleaned, {f"{n}_z": n for n in factors}, wide)
+    return _zscored(clean(panel, factors, sigma), {f"{n}_z": n for n in factors})
 
 
 def composite(weights: Mapping[str, tuple[float, int]]) -> Column:
@@ -176,11 +151,10 @@ def composite(weights: Mapping[str, tuple[float, int]]) -> Column:
 
 
 def composite_scores(
-    panel: DataFrame, weights: Mapping[str, tuple[float, int]], keep: Sequence[str] = (),
-    wide: bool = False,
+    panel: DataFrame, weights: Mapping[str, tuple[float, int]], keep: Sequence[str] = ()
 ) -> DataFrame:
     """``date, code, composite_score`` from raw factor columns."""
-    z = process_scores(panel, list(weights), wide=wide)
+    z = process_scores(panel, list(weights))
     return z.select("date", "code", *keep, composite(weights).alias("composite_score"))
 
 
@@ -222,19 +196,17 @@ def neutralize(
     industry: str = "industry",
     cap: str | None = "market_cap",
     min_names: int = 5,
-    wide: bool = False,
 ) -> DataFrame:
     """Add ``<factor>_neutralized``: z-scored residual on industry and log cap.
 
     Industry dummies plus one slope need no matrix solve: remove industry means from the
-    factor and from log cap, then remove the projection on the remaining log cap. The
-    first statistics are per date, so the (date, industry) ones reuse that exchange.
+    factor and from log cap, then remove the projection on the remaining log cap.
     """
-    df = panel.withColumn("_ind", F.coalesce(F.col(industry).cast("string"), F.lit("Unknown")))
+    df = stored(panel).withColumn("_ind", F.coalesce(F.col(industry).cast("string"), F.lit("Unknown")))
     has_cap = cap is not None and cap in panel.columns
     if has_cap:
         df = df.withColumn("_cap", F.when(F.col(cap) > 0, F.col(cap)))
-        df = with_quantiles(df, DATE, "_cap", {"_cap_med": 0.5}, wide=wide)
+        df = with_quantiles(df, DATE, {"_cap_med": ("_cap", 0.5)})
         df = df.withColumn("_lc", F.log(F.coalesce("_cap", "_cap_med")))
     else:
         df = df.withColumn("_lc", F.lit(None).cast("double"))
@@ -242,15 +214,15 @@ def neutralize(
     for f in factors:
         stats[f"_c_{f}"] = F.count(f)
         stats[f"_d_{f}"] = F.avg(f)
-    df = with_group_stats(df, DATE, stats, wide)
+    df = with_group_stats(df, DATE, stats)
     means = {"_li": F.avg("_lc"), "_size": F.count(F.lit(1))}
     means.update({f"_i_{f}": F.avg(f) for f in factors})
-    df = with_group_stats(df, ("date", "_ind"), means, wide)
+    df = with_group_stats(df, ("date", "_ind"), means)
     df = df.withColumn("_lt", F.coalesce(F.col("_lc") - F.col("_li"), F.lit(0.0)))
     df = df.withColumns({f"_t_{f}": F.col(f) - F.col(f"_i_{f}") for f in factors})
     sums = {"_ll": F.sum(F.col("_lt") * F.col("_lt")), "_groups": F.sum(1.0 / F.col("_size"))}
     sums.update({f"_x_{f}": F.sum(F.col(f"_t_{f}") * F.col("_lt")) for f in factors})
-    df = with_group_stats(df, DATE, sums, wide)
+    df = with_group_stats(df, DATE, sums)
     # Sum of 1/size over the rows of a date counts its industries.
     design = F.round("_groups") + F.when(F.col("_caps") > 0, 1).otherwise(0)
     saturated = F.col("_n") <= design
@@ -263,7 +235,7 @@ def neutralize(
             usable, F.when(saturated, F.col(f) - F.col(f"_d_{f}")).otherwise(fitted)
         )
     df = df.withColumns(residuals)
-    df = zscore(df, {f"{f}_neutralized": f"_e_{f}" for f in factors}, wide)
+    df = _zscored(df, {f"{f}_neutralized": f"_e_{f}" for f in factors})
     drop = ["_ind", "_lc", "_lt", *stats, *means, *sums, *residuals, *[f"_t_{f}" for f in factors]]
     return df.drop(*drop, "_cap", "_cap_med")
 
@@ -280,12 +252,11 @@ def top_n(scores: DataFrame, n: int, score: str = "composite_score", out: str =
     return top_per_group(valid, DATE, [F.col(score).desc(), F.col("code")], n, out)
 
 
-def relevance_labels(panel: DataFrame, label: str, wide: bool = False) -> DataFrame:
+def relevance_labels(panel: DataFrame, label: str) -> DataFrame:
     """Integer relevance 0..n-1 per date and the group size."""
-    valid = panel.filter(F.col(label).isNotNull())
-    df = with_row_number(valid, DATE, [F.col(label), F.col("code")], "_rn", wide)
-    df = df.withColumn("relevance", F.col("_rn") - 1).drop("_rn")
-    return with_group_stats(df, DATE, {"group_size": F.count(F.lit(1))}, wide)
+    valid = stored(panel.filter(F.col(label).isNotNull()))
+    df = with_ranks(valid, DATE, {}, {"_rn": label}, {"group_size": label})
+    return df.withColumn("relevance", F.col("_rn") - 1).drop("_rn")
 
 
 def relevance_contract(labels: DataFrame) -> DataFrame:

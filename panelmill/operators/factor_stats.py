@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, safe_corr
-from ..functions.groups import with_average_rank, with_group_stats, with_row_number
+from ..functions.groups import stored, with_ranks
 from .cross_section import to_long
 
 
@@ -18,22 +18,17 @@ def daily_ic(
     target: str,
     min_names: int = 1,
     quantile: float = 0.2,
-    wide: bool = False,
 ) -> DataFrame:
     """``date, factor, ic, rank_ic, spread, observations`` (A1, A5).
 
-    One long panel serves every factor: a single exchange on (date, factor) carries both
-    rankings and the row position, and the final aggregate reuses it. ``spread`` is the mean
+    One long panel serves every factor, so all are ranked together. ``spread`` is the mean
     target of the top ceil(n q) names minus that of the bottom ones, ties by code.
     """
     keys = ["date", "factor"]
     long = to_long(panel, factors, ["date", "code", target]).filter(
         F.col("value").isNotNull() & F.col(target).isNotNull()
     )
-    df = with_row_number(long, keys, [F.col("value"), F.col("code")], "_pos", wide)
-    df = with_average_rank(df, keys, "value", "_rx", wide=wide)
-    df = with_average_rank(df, keys, target, "_ry", wide=wide)
-    df = with_group_stats(df, keys, {"_n": F.count(F.lit(1))}, wide)
+    df = with_ranks(stored(long), keys, {"_rx": "value", "_ry": target}, {"_pos": "value"}, {"_n": "value"})
     size = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(quantile)))
     top = F.avg(F.when(F.col("_pos") > F.col("_n") - size, F.col(target)))
     bottom = F.avg(F.when(F.col("_pos") <= size, F.col(target)))
@@ -130,11 +125,11 @@ def professional_summary(
 
 
 def prediction_ic(
-    predictions: DataFrame, prediction: str, label: str, min_names: int = 5, wide: bool = False
+    predictions: DataFrame, prediction: str, label: str, min_names: int = 5
 ) -> DataFrame:
     """One row: mean daily IC and rank IC of a model and the dates counted."""
     panel = predictions.select("date", "code", F.col(prediction).alias("prediction"), F.col(label).alias("_label"))
-    daily = evaluated_only(daily_ic(panel, ["prediction"], "_label", wide=wide), min_names)
+    daily = evaluated_only(daily_ic(panel, ["prediction"], "_label"), min_names)
     return daily.agg(
         F.avg("ic").alias("prediction_ic"),
         F.avg("rank_ic").alias("prediction_rank_ic"),

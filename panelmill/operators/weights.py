@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..functions.groups import durable, top_per_group
 from .cross_section import zscore
 from .joins import asof_join
 from .labels import calendar
@@ -38,7 +42,7 @@ def combination_weights(
     Methods: equal, ic, icir, rolling_optimized. Works on calendar x factor rows only.
     """
     if method not in {"equal", "ic", "icir", "rolling_optimized"}:
-        raise ValueError("unsupported factor combination method")
+        raise ValueError(f"factors cannot be combined by {method}")
     k = len(factors)
     names = F.array(*[F.lit(f) for f in factors])
     equal = F.map_from_arrays(names, F.array(*[F.lit(1.0 / k) for _ in factors]))
@@ -95,10 +99,10 @@ def _optimized(grid: DataFrame, factors: Sequence[str], window: int) -> DataFram
 
 def combined_score(
     panel: DataFrame, weights: DataFrame, factors: Sequence[str],
-    directions: Mapping[str, int] | None = None, wide: bool = False,
+    directions: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """``date, code, factor_score``: directed z-scores times the weights of the date (X11)."""
-    z = zscore(panel, {f"_z_{f}": f for f in factors}, wide)
+    z = zscore(panel, {f"_z_{f}": f for f in factors})
     per_date = weights.groupBy("date").agg(
         *[F.max(F.when(F.col("factor") == f, F.col("weight"))).alias(f"_w_{f}") for f in factors]
     )
@@ -174,11 +178,15 @@ def rolling_weights(
     window: int = 252,
     every: int = 20,
     methods: Sequence[str] = ("equal", "ic", "icir", "regression"),
+    ml_every: int = 60,
+    ml_sample: int = 20_000,
+    ml_trees: int = 20,
 ) -> DataFrame:
     """``date, method, factor, weight`` refitted every k sessions from matured rows.
 
     A refit at session i uses sessions up to i - horizon only; before that weights are
-    equal. Between refits the last weights hold.
+    equal. Between refits the last weights hold. ``ml`` is refitted every ``ml_every`` sessions:
+    the importances of a forest fitted on at most ``ml_sample`` rows of the window.
     """
     k = len(factors)
     cal = calendar(panel)
@@ -199,6 +207,8 @@ def rolling_weights(
                 fitted = asof_join(refits, known, [], "cutoff", "_known", ["weights"])
             elif method == "regression":
                 fitted = _rolling_regression(panel, cal, refits, factors, target, window)
+            elif method == "ml":
+                fitted = _rolling_forest(panel, cal, horizon, factors, target, window, ml_every, ml_sample, ml_trees)
             else:
                 raise ValueError(f"unknown weight method: {method}")
             fitted = fitted.select(F.col("refit_date").alias("_refit"), "weights")
@@ -231,6 +241,57 @@ def _rolling_regression(panel, cal, refits, factors, target, window) -> DataFram
     return solve_weights(at_refit, factors, "refit_date")
 
 
+def training_samples(
+    panel: DataFrame, cal: DataFrame, horizon: int, factors: Sequence[str], target: str, window: int, every: int, most: int
+) -> DataFrame:
+    """``refit_date`` and at most ``most`` complete rows of each refit's window.
+
+    Rows are taken by a hash of (date, code), so a sample does not depend on their order or
+    place; the limit is applied before the shuffle.
+    """
+    refits = cal.filter((F.col("idx") % every == 0) & (F.col("idx") >= horizon)).select(
+        F.col("date").alias("refit_date"), (F.col("idx") - horizon).alias("_to")
+    )
+    names = [*factors, target]
+    dated = panel.select("date", "code", *names).dropna(subset=names).join(F.broadcast(cal), "date")
+    # A session is in a handful of windows; refits are calendar rows.
+    held = dated.join(F.broadcast(refits), (F.col("idx") <= F.col("_to")) & (F.col("idx") > F.col("_to") - window))
+    place = F.xxhash64("date", "code")
+    return top_per_group(held.withColumn("_h", place), ["refit_date"], [F.col("_h"), F.col("date"), F.col("code")], most).select("refit_date", *names)
+
+
+def _rolling_forest(panel, cal, horizon, factors, target, window, every, most, trees) -> DataFrame:
+    """Forest importances per refit; a window with too few rows keeps equal weights."""
+    spark = panel.sparkSession
+    samples = durable(training_samples(panel, cal, horizon, factors, target, window, every, most))
+    need = max(100, 10 * len(factors))
+    sizes = samples.groupBy("refit_date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need)
+    vectors = VectorAssembler(inputCols=list(factors), outputCol="_features").transform(samples)
+
+    def fit(row) -> tuple:
+        forest = RandomForestRegressor(
+            featuresCol="_features", labelCol=target, numTrees=trees, minInstancesPerNode=5, maxDepth=10, seed=0
+        )
+        values = forest.fit(vectors.filter(F.col("refit_date") == F.lit(row["refit_date"]))).featureImportances.toArray()
+        total = float(np.abs(values).sum())
+        shares = values / total if total > 0 else np.full(len(factors), 1.0 / len(factors))
+        return row["refit_date"], dict(zip(factors, map(float, shares), strict=True))
+
+    with ThreadPool(4) as pool:
+        rows = pool.map(fit, sizes.collect())  # a row per refit
+    return spark.createDataFrame(rows, "refit_date date, weights map<string,double>")
+
+
+def method_scores(panel: DataFrame, weights: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """``date, code, method, factor_score`` of every weighting method in one join (A12): a
+    missing factor counts 0. The weight table has a row per session, method and factor."""
+    wide = weights.groupBy("date", "method").agg(*[F.max(F.when(F.col("factor") == f, F.col("weight"))).alias(f"_w_{f}") for f in factors])
+    total = F.lit(0.0)
+    for f in factors:
+        total = total + F.coalesce(F.col(f), F.lit(0.0)) * F.col(f"_w_{f}")
+    return panel.select("date", "code", *factors).join(F.broadcast(wide), "date").select("date", "code", "method", total.alias("factor_score"))
+
+
 # ---------------------------------------------------------------- adaptation and versions
 
 
@@ -257,7 +318,7 @@ def adaptive_weights(stats: DataFrame, method: str = "equal") -> DataFrame:
     elif method in columns:
         weight, metric = allocation(F.col(columns[method])), F.col(columns[method])
     else:
-        raise ValueError(f"unknown adaptive weighting method: {method}")
+        raise ValueError(f"evidence cannot be weighted by {method}")
     return stats.select("strategy", "factor", weight.alias("weight"), metric.alias("metric"))
 
 

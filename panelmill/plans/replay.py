@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
 from ..functions.groups import durable, top_per_group, with_row_number
 from ..operators import labels as lb
 from ..operators import returns as rt
@@ -58,13 +58,38 @@ def robustness_scenarios(spark: SparkSession, every: int = 10) -> DataFrame:
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
 
 
-def perturbed_weights(weights: Mapping[str, tuple[float, int]], change: float) -> dict[str, tuple[float, int]]:
-    """Shift the first factor's weight and rescale the others to sum to one (V4)."""
-    shares = np.array([share for share, _ in weights.values()], float)
-    lead = np.clip(shares[:1] + change, 0.0, 1.0)
-    tail = shares[1:] * ((1 - lead) / tail_sum if (tail_sum := shares[1:].sum()) > 0 else 0.0)
-    moved = np.concatenate([lead, tail]).tolist()
-    return {name: (share, sign) for share, (name, (_, sign)) in zip(moved, weights.items(), strict=True)}
+def weight_variants(
+    spark: SparkSession, weights: Mapping[str, tuple[float, int]], changes: Mapping[str, float]
+) -> DataFrame:
+    """``variant, factor, weight``: signed weights under a shift of the leading factor (V4).
+
+    The leading share moves by the change and stays in [0, 1]; the others keep their
+    proportions in what is left. ``changes`` names the variants; 0 leaves the weights alone.
+    """
+    shares = spark.createDataFrame(
+        [(place, name, float(share), sign) for place, (name, (share, sign)) in enumerate(weights.items())],
+        "place int, factor string, share double, sign int",
+    )
+    variants = spark.createDataFrame([(k, float(v)) for k, v in changes.items()], "variant string, change double")
+    totals = shares.agg(
+        F.max(F.when(F.col("place") == 0, F.col("share"))).alias("lead"),
+        F.coalesce(F.sum(F.when(F.col("place") > 0, F.col("share"))), F.lit(0.0)).alias("others"),
+    )
+    table = variants.join(F.broadcast(totals)).withColumn("moved", F.least(F.greatest(F.col("lead") + F.col("change"), F.lit(0.0)), F.lit(1.0)))
+    table = table.join(F.broadcast(shares))
+    left = F.coalesce(F.try_divide("share", "others"), F.lit(0.0)) * (1 - F.col("moved"))
+    weight = F.when(F.col("change") == 0, F.col("share")).when(F.col("place") == 0, F.col("moved")).otherwise(left)
+    return table.select("variant", "factor", (weight * F.col("sign")).alias("weight"))
+
+
+def variant_scores(zscored: DataFrame, variants: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """``date, code, variant, score`` from one standardisation (V4); NULL when any factor is
+    missing. ``variants`` becomes one row a variant, so every row meets a handful."""
+    wide = variants.groupBy("variant").agg(*[F.max(F.when(F.col("factor") == f, F.col("weight"))).alias(f"_w_{f}") for f in factors])
+    score = F.lit(0.0)
+    for f in factors:
+        score = score + F.col(f"{f}_z") * F.col(f"_w_{f}")
+    return zscored.select("date", "code", *[f"{f}_z" for f in factors]).join(F.broadcast(wide)).select("date", "code", "variant", score.alias("score"))
 
 
 def thinned_codes(codes: DataFrame, fraction: float, minimum: int = 5) -> DataFrame:
@@ -142,12 +167,12 @@ def replay(
     dates: DataFrame,
     scenarios: DataFrame,
     settings: ReplaySettings = ReplaySettings(),
-    wide: bool = False,
 ) -> DataFrame:
     """Holdings of every scenario (V1): calibrated on matured labels, then allocated.
 
     ``scored``: ``date, code, variant, score, kept``. A signal without enough matured
-    labels trades nothing; there is no warm-up fallback.
+    labels trades nothing; there is no warm-up fallback. A rebalance that would have to sell
+    a name without an open waits for the next one (B8), so only executed baskets are returned.
     """
     events = durable(scenario_events(dates, scenarios, settings))
     labels = scenario_labels(scored, prices, dates, scenarios)
@@ -168,13 +193,12 @@ def replay(
         (F.col("intercept") + F.col("slope") * F.col("score")).alias("model_prediction"),
         "industry", (1 - F.coalesce("_e", F.lit(0.7))).alias("risk"), F.coalesce("_s", F.lit("sideways")).alias("regime"),
     )
-    chosen = allocate(
-        candidates, AllocationSettings(top_n=settings.top_n), (KEY, "date", "entry_date"), wide
-    )
-    return chosen.select(
+    chosen = allocate(candidates, AllocationSettings(top_n=settings.top_n), (KEY, "date", "entry_date"))
+    planned = chosen.select(
         KEY, F.col("entry_date").alias("date"), F.col("date").alias("signal_date"),
         "code", "industry", "weight", "model_score", "regime",
     )
+    return rt.executed_baskets(planned, prices, (KEY,))
 
 
 def carried_fit(fit: DataFrame, retrain: int) -> DataFrame:
@@ -199,11 +223,44 @@ def scenario_curves(
     )
 
 
-def scenario_report(scenarios: DataFrame, metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every scenario as a row; one without results stays ``unavailable`` (V3)."""
-    return scenarios.select(KEY, "category").join(metrics, KEY, "left").select(
-        KEY, "category", *columns,
-        F.when(F.col(columns[0]).isNull(), "unavailable").otherwise("available").alias("status"),
+def checked_scenarios(scenarios: DataFrame, variants: DataFrame) -> DataFrame:
+    """Scenarios with ``problem``: why a cell cannot be run, NULL where it can (V3)."""
+    known = variants.select(F.col("variant").alias("_known")).distinct()
+    marked = scenarios.join(F.broadcast(known), F.col("variant") == F.col("_known"), "left")
+    every, scale = F.col("every"), F.col("cost_scale")
+    problem = (
+        F.when(every.isNull() | (every < 1), F.concat(F.lit("a rebalance every "), F.coalesce(every.cast("string"), F.lit("?")), F.lit(" sessions")))
+        .when(scale.isNull() | F.isnan(scale) | (scale < 0), F.lit("costs are not a positive multiple"))
+        .when(F.col("_known").isNull(), F.concat(F.lit("no scores of variant "), F.coalesce("variant", F.lit("?"))))
+        .when(F.col("thin").isNull(), F.lit("no universe"))
+    )
+    return marked.withColumn("problem", problem).drop("_known")
+
+
+def scenario_report(checked: DataFrame, metrics: DataFrame, columns: Sequence[str], progress: DataFrame | None = None) -> DataFrame:
+    """Every scenario as a row (V3): metrics, ``status`` and ``detail``.
+
+    ``checked`` brings the problems found before the run. ``progress`` (``scenario, baskets,
+    sessions``) tells how far a cell came, and a metric that has no finite value is named, so a
+    failing cell says why and the others keep their figures.
+    """
+    rows = checked.select(KEY, "category", "problem").join(metrics, KEY, "left")
+    if progress is None:
+        progress = metrics.select(KEY, F.lit(None).cast("long").alias("baskets"), F.lit(None).cast("long").alias("sessions"))
+    rows = rows.join(progress, KEY, "left")
+    empty = [F.when(finite(c).isNull(), F.lit(c)) for c in columns]
+    lacking = F.concat_ws(", ", *empty)
+    detail = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.coalesce("baskets", F.lit(0)) == 0, "no signal had enough matured labels")
+        .when(F.coalesce("sessions", F.lit(0)) < 2, "fewer than two sessions were marked")
+        .when(lacking != "", F.concat(F.lit("undefined: "), lacking))
+    )
+    good = detail.isNull()
+    return rows.select(
+        KEY, "category", *[F.when(good, F.col(c)).alias(c) for c in columns],
+        F.when(good, "available").otherwise("unavailable").alias("status"),
+        F.coalesce(detail, F.lit("measured")).alias("detail"),
     )
 
 

@@ -10,7 +10,7 @@ from panelmill.operators import risk as rk
 from panelmill.operators import timeseries as ts
 from panelmill.plans import annual, daily, replay
 from panelmill.streaming import bars as sb
-from panelmill.streaming.state import running_state
+from panelmill.streaming.state import ROCKSDB, rocksdb, running_state
 from tests.helpers import panel, rows
 
 
@@ -64,11 +64,38 @@ def test_thinning_matches_linspace(spark):
         assert {r["code"] for r in replay.thinned_codes(codes, fraction).collect()} == want
 
 
-def test_weight_changes_keep_the_total():
-    for change in (-0.05, 0.05):
-        moved = replay.perturbed_weights(WEIGHTS, change)
-        assert sum(w for w, _ in moved.values()) == pytest.approx(1.0)
-        assert moved["momentum_5"][0] == pytest.approx(0.10 + change)
+def test_weight_variants(spark):
+    got = {}
+    for r in replay.weight_variants(spark, WEIGHTS, {"base": 0.0, "minus": -0.05, "plus": 0.05, "all": 5.0, "none": -5.0}).collect():
+        got.setdefault(r["variant"], {})[r["factor"]] = r["weight"]
+    assert got["base"] == {f: w * sign for f, (w, sign) in WEIGHTS.items()}
+    for name, lead in (("minus", 0.05), ("plus", 0.15), ("all", 1.0), ("none", 0.0)):
+        assert got[name]["momentum_5"] == pytest.approx(lead) and sum(map(abs, got[name].values())) == pytest.approx(1.0)
+        assert got[name]["drawdown"] == pytest.approx(-0.15 / 0.9 * (1 - lead))
+    alone = replay.weight_variants(spark, {"x": (1.0, 1)}, {"v": -0.5}).collect()
+    assert [(r["factor"], r["weight"]) for r in alone] == [("x", 0.5)]
+
+
+def test_a_failing_cell_leaves_the_others(spark, inputs):
+    _, scored, bars, members, regimes, dates = inputs
+    bad = [("a", "bad", 0, 1.0, "base", False), ("b", "bad", None, 1.0, "base", False), ("c", "bad", 10, -1.0, "base", False),
+           ("d", "bad", 10, 1.0, "nope", False), ("e", "bad", 10, 1.0, None, False), ("f", "bad", 900, 1.0, "base", False)]
+    scenarios = spark.createDataFrame([replay.BASE, *bad], replay.SCENARIO_SCHEMA)
+    checked = replay.checked_scenarios(scenarios, scored.select("variant"))
+    sound = checked.filter("problem IS NULL").drop("problem")
+    held = replay.replay(scored, bars, members, regimes, dates, sound, replay.ReplaySettings(top_n=5, min_labels=10))
+    curve = replay.scenario_curves(held, bars, sound)
+    metrics = curve.groupBy("scenario").agg((F.max("equity") / F.min("equity")).alias("x"), F.lit(float("nan")).alias("y"))
+    progress = held.groupBy("scenario").agg(F.countDistinct("date").alias("baskets")).join(
+        curve.groupBy("scenario").agg(F.count(F.lit(1)).alias("sessions")), "scenario")
+    got = {r["scenario"]: r for r in replay.scenario_report(checked, metrics, ["x"], progress).collect()}
+    assert got["base"]["status"] == "available" and got["base"]["x"] > 0 and got["base"]["detail"] == "measured"
+    assert {k: r["detail"] for k, r in got.items() if k != "base"} == {
+        "a": "a rebalance every 0 sessions", "b": "a rebalance every ? sessions", "c": "costs are not a positive multiple",
+        "d": "no scores of variant nope", "e": "no scores of variant ?", "f": "no signal had enough matured labels"}
+    assert all(r["x"] is None for k, r in got.items() if k != "base")
+    undefined = replay.scenario_report(checked, metrics, ["x", "y"], progress).filter("scenario = 'base'").first()
+    assert (undefined["status"], undefined["detail"]) == ("unavailable", "undefined: y")
 
 
 def test_grids(spark):
@@ -112,21 +139,35 @@ def test_annual_walk_forward_matches_numpy(spark):
         assert getattr(r, "_2") == pytest.approx(np.prod(1 + np.array(rets)) - 1)
 
 
-def test_period_callbacks(spark):
+def test_period_research(spark):
     dates = pd.date_range("2018-01-01", "2023-06-30", freq="W-MON").date
-    df = spark.createDataFrame([(d, 1.0) for d in dates], "date date, x double")
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame([(d, f"{i:06d}") for d in dates for i in range(9)], columns=["date", "code"])
+    pdf["x"] = rng.normal(size=len(pdf))
+    pdf["y"] = 0.02 * pdf["x"] + rng.normal(0, 0.02, len(pdf))
+    df = spark.createDataFrame(pdf)
     periods = lb.rolling_periods(df)
     assert lb.chronology_breaks(periods).count() == 0
-    seen = []
-
-    def evaluate(predicted, test):
-        seen.append(predicted.count())
-        return {"return": 0.1, "benchmark": 0.0, "alpha": 0.1, "sharpe": 1.0, "drawdown": 0.0}
-
-    out = annual.run_periods(df, periods, lambda train, valid: train.count(), lambda model, test: test, evaluate)
-    assert len(out) == periods.select("period").distinct().count() == len(seen) and all(n > 0 for n in seen)
-    with pytest.raises(ValueError, match="missing metrics"):
-        annual.run_periods(df, periods, lambda a, b: None, lambda m, t: t, lambda p, t: {"return": 1.0})
+    got = rows(annual.run_periods(df, periods, lambda some: annual.slope_research(some, "x", "y", 4)), "period")
+    spans = periods.toPandas().set_index(["period", "part"])
+    assert got["period"].tolist() == sorted({p for p, _ in spans.index}) and len(got) > 2
+    for r in got.to_dict("records"):
+        part = lambda name, r=r: pdf[pdf["date"].between(*spans.loc[(r["period"], name), ["start_date", "end_date"]])]
+        train, test = part("train"), part("test")
+        slope = np.polyfit(train["x"], train["y"], 1)[0]
+        picks, market = [], []
+        for d in sorted(test["date"].unique())[::4]:
+            day = test[test["date"] == d]
+            picks.append(day.loc[(slope * day["x"]).nlargest(2).index, "y"].mean())
+            market.append(day["y"].mean())
+        nav = np.cumprod(1 + np.array(picks))
+        assert r["return"] == pytest.approx(nav[-1] - 1) and r["benchmark"] == pytest.approx(np.prod(1 + np.array(market)) - 1)
+        assert r["drawdown"] == pytest.approx((nav / np.maximum.accumulate(nav) - 1).min())
+    with pytest.raises(ValueError, match="without benchmark"):
+        annual.run_periods(df, periods, lambda some: some.groupBy("period").agg(F.lit(1.0).alias("return")))
+    late = periods.withColumn("end_date", F.when(F.col("part") == "train", F.date_add("end_date", 400)).otherwise(F.col("end_date")))
+    with pytest.raises(ValueError, match="before an earlier part"):
+        annual.run_periods(df, late, lambda some: some)
 
 
 def test_daily_batch_rebuilds_only_stale_codes(spark):
@@ -146,18 +187,87 @@ def test_daily_batch_rebuilds_only_stale_codes(spark):
     assert stages["detail"][0] == "built 2 missing or stale feature sets" and len(stages) == 5
 
 
-def test_stream_state_over_many_batches_equals_one(spark, tmp_path):
+def test_stream_state_takes_late_and_missing_bars(spark):
+    """Three deliveries with late bars inside and beyond the bound, missing closes and repeated bars."""
     pdf = panel(3, 60, seed=6)[["code", "date", "close"]]
     dates = sorted(pdf["date"].unique())
-    for i in range(3):
-        part = pdf[pdf["date"].isin(dates[i * 20:(i + 1) * 20])]
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    got = rows(sb.table_of(running_state(sb.file_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1))), "code", "date")
-    want = pdf.sort_values(["code", "date"]).reset_index(drop=True)
-    ema = want.groupby("code")["close"].transform(lambda s: s.ewm(span=12, adjust=False, min_periods=12).mean())
-    np.testing.assert_allclose(got["ema"], ema, rtol=1e-12)
-    np.testing.assert_allclose(got["drawdown"], want["close"] / want.groupby("code")["close"].cummax() - 1, atol=1e-12)
+    pdf["turn"] = pdf["date"].map({d: i // 20 for i, d in enumerate(dates)})
+    place = pdf["date"].map({d: i for i, d in enumerate(dates)})
+    code = pdf["code"].astype(int)
+    pdf.loc[(place % 20 >= 16) & (place < 40) & (code == 1), "turn"] += 1  # within the bound
+    pdf.loc[place.isin([3, 25]) & (code == 2), "turn"] += 1  # beyond it
+    pdf.loc[place.isin([0, 30]) & (code == 0), "close"] = np.nan
+    pdf["seq"] = 1
+    again = pdf[(place == 10) & (code == 0)].assign(seq=0, close=1e6)  # an older version of a bar
+    beat = pd.DataFrame({"code": [""], "date": [dates[-1] + pd.Timedelta(days=99)], "close": [np.nan], "turn": [3], "seq": [0]})
+    full = pd.concat([pdf, again, beat])
+    parts = [spark.createDataFrame(p.drop(columns="turn")).withColumn("close", F.when(~F.isnan("close"), F.col("close"))) for _, p in full.groupby("turn")]
+    with rocksdb(spark):
+        got = rows(sb.emitted(parts, lambda bars: running_state(bars, late="10 days")).filter(F.col("code") != ""), "code", "date")
+    want = pdf[~(place.isin([3, 25]) & (code == 2))].sort_values(["code", "date"]).reset_index(drop=True)
+    assert got[["code", "date"]].equals(want[["code", "date"]])
+    by = want.groupby("code")["close"]
+    ema = by.transform(lambda s: s.ewm(span=12, adjust=False, ignore_na=True).mean()).where(by.transform(lambda s: s.notna().cumsum()) >= 12)
+    np.testing.assert_allclose(got["ema"].to_numpy(float), ema, rtol=1e-12)
+    peak = by.transform(lambda s: s.cummax().ffill())
+    np.testing.assert_allclose(got["peak"].to_numpy(float), peak)
+    np.testing.assert_allclose(got["drawdown"].to_numpy(float), want["close"] / peak - 1, atol=1e-12)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB
+
+
+def test_stream_state_of_an_idle_code_goes(spark):
+    day = lambda n: (pd.Timestamp("2020-01-01") + pd.Timedelta(days=n)).date()
+    kind = "code string, date date, seq int, close double"
+    parts = [[("a", day(0), 0, 10.0), ("a", day(1), 0, 5.0)], [("b", day(40), 0, 1.0)], [("b", day(60), 0, 1.0)], [("a", day(61), 0, 4.0), ("b", day(99), 0, 1.0)]]
+    with rocksdb(spark):
+        got = sb.emitted([spark.createDataFrame(p, kind) for p in parts], lambda bars: running_state(bars, 2, "1 day", keep_days=30))
+        peaks = {(r["code"], r["date"]): r["peak"] for r in got.collect()}
+    assert peaks[("a", day(1))] == 10.0 and peaks[("a", day(61))] == 4.0
+
+
+def ticks(spark, rows_):
+    return spark.createDataFrame([(c, pd.Timestamp(t).to_pydatetime(), s, p, 1.0) for c, t, s, p in rows_], "code string, ts timestamp, seq long, price double, quantity double")
+
+
+def test_windows_close_and_late_ticks_are_set_aside(spark, tmp_path):
+    parts = [
+        ticks(spark, [("a", "2021-01-01 10:00", 2, 5.0), ("a", "2021-01-01 10:00", 1, 4.0), ("a", "2021-01-02 01:00", 3, 6.0)]),
+        ticks(spark, [("a", "2021-01-01 23:00", 4, 9.0), ("a", "2021-01-03 05:00", 5, 7.0)]),  # one in time: bound 2nd, 23:00 of the 1st
+        ticks(spark, [("a", "2021-01-02 02:00", 6, 1.0), ("a", "2021-01-03 06:00", 7, 8.0), ("b", "2021-01-01 00:00", 8, 2.0)]),  # two late
+        ticks(spark, [("a", "2021-01-09 00:00", 9, 8.0)]),
+    ]
+    got = [tuple(r)[0:6] for r in sb.emitted(parts, lambda t: sb.tumbling_bars(t, late="2 hours")).orderBy("start").collect()]
+    t = pd.Timestamp
+    assert got == [(t("2021-01-01"), "a", 4.0, 9.0, 4.0, 9.0), (t("2021-01-02"), "a", 6.0, 6.0, 6.0, 6.0), (t("2021-01-03"), "a", 7.0, 8.0, 7.0, 8.0)]
+    files, state, aside = (str(tmp_path / k) for k in ("in", "state", "aside"))
+    sb.deliver(parts, lambda s: sb.run_available(s, sb.late_ticks(aside), checkpoint=state), files)
+    late = sb.set_aside(spark, aside, parts[0].schema)
+    assert {r["seq"] for r in late.collect()} == {6, 8}
+
+
+def test_window_state_does_not_grow(spark, tmp_path):
+    files, state = str(tmp_path / "in"), str(tmp_path / "state")
+    held = []
+    for day in range(1, 9):
+        ticks(spark, [("a", f"2021-01-{day:02d} {h:02d}:00", day * 100 + h, 1.0) for h in range(24)]).write.mode("append").parquet(files)
+        stream = sb.file_stream(spark, files, spark.read.parquet(files).schema)
+        done = sb.run_available(sb.tumbling_bars(stream), lambda b, n: None, checkpoint=state)
+        held.append(done.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert max(held) <= 2
+
+
+def test_ledger_guard_for_good(spark, tmp_path):
+    files, state, path = (str(tmp_path / k) for k in ("in", "state", "ledger"))
+    at = lambda text: pd.Timestamp(text).to_pydatetime()
+    one = spark.createDataFrame([(1, at("2020-01-01"), 5), (1, at("2020-01-01"), 3), (2, at("2020-01-02"), 7)], "id long, ts timestamp, v int")
+    year_on = spark.createDataFrame([(1, at("2020-01-01"), 9), (3, at("2021-06-01"), 1), (1, at("2021-06-01"), 2)], one.schema)
+    write = sb.first_arrivals(path, ["id"], ["v"])
+    sb.deliver([one, year_on, one], lambda s: sb.run_available(s, write, checkpoint=state), files)
+    want = {(1, "2020-01-01", 3), (2, "2020-01-02", 7), (3, "2021-06-01", 1), (1, "2021-06-01", 2)}
+    keep = lambda: {(r["id"], str(r["ts"].date()), r["v"]) for r in spark.read.parquet(path).collect()}
+    assert keep() == want
+    write(year_on, 1)  # the batch again, as after a crash
+    assert keep() == want
 
 
 def test_ingest_replays_nothing_after_a_restart(spark, tmp_path):

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelmill.functions import chains as ch
 from panelmill.operators import construct as pc
 from panelmill.operators import joins as jn
 from panelmill.operators import metrics as mt
@@ -214,3 +215,60 @@ def test_execution_costs(spark):
     days = spark.createDataFrame([("2024-01-05",), ("2024-01-06",), ("2024-01-07",), ("2024-01-08",)], "d string").select(
         pc.next_business_day(F.col("d").cast("date")).cast("string").alias("n"))
     assert [r["n"] for r in days.collect()] == ["2024-01-08", "2024-01-08", "2024-01-08", "2024-01-09"]
+
+
+def test_chains_by_pointer_jumping(spark):
+    rng = np.random.default_rng(4)
+    links, want = [], set()
+    for key in ("a", "b", "c"):
+        after = {p: int(rng.integers(p + 1, p + 9)) if rng.uniform() < 0.97 else None for p in range(1, 200)}
+        links += [(key, p, q) for p, q in after.items()]
+        here = 1
+        while here in after:
+            want.add((key, here))
+            here = after[here]
+    links += [("one", 7, None), ("gone", 3, 400)]
+    want |= {("one", 7), ("gone", 3)}
+    df = spark.createDataFrame(links, "k string, p long, q long")
+    assert {tuple(r) for r in ch.on_chain(df, ["k"], "p", "q").collect()} == want
+    assert ch.on_chain(df.limit(0), ["k"], "p", "q").count() == 0
+
+
+def test_first_position_in_blocks(spark):
+    rows_ = [("a", 5), ("a", 40_000), ("b", 32_767), ("b", 32_768), ("c", 0)]
+    bits = ch.positions_bitmap(spark.createDataFrame(rows_, "k string, at long"), ["k"], "at")
+
+    def first(key, low):
+        found = bits.filter(F.col("k") == key).select(ch.first_position(F.col("_bits"), F.col("_block"), F.lit(low), F.lit(50_000)).alias("at"))
+        return found.agg(F.min("at")).first()[0]
+
+    assert [first("a", 0), first("a", 6), first("a", 40_001), first("b", 32_768), first("b", 1), first("c", 0), first("c", 1)] == [
+        5, 40_000, None, 32_768, 32_767, 0, None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deferral_with_many_gaps(spark, seed):
+    """Baskets of up to four names that trade on seven days in ten; some buy nothing."""
+    rng = np.random.default_rng(seed)
+    dates = pd.bdate_range("2021-01-04", periods=60).date
+    codes = [f"{i:06d}" for i in range(12)]
+    opens = {(d, c): float(rng.choice([0.0, 10.0], p=[0.1, 0.9])) for d in dates for c in codes if rng.uniform() < 0.75}
+    held = [(s, d, str(c), float(w)) for s in ("x", "y") for d in dates[::2] for c in rng.choice(codes, rng.integers(1, 5), replace=False)
+            for w in [rng.choice([0.0, 0.2, 0.3])]]
+    holdings = spark.createDataFrame(held, "scenario string, date date, code string, weight double")
+    prices = spark.createDataFrame([(c, d, o) for (d, c), o in opens.items()], "code string, date date, open double")
+    got = {(r["scenario"], r["date"]) for r in rt.executed_baskets(holdings, prices).collect()}
+    want = set()
+    for s in ("x", "y"):
+        current = []
+        for d in dates[::2]:
+            if all(opens.get((d, c), 0.0) > 0 for c in current):
+                current = [c for k, e, c, w in held if k == s and e == d and w > 0 and opens.get((d, c), 0.0) > 0]
+                want.add((s, d))
+    assert got == want
+
+
+def test_deferral_plan_has_no_pairs(spark, market):
+    _, _, _, prices, holdings = market
+    text = rt.successors(holdings, prices)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in text for word in ("NestedLoop", "Cartesian", "FlatMapGroups", "ArrowEvalPython"))

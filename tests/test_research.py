@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from panelmill.operators import cross_section as xs
@@ -10,7 +11,7 @@ from panelmill.operators import factor_stats as fs
 from panelmill.operators import labels as lb
 from panelmill.operators import models as ml
 from panelmill.operators import weights as wt
-from tests.helpers import panel, rows
+from tests.helpers import panel, rows, same
 
 
 def test_hand_computed_ic(spark):
@@ -86,6 +87,38 @@ def test_calibration_uses_matured_labels_only(spark):
             assert np.isnan(r.slope)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_calibration_windows_match_the_range_join(spark, seed):
+    """Lower bounds inside, before and after the known labels; events of one score; ties in time."""
+    rng = np.random.default_rng(seed)
+    days = pd.bdate_range("2021-01-04", periods=80).date
+    rows_ = []
+    for key in ("a", "b"):
+        for i in range(0, 60, 4):
+            same = rng.uniform() < 0.6
+            for _ in range(rng.integers(0, 5)):
+                rows_.append((key, days[i], days[i + 6 - 6 * (i % 8 == 4) + 4 * (i % 8 == 4)], 2.0 if same else float(rng.normal()), float(rng.normal())))
+    labels = spark.createDataFrame(rows_, "k string, signal_date date, exit_date date, score double, future_return double")
+    known = pd.DataFrame(rows_, columns=["k", "signal_date", "exit_date", "score", "future_return"])
+    signals = [(k, days[i], days[max(0, i - back)]) for k in ("a", "b", "none") for i in range(0, 80, 5) for back in (0, 3, 11, 40)]
+    table = spark.createDataFrame(signals, "k string, signal_date date, low date")
+    for lower in ("low", None):
+        got = lb.calibration(labels, table, 3, lower, ("k",)).collect()
+        assert len(got) == len(signals)
+        for r in got:
+            past = known[(known["k"] == r["k"]) & (known["exit_date"] < r["signal_date"])]
+            if lower:
+                past = past[past["signal_date"] >= r["low"]]
+            assert r["n_obs"] == len(past) and r["training_end"] == (past["exit_date"].max() if len(past) else None)
+            if len(past) >= 3 and past["score"].nunique() > 1:
+                slope, icpt = np.polyfit(past["score"], past["future_return"], 1)
+                assert r["slope"] == pytest.approx(slope, rel=1e-6) and r["intercept"] == pytest.approx(icpt, rel=1e-6, abs=1e-9)
+            else:
+                assert r["slope"] is None and r["intercept"] is None
+    plan = lb.calibration(labels, table, 3, "low", ("k",))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 11, 23, 60])
 def test_score_buckets_match_qcut(spark, n):
     rng = np.random.default_rng(n)
@@ -183,15 +216,15 @@ def test_ridge_matches_normal_equations(spark, tmp_path):
     model = ml.fit_ranking(df, ["a", "b"], "y", "linear", cleaned=True, alpha=2.0)
     x, y = pdf[["a", "b"]] - pdf[["a", "b"]].mean(), pdf["y"] - pdf["y"].mean()
     want = np.linalg.solve(x.T @ x + 2.0 * np.eye(2), x.T @ y)
-    np.testing.assert_allclose(model.model.coefficients.toArray(), want, rtol=1e-6)
+    np.testing.assert_allclose(model.stages[-1].inner.coefficients.toArray(), want, rtol=1e-6)
     gaps = df.withColumn("a", F.when(F.col("code") != "000001", F.col("a")))
-    got = ml.predict_ranking(model, gaps, cleaned=True)
+    got = model.transform(gaps)
     assert got.filter(F.col("prediction").isNull()).count() == 30
-    ic = fs.prediction_ic(ml.predict_ranking(model, df, cleaned=True), "prediction", "y").first()
+    ic = fs.prediction_ic(model.transform(df), "prediction", "y").first()
     assert ic["prediction_ic"] > 0.9
-    ml.save_model(model, str(tmp_path / "m"))
-    again = ml.load_model(str(tmp_path / "m"), "linear", ["a", "b"])
-    np.testing.assert_allclose(again.model.coefficients.toArray(), model.model.coefficients.toArray())
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    np.testing.assert_allclose(again.stages[-1].inner.coefficients.toArray(), model.stages[-1].inner.coefficients.toArray())
 
 
 def test_forest_and_boosting_find_a_planted_signal(spark):
@@ -204,4 +237,71 @@ def test_forest_and_boosting_find_a_planted_signal(spark):
         model = ml.fit_ranking(df, ["a", "b"], "y", name, cleaned=True, **params)
         top = ml.feature_importance(model, spark).orderBy(F.desc("importance")).first()
         assert top["feature"] == "a"
-        assert fs.prediction_ic(ml.predict_ranking(model, df, cleaned=True), "prediction", "y").first()["prediction_rank_ic"] > 0.5
+        assert fs.prediction_ic(model.transform(df), "prediction", "y").first()["prediction_rank_ic"] > 0.5
+
+
+def test_pipeline_cleans_saves_and_loads(spark, tmp_path):
+    """The cleaning stage is part of the saved pipeline, and an unfitted one can be saved as well."""
+    rng = np.random.default_rng(5)
+    pdf = panel(12, 20, seed=5)
+    pdf["a"], pdf["b"] = rng.normal(size=len(pdf)), rng.normal(size=len(pdf))
+    pdf["y"] = 0.5 * pdf["a"] + rng.normal(0, 0.1, len(pdf))
+    pdf.loc[::37, "a"] = np.inf
+    pdf.loc[5::41, "b"] = 1e9
+    df = spark.createDataFrame(pdf[["date", "code", "a", "b", "y"]])
+    for name, params in (("random_forest", {"numTrees": 5}), ("linear", {"alpha": 3.0})):
+        ml.ranking_pipeline(["a", "b"], "y", name, **params).write().overwrite().save(str(tmp_path / name))
+        model = Pipeline.load(str(tmp_path / name)).fit(df)
+        model.write().overwrite().save(str(tmp_path / f"{name}-fitted"))
+        again = PipelineModel.load(str(tmp_path / f"{name}-fitted"))
+        assert again.stages[0].getInputCols() == ["a", "b"] and again.stages[0].getOrDefault("sigma") == 3.0
+        a, b = (rows(m.transform(df).select("date", "code", "prediction"), "date", "code") for m in (model, again))
+        pd.testing.assert_frame_equal(a, b)
+        assert a["prediction"].notna().all()
+    by_hand = ml.fit_ranking(xs.clean(df, ["a", "b"]), ["a", "b"], "y", "linear", cleaned=True, alpha=3.0)
+    same(a, rows(by_hand.transform(xs.clean(df, ["a", "b"])), "date", "code"), ["prediction"])
+    with pytest.raises(ValueError, match="no ranking model"):
+        ml.fit_ranking(df, ["a", "b"], "y", "nope")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refits_follow_the_sessions(spark, seed):
+    """Refit sessions against a walk, with thin stretches in which no model can be fitted."""
+    rng = np.random.default_rng(seed)
+    days = pd.bdate_range("2020-01-01", periods=150).date
+    thin = set(days[40:70]) if seed else set()
+    rows_ = [(d, f"{i:06d}", float(rng.normal()), None if d in thin else 1.0) for d in days for i in range(6)]
+    df = spark.createDataFrame(rows_, "date date, code string, x double, y double")
+    got = {r["idx"]: (r["first"], r["last"], r["usable"]) for r in ml.refit_table(df, ["x", "y"], 5, 8, 25, 17, 130).collect()}
+    want, due = {}, 0
+    for idx in range(0, len(days) - 1, 5):
+        if idx < 8 or idx < due:
+            continue
+        end = idx - 8
+        used = [d for d in days[max(0, end - 24) : end + 1] if d not in thin]
+        usable = len(used) >= 20 and 6 * len(used) >= 130
+        want[idx] = (days[max(0, end - 24)], days[end], usable)
+        due = idx + 17 if usable else 0
+    assert got == want
+
+
+def test_forest_weights_follow_the_signal(spark):
+    """The planted factor changes half way; samples are bounded and do not depend on row order."""
+    rng = np.random.default_rng(8)
+    days = pd.bdate_range("2020-01-01", periods=200).date
+    pdf = pd.DataFrame([(d, f"{i:06d}") for d in days for i in range(12)], columns=["date", "code"])
+    pdf["f"], pdf["g"] = rng.normal(size=len(pdf)), rng.normal(size=len(pdf))
+    pdf["y"] = np.where(pdf["date"] < days[100], pdf["f"], pdf["g"]) + rng.normal(0, 0.1, len(pdf))
+    df = spark.createDataFrame(pdf)
+    got = wt.rolling_weights(df, None, ["f", "g"], "y", horizon=5, window=40, methods=("ml",), ml_every=60, ml_sample=300, ml_trees=5)
+    weight = {(r["date"], r["factor"]): r["weight"] for r in got.collect()}
+    assert weight[(days[3], "f")] == 0.5 and weight[(days[70], "f")] > 0.8 and weight[(days[190], "g")] > 0.8
+    assert all(weight[(d, "f")] + weight[(d, "g")] == pytest.approx(1.0) for d in days)
+    cal = lb.calendar(df)
+    one, two = (rows(wt.training_samples(some, cal, 5, ["f", "g"], "y", 40, 60, 300), "refit_date", "f", "g") for some in (df, df.orderBy(F.rand(1)).repartition(7)))
+    pd.testing.assert_frame_equal(one, two)
+    assert one.groupby("refit_date").size().tolist() == [300, 300, 300]
+    scored = rows(wt.method_scores(df, got, ["f", "g"]), "date", "code")
+    sample = scored.iloc[1234]
+    want = pdf.sort_values(["date", "code"]).iloc[1234]
+    assert sample["factor_score"] == pytest.approx(want["f"] * weight[(want["date"], "f")] + want["g"] * weight[(want["date"], "g")])
