@@ -145,11 +145,14 @@ def with_ranks(
         place = F.struct(F.lit(i).alias("i"), F.col(f"_slice{i}").alias("s"))
         rows = rows.withColumn(f"_held{i}", F.try_element_at("_held", place))
     rows = rows.drop("_held")
+    # Rows that need no order are spread: those of a lone value, and those without one.
     salt = F.pmod(F.hash(*unique), F.lit(SALTS))
+    for i, v in enumerate(values):
+        free = F.col(v).isNull() | (F.col(f"_slice{i}") % 2 == 1)
+        rows = rows.withColumn(f"_part{i}", F.coalesce(f"_slice{i}", F.lit(-1)) * SALTS + F.when(free, salt).otherwise(0))
     for out, v in numbers.items():
         i = values.index(v)
-        part = [*keys, f"_slice{i}", F.when(F.col(v).isNull(), salt).otherwise(0)]
-        place = F.row_number().over(Window.partitionBy(*part).orderBy(v, *unique))
+        place = F.row_number().over(Window.partitionBy(*keys, f"_part{i}").orderBy(v, *unique))
         placed = F.when(F.col(v).isNotNull(), place + F.coalesce(F.col(f"_held{i}.below"), F.lit(0)))
         if not lone[i]:
             rows = rows.withColumn(out, placed)
@@ -162,13 +165,11 @@ def with_ranks(
     for out, v in averages.items():
         i = values.index(v)
         held, alone = F.col(f"_held{i}"), F.col(f"_slice{i}") % 2 == 1
-        # Rows that need no order are spread: those of a lone value, and those without one.
-        part = [*keys, f"_slice{i}", F.when(alone | F.col(v).isNull(), salt).otherwise(0)]
-        first = F.rank().over(Window.partitionBy(*part).orderBy(v))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*part, v))
+        first = F.rank().over(Window.partitionBy(*keys, f"_part{i}").orderBy(v))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, f"_part{i}", v))
         rank = F.when(alone, (held.n + 1) / 2.0).otherwise(first + (ties - 1) / 2.0) + F.coalesce(held.below, F.lit(0))
         rows = rows.withColumn(out, F.when(F.col(v).isNotNull(), rank))
-    return rows.drop(*[f"_slice{i}" for i in range(len(values))], *[f"_held{i}" for i in range(len(values))])
+    return rows.drop(*[f"{name}{i}" for i in range(len(values)) for name in ("_slice", "_held", "_part")])
 
 
 def _is_lone(column: int):
