@@ -44,13 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    blocked = quality_rules.blocked_stems(docs, table(spark, sf_dir, "labels"))
-    rows = quality_rules.ledger(docs, blocked)
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")
+    rows = quality_rules.ledger(docs, quality_rules.blocked_stems(docs, labels), repeated=quality_rules.repeated_stems(docs, labels))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.verdict("base")).alias("base_failed"),
-        quality_rules.verdict("v2").alias("kept"),
+        quality_rules.verdict("v3").alias("kept"),
         "failures",
     )
 
@@ -68,8 +67,23 @@ stems AS (
 blocked AS (
   SELECT stem FROM stems, (SELECT sum(toxic) AS every FROM chosen) z
   WHERE hits >= greatest(3, 0.05 * every) AND hits >= 0.98 * n ORDER BY hits DESC, stem LIMIT 200),
+begun AS (
+  SELECT doc_id, lang, toxic, stem, count(*) AS k FROM (
+    SELECT doc_id, lang, toxic, substr(w, 1, size) AS stem FROM (
+      SELECT doc_id, coalesce(lang, '') AS lang, toxic, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w
+      FROM documents JOIN chosen USING (doc_id)) x, (VALUES (4), (5), (6)) s(size) WHERE length(w) >= 4) y
+  GROUP BY ALL),
+every AS (SELECT coalesce(lang, '') AS lang, sum(toxic) AS every FROM documents JOIN chosen USING (doc_id) GROUP BY 1),
+often AS (
+  SELECT lang, stem, min(row(least, hits)) AS q FROM (
+    SELECT lang, stem, least, count(*) AS n, sum(toxic) AS hits FROM begun, (VALUES (1), (2), (3)) s(least) WHERE least <= k GROUP BY ALL) z
+  JOIN every USING (lang) WHERE every > 0 AND hits >= greatest(3, 0.2 * every) AND hits >= 0.9 * n GROUP BY ALL),
+listed AS (SELECT lang, stem, q[1] AS least FROM often QUALIFY row_number() OVER (PARTITION BY lang ORDER BY q[2] DESC, stem) <= 200),
+repeated AS (
+  SELECT * FROM listed a WHERE NOT EXISTS (
+    FROM listed b WHERE b.lang = a.lang AND b.stem <> a.stem AND starts_with(a.stem, b.stem) AND b.least <= a.least)),
 d AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
@@ -81,17 +95,20 @@ again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (
   GROUP BY doc_id),
 hit AS (SELECT DISTINCT doc_id FROM (
     SELECT doc_id, unnest(string_split_regex(lower(t), '[^\p{L}]+')) AS w FROM d) JOIN blocked ON starts_with(w, stem)),
+met AS (SELECT DISTINCT doc_id FROM (
+    SELECT doc_id, stem FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(t), '[^\p{L}]+')) AS w FROM d) JOIN repeated USING (lang)
+    WHERE starts_with(w, stem) GROUP BY doc_id, stem, least HAVING count(*) >= least)),
 m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
-    hit.doc_id IS NOT NULL AS is_hit
-  FROM d LEFT JOIN again USING (doc_id) LEFT JOIN hit ON hit.doc_id = d.doc_id),
+    hit.doc_id IS NOT NULL AS is_hit, met.doc_id IS NOT NULL AS is_met
+  FROM d LEFT JOIN again USING (doc_id) LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN met ON met.doc_id = d.doc_id),
 l AS (
   SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
     + 4 * CAST(word_chars < 2 * n_words AS BIGINT) + 8 * CAST(word_chars > 14 * n_words AS BIGINT)
     + 16 * CAST(100 * n_symbols > 10 * n_words AS BIGINT) + 32 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
-    + 64 * CAST(is_hit AS BIGINT) AS failures FROM m)
+    + 64 * CAST(is_hit AS BIGINT) + 128 * CAST(is_met AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
   failures = 0 AS kept, failures FROM l"""
 
