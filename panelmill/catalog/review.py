@@ -503,20 +503,24 @@ def bounded_weight_evolution(spark, sf_dir):
     return wt.bounded_evolution(target.join(F.broadcast(_base_weights(spark)), "factor"), 0.05).drop("strategy")
 
 
-SQL["bounded_weight_evolution"] = ask(
-    "evidence",
-    f"""WITH t AS (SELECT factor, {_COMBINED} AS target FROM evidence),
+def evolution_sql(limit: float) -> str:
+    sql = (
+        f"""WITH t AS (SELECT factor, {_COMBINED} AS target FROM evidence),
        b AS (SELECT t.factor, target, base / sum(base) OVER () AS previous_weight FROM t JOIN (VALUES """
-    + ", ".join(f"('{f}', {w}::DOUBLE)" for f, (w, _) in WEIGHTS.items())
-    + """) v(factor, base) ON v.factor = t.factor),
-       c AS (SELECT *, greatest(previous_weight - 0.05, 0) AS lo, least(previous_weight + 0.05, 1) AS hi,
-               least(greatest(target, greatest(previous_weight - 0.05, 0)), least(previous_weight + 0.05, 1)) AS c FROM b),
+        + ", ".join(f"('{f}', {w}::DOUBLE)" for f, (w, _) in WEIGHTS.items())
+        + """) v(factor, base) ON v.factor = t.factor),
+       c AS (SELECT *, greatest(previous_weight - LIMIT_, 0) AS lo, least(previous_weight + LIMIT_, 1) AS hi,
+               least(greatest(target, greatest(previous_weight - LIMIT_, 0)), least(previous_weight + LIMIT_, 1)) AS c FROM b),
        g AS (SELECT *, 1 - sum(c) OVER () AS gap FROM c),
        m AS (SELECT *, CASE WHEN gap > 0 THEN hi - c ELSE c - lo END AS room FROM g)
        SELECT factor, previous_weight, target AS target_weight, c + coalesce(gap * room / nullif(sum(room) OVER (), 0), 0) AS weight,
-         c + coalesce(gap * room / nullif(sum(room) OVER (), 0), 0) - previous_weight AS weight_change FROM m""",
-    "factor r:previous_weight r:target_weight r:weight r:weight_change",
-)
+         c + coalesce(gap * room / nullif(sum(room) OVER (), 0), 0) - previous_weight AS weight_change FROM m"""
+    )
+    return sql.replace("LIMIT_", f"{limit}::DOUBLE")
+
+
+EVOLVED = "factor r:previous_weight r:target_weight r:weight r:weight_change"
+SQL["bounded_weight_evolution"] = ask("evidence", evolution_sql(0.05), EVOLVED)
 
 
 @query(QUERIES, "factor_stability")

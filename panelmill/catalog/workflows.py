@@ -21,7 +21,7 @@ from ..sources import market
 from .cross import WEIGHTS, rank_scores, score_table, scoring_panel
 from .kit import SCORING, ask, cte, query
 from .portfolio import _avg_rank, bench_curve, prices
-from .review import ROLLING
+from .review import EVOLVED, ROLLING, evidence, evolution_sql
 from .stats import EVERY, HORIZON, daily_ic, event_labels, neutral_labelled
 
 QUERIES: dict = {}
@@ -341,7 +341,7 @@ SQL["live_simulation"] = ask(
 )
 
 
-def _daily(spark, sf_dir):
+def _daily(spark, sf_dir, evidence=None):
     bars = durable(market.bars(spark, sf_dir))
     old = bars.filter(F.col("date") < "2001-10-29")
     stored = durable(ts.build_factors(old, ts.SCORING_FACTORS, keep=["open", "close"]))
@@ -349,13 +349,22 @@ def _daily(spark, sf_dir):
     fit = lb.calibration(known, events.agg(F.max("signal_date").alias("signal_date")), min_obs=10)
     return daily.daily_run(
         bars, stored, market.universe(spark, sf_dir), market.benchmark(spark, sf_dir), WEIGHTS, ts.SCORING_FACTORS,
-        fit.select("intercept", "slope"),
+        fit.select("intercept", "slope"), evidence=evidence,
     )
 
 
 @query(QUERIES, "daily_batch_stages")
 def daily_batch_stages(spark, sf_dir):
-    return _daily(spark, sf_dir)["stages"]
+    return _daily(spark, sf_dir, durable(evidence(spark, sf_dir)))["stages"]
+
+
+@query(QUERIES, "daily_batch_weights")
+def daily_batch_weights(spark, sf_dir):
+    """Weights that the batch leaves for the next one."""
+    return _daily(spark, sf_dir, durable(evidence(spark, sf_dir)))["weights"].drop("strategy")
+
+
+SQL["daily_batch_weights"] = ask("evidence", evolution_sql(0.10), EVOLVED)
 
 
 @query(QUERIES, "daily_batch_holdings")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, require_columns
 from ..functions.groups import stored, top_per_group, with_ranks
 from .cross_section import top_n
 
@@ -111,6 +111,7 @@ def allocate(
     ``candidates``: ``keys, code, score, model_prediction, industry, risk, regime``.
     Ranks run over the whole section; everything after the cut runs over at most n rows.
     """
+    require_columns(candidates, *keys, "code", "score", "model_prediction", "industry", "risk", "regime")
     s, candidates = settings, stored(candidates)
     df = candidates.filter(F.col("score").isNotNull()).withColumns(
         {

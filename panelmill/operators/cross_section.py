@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, col, finite, ratio
+from ..functions.columns import clamp, col, finite, ratio, require_columns
 from ..functions.groups import (
     stored,
     top_per_group,
@@ -37,6 +37,7 @@ def finite_columns(panel: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def clip_sigma(panel: DataFrame, names: Sequence[str], sigma: float = 3.0) -> DataFrame:
     """Clip to mean +/- sigma population deviations of the date."""
+    require_columns(panel, *DATE, *names)
     stats: dict[str, Column] = {}
     for n in names:
         stats[f"_m_{n}"] = F.avg(n)
@@ -64,6 +65,7 @@ def clean(panel: DataFrame, names: Sequence[str], sigma: float = 3.0) -> DataFra
 
 def zscore(panel: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Add ``out -> (x - mean) / population std`` of the date; 0 where std is 0."""
+    require_columns(panel, *DATE, *names.values())
     return _zscored(stored(panel), names)
 
 
@@ -84,6 +86,7 @@ def _zscored(panel: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def winsor_zscore(panel: DataFrame, names: Mapping[str, str], q: float = 0.025, min_names: int = 5) -> DataFrame:
     """Z-score after clipping to the q and 1-q quantiles of the date."""
+    require_columns(panel, *DATE, *names.values())
     panel = stored(panel)
     ends = {f"_lo_{name}": (x, q) for name, x in names.items()} | {f"_hi_{name}": (x, 1 - q) for name, x in names.items()}
     df = with_quantiles(panel, DATE, ends)
@@ -120,6 +123,7 @@ def pct_rank(
     unique: Sequence[str] = ("code",),
 ) -> DataFrame:
     """Add ``out -> average-tie rank / valid count``; direction -1 ranks downward."""
+    require_columns(panel, *keys, *unique, *names.values())
     signed = {f"_v_{out}": F.col(x) * -1 if (directions or {}).get(x, 1) < 0 else F.col(x) for out, x in names.items()}
     valid = {f"_c_{out}": f"_v_{out}" for out in names}
     df = with_ranks(stored(panel).withColumns(signed), keys, {f"_r_{out}": f"_v_{out}" for out in names}, counts=valid, unique=unique)
@@ -202,6 +206,7 @@ def neutralize(
     Industry dummies plus one slope need no matrix solve: remove industry means from the
     factor and from log cap, then remove the projection on the remaining log cap.
     """
+    require_columns(panel, *DATE, industry, *factors)
     df = stored(panel).withColumn("_ind", F.coalesce(F.col(industry).cast("string"), F.lit("Unknown")))
     has_cap = cap is not None and cap in panel.columns
     if has_cap:
@@ -279,6 +284,6 @@ def resolve_aliases(panel: DataFrame, aliases: Mapping[str, Sequence[str]]) -> D
     for name, options in aliases.items():
         found = next((o for o in options if o in panel.columns), None)
         if found is None:
-            raise ValueError(f"factor panel missing columns: {name}")
+            raise ValueError(f"no column of the panel stands for {name}")
         picks.append(col(found).alias(name))
     return panel.select("date", "code", *picks)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, safe_corr
+from ..functions.columns import ratio, require_columns, safe_corr
 from ..functions.groups import stored, with_ranks
 from .cross_section import to_long
 
@@ -24,6 +24,7 @@ def daily_ic(
     One long panel serves every factor, so all are ranked together. ``spread`` is the mean
     target of the top ceil(n q) names minus that of the bottom ones, ties by code.
     """
+    require_columns(panel, "date", "code", target, *factors)
     keys = ["date", "factor"]
     long = to_long(panel, factors, ["date", "code", target]).filter(
         F.col("value").isNotNull() & F.col(target).isNotNull()

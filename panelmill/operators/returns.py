@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chains import first_position, on_chain, positions_bitmap
-from ..functions.columns import ratio
+from ..functions.columns import ratio, require_columns
 from ..functions.groups import durable
 from .joins import asof_join, fill_sessions
 
@@ -83,6 +83,8 @@ def period_sums(
     ``keys, p, invested, sold``. A target without an open on its entry date stays in cash;
     a name without a bar is marked, and sold, at its last known close.
     """
+    require_columns(holdings, *keys, "date", "code", "weight")
+    require_columns(prices, "code", "date", "open", "close")
     # Holdings are read four times below and the sums twice; both are small tables. Prices
     # shrink to the names ever held before they are stored.
     holdings = durable(holdings)

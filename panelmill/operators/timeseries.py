@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_code, finite, lagged, ratio, rolling, trailing
+from ..functions.columns import by_code, finite, lagged, ratio, require_columns, rolling, trailing
 
 # Sessions per year used to annualise.
 SESSIONS_PER_YEAR = 252
@@ -245,6 +245,7 @@ def build_factors(
     unknown = sorted(set(wanted.values()) - set(FACTORS))
     if unknown:
         raise ValueError(f"unknown factor(s): {', '.join(unknown)}")
+    require_columns(bars, "date", "code", "close", *keep)
     panel = with_changes(macd(finite_bars(bars)) if MACD_COLUMNS & set(wanted.values()) else bars)
     if market is not None:
         panel = with_market(panel, market)

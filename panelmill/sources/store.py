@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import require_columns
 from ..functions.groups import durable, keep_last, path_exists
 
 
@@ -111,7 +112,5 @@ def register_views(tables: dict[str, DataFrame]) -> None:
 
 def check_contract(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Columns of an input table in contract order, or an error."""
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
-        raise ValueError(f"missing required columns: {', '.join(missing)}")
+    require_columns(df, *required)
     return df.select(*required)

@@ -185,6 +185,14 @@ def test_daily_batch_rebuilds_only_stale_codes(spark):
     assert 0 < len(held) <= 12 and held["weight"].sum() <= 1 + 1e-9 and set(held["date"]) == {last}
     stages = rows(out["stages"], "seq")
     assert stages["detail"][0] == "built 2 missing or stale feature sets" and len(stages) == 5
+    rows_ = [("s", f, 0.1 * k, 0.2 * k, 0.0, 0.3 * k) for k, f in enumerate(WEIGHTS, 1)]
+    evidence = spark.createDataFrame(rows_, "strategy string, factor string, ic double, icir double, average_return double, contribution double")
+    out = daily.daily_run(bars, stored, universe, bench, WEIGHTS, ts.SCORING_FACTORS, line, evidence=evidence)
+    weights = rows(out["weights"], "factor").set_index("factor")
+    assert weights["weight"].sum() == pytest.approx(1.0) and weights["weight_change"].abs().max() <= 0.1 + 1e-12
+    assert weights.loc["drawdown", "weight_change"] > 0 > weights.loc["momentum_5", "weight_change"]
+    last_stage = rows(out["stages"], "seq").iloc[-1]
+    assert last_stage["stage"] == "weight-evolution" and last_stage["detail"].startswith("moved=")
 
 
 def test_stream_state_takes_late_and_missing_bars(spark):
