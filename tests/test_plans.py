@@ -259,7 +259,7 @@ def test_window_state_does_not_grow(spark, tmp_path):
     for day in range(1, 9):
         ticks(spark, [("a", f"2021-01-{day:02d} {h:02d}:00", day * 100 + h, 1.0) for h in range(24)]).write.mode("append").parquet(files)
         stream = sb.file_stream(spark, files, spark.read.parquet(files).schema)
-        done = sb.run_available(sb.tumbling_bars(stream), lambda b, n: None, checkpoint=state)
+        done = sb.run_available(sb.tumbling_bars(stream), sb.batch_writer(str(tmp_path / "out")), checkpoint=state)
         held.append(done.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
     assert max(held) <= 2
 
