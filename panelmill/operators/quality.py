@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, two_decimals
 from ..functions.groups import keep_first
 
 BAR_COLUMNS = ("date", "open", "high", "low", "close", "volume")
@@ -104,8 +104,8 @@ def validate_bars(
         F.when(
             F.col(f"null_{c}") / F.col("n") > max_missing,
             F.format_string(
-                f"{c} missing rate %.2f%% exceeds {max_missing * 100:.2f}%%",
-                F.col(f"null_{c}") / F.col("n") * 100,
+                f"{c} missing rate %s%% exceeds {max_missing * 100:.2f}%%",
+                two_decimals(F.col(f"null_{c}") * 100.0 / F.col("n")),
             ),
         )
         for c in BAR_COLUMNS

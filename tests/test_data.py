@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelmill.functions.columns import two_decimals
 from panelmill.operators import quality as dq
 from panelmill.sources import landing, market, store
 from tests.helpers import panel, rows
@@ -39,6 +40,14 @@ def test_each_rule_is_named(spark, change, message):
     assert message in errors(spark, change(clean_bars()))
 
 
+def test_missing_rate_rounds_ties_as_printf(spark):
+    pdf = clean_bars(512)
+    assert "close missing rate 3.12% exceeds 1.00%" in errors(spark, pdf.assign(close=pdf["close"].where(pdf.index >= 16)), max_missing=0.01)
+    values = [k * 100.0 / n for n in (7, 32, 64, 320, 800, 4000, 20_000) for k in range(0, n + 1, max(1, n // 320))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['v']:.2f}" for r in got]
+
+
 def test_null_breaks_a_suspension(spark):
     pdf = clean_bars()
     pdf.loc[10:14, "volume"] = 0.0
