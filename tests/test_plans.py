@@ -233,6 +233,16 @@ def test_stream_state_of_an_idle_code_goes(spark):
     assert peaks[("a", day(1))] == 10.0 and peaks[("a", day(61))] == 4.0
 
 
+def test_stream_state_is_a_value_a_code(spark, tmp_path):
+    """Waiting bars are held as one value, so that a batch does not touch the state bar by bar."""
+    files, state = str(tmp_path / "in"), str(tmp_path / "state")
+    spark.createDataFrame(panel(2, 60, seed=6)[["code", "date", "close"]]).withColumn("seq", F.lit(0)).write.parquet(files)
+    stream = sb.file_stream(spark, files, spark.read.parquet(files).schema)
+    with rocksdb(spark):
+        done = sb.run_available(running_state(stream, late="200 days"), sb.batch_writer(str(tmp_path / "out")), checkpoint=state)
+    assert 2 <= done.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 60
+
+
 def ticks(spark, rows_):
     return spark.createDataFrame([(c, pd.Timestamp(t).to_pydatetime(), s, p, 1.0) for c, t, s, p in rows_], "code string, ts timestamp, seq long, price double, quantity double")
 
