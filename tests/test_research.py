@@ -26,6 +26,15 @@ def test_hand_computed_ic(spark):
     assert fs.ic_summary(daily, 3).first()["status"] == "insufficient_data"
 
 
+def test_a_flat_factor_has_no_residual(spark):
+    """Equal values leave 0 for every name, not the last bit by which a sum over a count misses them."""
+    names = [(pd.Timestamp("2020-01-01").date(), f"{i:06d}", f"I{i % 3}", 0.1 * (i % 3 + 1), 0.3 + i % 3 / 7, 10.0 + i) for i in range(21)]
+    df = spark.createDataFrame(names, "date date, code string, industry string, f double, cap double, market_cap double")
+    for cap in ("market_cap", "cap"):
+        got = xs.neutralize(df, ["f"], cap=cap).select("f_neutralized").toPandas()["f_neutralized"]
+        assert (got == 0).all()
+
+
 def test_neutralize_matches_least_squares(spark):
     rng = np.random.default_rng(6)
     n = 40
