@@ -94,6 +94,29 @@ def test_group_stats_and_checked_broadcast(spark, skewed, monkeypatch):
         assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == broadcast
 
 
+def test_quantiles_of_extreme_values_by_narrow_passes(spark, monkeypatch):
+    """Bins that are few, and brackets of one value, leave the order statistics exact."""
+    monkeypatch.setattr(g, "FEW", 1)
+    monkeypatch.setattr(g, "BINS", 3)
+    most = 1.7976931348623157e308
+    values = [-most, -1e300, -7.0, -7.0, 0.0, 5e-324, 1e-320, 2.0, 2.0, 2.0, 2.5, 9.0, 1e17, most]
+    cells = [("d", f"{k:02d}", x) for k, x in enumerate(values)] + [("e", "00", float("inf")), ("e", "01", 1.0), ("e", "02", 3.0)]
+    df = spark.createDataFrame(cells, "date string, code string, x double")
+    places = {f"p{k}": ("x", k / 13) for k in (2, 3, 4, 7, 8, 9, 10, 11, 12)}
+    got = {r["date"]: r for r in g.quantile_table(df, ["date"], places | {"m": ("x", 0.5)}).collect()}
+    for k in (2, 3, 4, 7, 8, 9, 10, 11, 12):
+        np.testing.assert_allclose(got["d"][f"p{k}"], np.quantile(values, k / 13), rtol=1e-9, atol=1e-9)
+    assert got["e"]["m"] == 3.0
+
+
+def test_daily_ic_sorts_once_a_rank(spark):
+    """A position and two average ranks are three windows: none has a partition per value."""
+    df = lb.forward_return(spark.createDataFrame(panel(6, 12, seed=1)), 2)
+    plan = fs.daily_ic(df, ["close", "volume"], "future_return")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3
+    assert "factor" not in plan[plan.index("Window [") :]
+
+
 def test_keep_last_is_not_arbitrary(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 5)], "k string, s int, v int")
     assert {r["k"]: r["v"] for r in g.keep_last(df, ["k"], "s").collect()} == {"a": 20, "b": 5}
