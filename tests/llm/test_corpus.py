@@ -64,6 +64,23 @@ def test_components_match_brute_force(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_no_pair_of_texts_that_share_too_little_is_compared(spark, monkeypatch):
+    common = " ".join(f"c{k}" for k in range(150))
+    rows = [(i, common + "".join(f" own{i}x{k}" for k in range(42)), i, "x") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end", i, "x") for i in range(3)]
+    compared, saved = [], near_duplicates.saved
+
+    def watched(df):
+        out = saved(df)
+        compared.extend([out.count()] if out.columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(near_duplicates, "saved", watched)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, KIND)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert sum(compared) <= 15  # among the six that link; the others share a passage of all
+
+
 def test_late_bridge_between_components_of_one_lot(spark):
     lots = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(near_duplicates.PIVOTS)).alias("lot")).collect()
     second = next(i for i in range(100, 900) if lots[i].lot == lots[0].lot)
