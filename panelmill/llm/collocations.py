@@ -11,8 +11,8 @@ shard, and with it the local support, does not depend on the size of the corpus.
    frequent in some shard; every part of a phrase is at least as frequent as the phrase.
 3. The union of what the shards found is counted over all units, by the phrases' own text.
 
-Mining runs on 64-bit hashes, and the union travels as a bitmap of at most ``2**MAX_BITS`` bits (32 MB) a size,
-whatever the corpus. Two phrases that share a hash or a bit only add candidates; the last count is exact.
+Mining runs on 64-bit hashes and counts by their upper 48 bits, so that less is shuffled; the union
+travels as a bitmap of at most ``2**MAX_BITS`` bits (32 MB) a size, whatever the corpus. Two phrases that share a hash or a bit only add candidates; the last count is exact.
 
 Defined cases: null text is empty and has no words; null language is ``und``; repeated rows count
 each; an empty table gives no rows; a text without white space is one word; columns other than
@@ -33,6 +33,7 @@ from .common import U64, RangeHashes, joined, mixed, new_path, power, saved
 
 LONGEST = 4
 MAX_BITS = 28
+SENT = U64(0xFFFFFFFFFFFF0000)  # bits of a hash that mining counts by; a bitmap reads the leading MAX_BITS
 BLOCK = 15  # bits of a position inside one aggregated bitmap block
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -209,7 +210,7 @@ def _word_counts(unit: Unit) -> Iterator[pa.RecordBatch]:
 
 
 def _local(shared, unit: Unit) -> Iterator[pa.RecordBatch]:
-    keys, n = np.unique(unit.alive(shared.value)[1], return_counts=True)
+    keys, n = np.unique(unit.alive(shared.value)[1] & SENT, return_counts=True)
     for at in range(0, len(keys), 50_000):
         some = keys[at : at + 50_000].view(np.int64)
         yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +71,15 @@ def test_phrases_match_brute_force(spark, parts, unit):
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
+def test_mining_counts_every_phrase_by_48_bits():
+    batch = next(iter(collocations._rows([collocations._unit("en", 0, [b"a b c a b"])])))
+    every = collocations.Bits(15, np.full(1 << 12, 255, np.uint8))
+    (out,) = collocations._local(SimpleNamespace(value=[every]), collocations.Unit(batch, 0))
+    keys = out.column("key").to_numpy()
+    assert sorted(out.column("n").to_pylist()) == [1, 1, 2] and len(set(keys.tolist())) == 3
+    assert not (keys & 0xFFFF).any()
+
+
 def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([("en", None), (None, "")], "lang string, text string")
     for some in (docs, docs.limit(0)):
