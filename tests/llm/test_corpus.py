@@ -81,6 +81,63 @@ def test_no_pair_of_texts_that_share_too_little_is_compared(spark, monkeypatch):
     assert sum(compared) <= 15  # among the six that link; the others share a passage of all
 
 
+def family(n, edits):
+    """A stock text and its variants, by number of words replaced; variants share the new words."""
+    rng = np.random.default_rng(7)
+    stock = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(stock), 0, "x")]
+    for i in range(1, n):
+        words = list(stock)
+        for at in rng.choice(len(words), edits[i % len(edits)], replace=False):
+            words[at] = f"new{rng.integers(3)}"
+        rows.append((i, " ".join(words), i, "x"))
+    return rows
+
+
+def test_large_family_is_indexed_by_pieces_of_frequent_tokens(spark):
+    rows = family(260, (1, 2, 9))
+    index, kept = [], near_duplicates._linked
+
+    def watched(some, *rest):
+        index.append(some.count())
+        return kept(some, *rest)
+
+    near_duplicates._linked = watched
+    try:
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, KIND)).collect()
+    finally:
+        near_duplicates._linked = kept
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert index[0] < 80 * len(rows)  # pairs of frequent tokens made 140 a document
+
+
+def test_linked_sets_of_frequent_or_rare_tokens_share_a_signature_in_reach():
+    rng = np.random.default_rng(3)
+    linked = 0
+    for size in (4, 5, 9, 12, 30, 31, 80, 146, 400):
+        universe = rng.integers(1, 2**48, 2 * size).astype(np.uint64)
+        often = rng.random(len(universe)) < 0.97
+        for _ in range(200):
+            one = universe[:size]
+            keep = rng.random(size) > rng.uniform(0, 0.15)
+            two = np.concatenate((one[keep], rng.choice(universe[size:], rng.integers(0, size // 5 + 1), replace=False)))
+            both = len(np.intersect1d(one, two))
+            if not len(two) or 100 * both < 80 * (len(one) + len(two) - both):
+                continue
+            linked += 1
+            df = dict(zip(universe.tolist(), np.where(often, 1000, 5).tolist(), strict=True))
+            held = set(one.tolist()) & set(two.tolist())
+            sigs = []
+            for tokens, other in ((one, len(two)), (two, len(one))):
+                tokens = np.sort(tokens)
+                # Frequent tokens are held by many; a rare one may be this set's alone.
+                counts = np.array([df[t] if df[t] > 32 or t in held else 1 for t in tokens.tolist()])
+                found, reach = near_duplicates.signatures(tokens, counts)
+                sigs.append(set(found[reach >= other].tolist()))
+            assert sigs[0] & sigs[1]
+    assert linked > 500
+
+
 def test_late_bridge_between_components_of_one_lot(spark):
     lots = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(near_duplicates.PIVOTS)).alias("lot")).collect()
     second = next(i for i in range(100, 900) if lots[i].lot == lots[0].lot)
