@@ -272,3 +272,18 @@ def test_deferral_plan_has_no_pairs(spark, market):
     _, _, _, prices, holdings = market
     text = rt.successors(holdings, prices)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in text for word in ("NestedLoop", "Cartesian", "FlatMapGroups", "ArrowEvalPython"))
+
+
+def test_left_unique_of_one_value_ranks_nothing(spark):
+    left = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("c", 4.0), ("d", 5.0)], "k string, x double")
+    right = spark.createDataFrame(
+        [("a", 10.0, 1), ("a", 20.0, 2), ("a", 30.0, None), ("b", None, 9), ("b", 7.0, 8), ("c", 6.0, None)], "k string, v double, seq int"
+    )
+    got = jn.left_unique(left, right, ["k"], "seq")
+    assert got.columns == ["k", "x", "v", "seq"]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == [
+        ("a", 1.0, 20.0, 2), ("a", 2.0, 20.0, 2), ("b", 3.0, None, 9), ("c", 4.0, 6.0, None), ("d", 5.0, None, None)
+    ]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    two = jn.left_unique(left, right.withColumn("w", F.col("v") * 2), ["k"], "seq").filter("k = 'a'").first()
+    assert (two["v"], two["w"]) == (20.0, 40.0)
