@@ -18,6 +18,9 @@ from .cross_section import zscore
 from .joins import asof_join
 from .labels import calendar
 
+# Leading bits of a row's hash that are counted before a sample is taken.
+HASH_BITS = 12
+
 
 def l1_normalised(raw: Column, keys: Sequence[str], factors: int) -> Column:
     """raw / sum |raw| inside the key, equal weights where the sum is 0."""
@@ -247,7 +250,8 @@ def training_samples(
     """``refit_date`` and at most ``most`` complete rows of each refit's window.
 
     Rows are taken by a hash of (date, code), so a sample does not depend on their order or
-    place; the limit is applied before the shuffle.
+    place. Counts in bins of the hash tell which bins hold the first rows; the others are dropped
+    before the shuffle, so a refit's task gets little more than ``most`` rows of any panel.
     """
     refits = cal.filter((F.col("idx") % every == 0) & (F.col("idx") >= horizon)).select(
         F.col("date").alias("refit_date"), (F.col("idx") - horizon).alias("_to")
@@ -256,8 +260,13 @@ def training_samples(
     dated = panel.select("date", "code", *names).dropna(subset=names).join(F.broadcast(cal), "date")
     # A session is in a handful of windows; refits are calendar rows.
     held = dated.join(F.broadcast(refits), (F.col("idx") <= F.col("_to")) & (F.col("idx") > F.col("_to") - window))
-    place = F.xxhash64("date", "code")
-    return top_per_group(held.withColumn("_h", place), ["refit_date"], [F.col("_h"), F.col("date"), F.col("code")], most).select("refit_date", *names)
+    held = held.withColumn("_h", F.xxhash64("date", "code")).withColumn("_bin", F.shiftright("_h", 64 - HASH_BITS))
+    bins = held.groupBy("refit_date", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("refit_date").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    needed = bins.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).filter(F.col("_before") < most)
+    last = needed.groupBy("refit_date").agg(F.max("_bin").alias("_last"))
+    first = held.join(F.broadcast(last), "refit_date").filter("_bin <= _last")
+    return top_per_group(first, ["refit_date"], [F.col("_h"), F.col("date"), F.col("code")], most).select("refit_date", *names)
 
 
 def _rolling_forest(panel, cal, horizon, factors, target, window, every, most, trees) -> DataFrame:

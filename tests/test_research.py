@@ -314,3 +314,16 @@ def test_forest_weights_follow_the_signal(spark):
     sample = scored.iloc[1234]
     want = pdf.sort_values(["date", "code"]).iloc[1234]
     assert sample["factor_score"] == pytest.approx(want["f"] * weight[(want["date"], "f")] + want["g"] * weight[(want["date"], "g")])
+
+
+def test_training_samples_rank_few_rows_more_than_they_keep(spark, monkeypatch):
+    days = pd.bdate_range("2020-01-01", periods=70).date
+    pdf = pd.DataFrame([(d, f"{i:06d}", float(i), 1.0) for d in days for i in range(60)], columns=["date", "code", "f", "y"])
+    df, ranked, top = spark.createDataFrame(pdf), [], wt.top_per_group
+    monkeypatch.setattr(wt, "top_per_group", lambda rows_, *rest: ranked.append(rows_) or top(rows_, *rest))
+    got = wt.training_samples(df, lb.calendar(df), 5, ["f"], "y", 40, 60, 300)
+    assert got.count() == 300 and ranked[0].count() <= 310  # 2,400 rows in the window
+    place = F.xxhash64("date", "code")
+    window = df.join(lb.calendar(df), "date").filter("idx > 15 and idx <= 55")
+    want = window.orderBy(place).limit(300).select("f").toPandas()["f"].sort_values().tolist()
+    assert sorted(r["f"] for r in got.collect()) == want
