@@ -158,6 +158,17 @@ def test_late_bridge_between_components_of_one_lot(spark):
     assert len({label for _, label in brute_components([(i, t) for _, t, i in rows if i != 29]).values()}) == 2
 
 
+def test_short_near_copies_with_unlike_numbers_of_near_tokens_link(spark):
+    """One of a pair may have too few near tokens to be judged by them, and the other enough."""
+    pick = random.Random(12)
+    rows = []
+    for i in range(0, 300, 2):
+        words = [f"v{pick.randrange(10**6)}" for _ in range(pick.randint(8, 24))]
+        rows += [(i, " ".join(words), i, "x"), (i + 1, " ".join([*words, f"end{i}"]), i, "x")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, KIND)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def brute_kept(rows):
     seen, out = set(), {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
