@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from .labels import calendar
 
 # Leading bits of a row's hash that are counted before a sample is taken.
 HASH_BITS = 12
+# Split candidates of a forest's feature, and their accuracy: ranks are off by at most n / ACCURACY.
+SPLITS, ACCURACY = 32, 10_000
+# Windows of more rows are fitted one after the other; each fit keeps its rows as tree points.
+SIDE_BY_SIDE = 1_000_000
 
 
 def l1_normalised(raw: Column, keys: Sequence[str], factors: int) -> Column:
@@ -182,14 +187,15 @@ def rolling_weights(
     every: int = 20,
     methods: Sequence[str] = ("equal", "ic", "icir", "regression"),
     ml_every: int = 60,
-    ml_sample: int = 20_000,
+    ml_sample: int | None = None,
     ml_trees: int = 20,
 ) -> DataFrame:
     """``date, method, factor, weight`` refitted every k sessions from matured rows.
 
     A refit at session i uses sessions up to i - horizon only; before that weights are
     equal. Between refits the last weights hold. ``ml`` is refitted every ``ml_every`` sessions:
-    the importances of a forest fitted on at most ``ml_sample`` rows of the window.
+    the importances of a forest fitted on every row of the window, or on at most ``ml_sample``
+    rows where a caller asks for that.
     """
     k = len(factors)
     cal = calendar(panel)
@@ -269,26 +275,65 @@ def training_samples(
     return top_per_group(first, ["refit_date"], [F.col("_h"), F.col("date"), F.col("code")], most).select("refit_date", *names)
 
 
+def training_rows(panel: DataFrame, cal: DataFrame, factors: Sequence[str], target: str) -> DataFrame:
+    """``idx`` and the numbers of every complete row, stored once for all windows, in an order of its
+    own: a forest draws its bags along the rows, so they do not depend on the order of the panel."""
+    names = [*factors, target]
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated = panel.select("date", "code", *names).dropna(subset=names).join(F.broadcast(cal), "date")
+    spread = dated.repartition(parts, "idx", "code").sortWithinPartitions("idx", "code", *names)
+    return durable(spread.select("idx", *names))
+
+
 def _rolling_forest(panel, cal, horizon, factors, target, window, every, most, trees) -> DataFrame:
     """Forest importances per refit; a window with too few rows keeps equal weights."""
     spark = panel.sparkSession
-    samples = durable(training_samples(panel, cal, horizon, factors, target, window, every, most))
     need = max(100, 10 * len(factors))
-    sizes = samples.groupBy("refit_date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need)
-    vectors = VectorAssembler(inputCols=list(factors), outputCol="_features").transform(samples)
-
-    def fit(row) -> tuple:
+    if most is None:
+        rows = training_rows(panel, cal, factors, target)
+        days = cal.join(rows.groupBy("idx").agg(F.count(F.lit(1)).alias("_n")), "idx", "left").collect()  # a row per session
+        held = {d["idx"]: d["_n"] or 0 for d in days}
+        refits = []
+        for d in days:
+            end = d["idx"] - horizon
+            n = sum(held[i] for i in range(max(0, end - window + 1), end + 1))
+            if d["idx"] % every == 0 and end >= 0 and n >= need:
+                inside = rows.filter((F.col("idx") <= end) & (F.col("idx") > end - window))
+                refits.append((d["date"], n, inside))
+    else:
+        samples = durable(training_samples(panel, cal, horizon, factors, target, window, every, most))
+        sizes = samples.groupBy("refit_date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need)
+        refits = [(r["refit_date"], r["n"], samples.filter(F.col("refit_date") == F.lit(r["refit_date"]))) for r in sizes.collect()]
+
+    def fit(refit) -> tuple:
+        date, n, inside = refit
+        # A square of more bins than rows makes the trainer look at all rows for its thresholds, which
+        # lie between the values of the binned features: SPLITS at most.
         forest = RandomForestRegressor(
-            featuresCol="_features", labelCol=target, numTrees=trees, minInstancesPerNode=5, maxDepth=10, seed=0
-        )
-        values = forest.fit(vectors.filter(F.col("refit_date") == F.lit(row["refit_date"]))).featureImportances.toArray()
+            featuresCol="_features", labelCol=target, numTrees=trees, minInstancesPerNode=5, maxDepth=10, seed=0,
+            maxBins=max(SPLITS + 1, math.isqrt(n) + 1),
+        )
+        values = forest.fit(_binned(inside, factors)).featureImportances.toArray()
         total = float(np.abs(values).sum())
         shares = values / total if total > 0 else np.full(len(factors), 1.0 / len(factors))
-        return row["refit_date"], dict(zip(factors, map(float, shares), strict=True))
+        return date, dict(zip(factors, map(float, shares), strict=True))
+
+    with ThreadPool(4 if all(n <= SIDE_BY_SIDE for _, n, _ in refits) else 1) as pool:
+        fitted = pool.map(fit, refits)  # a row per refit
+    return spark.createDataFrame(fitted, "refit_date date, weights map<string,double>")
 
-    with ThreadPool(4) as pool:
-        rows = pool.map(fit, sizes.collect())  # a row per refit
-    return spark.createDataFrame(rows, "refit_date date, weights map<string,double>")
+
+def _binned(rows: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """The rows with ``_features``: the bin of each factor among quantiles of all of them."""
+    points = [k / SPLITS for k in range(1, SPLITS)]
+    cuts = rows.agg(*[F.percentile_approx(f, points, F.lit(ACCURACY)).alias(f) for f in factors]).first()
+    splits = []
+    for f in factors:
+        inner = sorted({float(c) for c in cuts[f] if math.isfinite(c)}) or [0.0]
+        splits.append([-math.inf, *inner, math.inf])
+    names = [f"_bin_{f}" for f in factors]
+    binned = Bucketizer(splitsArray=splits, inputCols=list(factors), outputCols=names).transform(rows)
+    return VectorAssembler(inputCols=names, outputCol="_features").transform(binned)
 
 
 def method_scores(panel: DataFrame, weights: DataFrame, factors: Sequence[str]) -> DataFrame:

@@ -316,6 +316,26 @@ def test_forest_weights_follow_the_signal(spark):
     assert sample["factor_score"] == pytest.approx(want["f"] * weight[(want["date"], "f")] + want["g"] * weight[(want["date"], "g")])
 
 
+def test_forest_weights_come_from_every_row_of_the_window(spark, monkeypatch):
+    """24,000 rows in the window: all reach the forest, and its thresholds come from all of them."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 600).cast("int"))
+    some = F.xxhash64("id") / float(2**63)
+    df = spark.range(36_000).select(
+        day.alias("date"), F.format_string("%06d", F.col("id") % 600).alias("code"), some.alias("f"), F.rand(3).alias("g"), some.alias("y")
+    )
+    fitted, forest = [], wt.RandomForestRegressor
+
+    def watched(**params):
+        made, fit = forest(**params), forest.fit
+        monkeypatch.setattr(forest, "fit", lambda self, data: fitted.append((data.count(), self.getMaxBins())) or fit(self, data))
+        return made
+
+    monkeypatch.setattr(wt, "RandomForestRegressor", watched)
+    got = wt.rolling_weights(df, None, ["f", "g"], "y", horizon=5, window=40, methods=("ml",), ml_every=50, ml_trees=3).collect()
+    assert fitted[0][0] == 24_000 and fitted[0][1] ** 2 >= 24_000
+    assert max(r["weight"] for r in got if r["factor"] == "f") > 0.9
+
+
 def test_training_samples_rank_few_rows_more_than_they_keep(spark, monkeypatch):
     days = pd.bdate_range("2020-01-01", periods=70).date
     pdf = pd.DataFrame([(d, f"{i:06d}", float(i), 1.0) for d in days for i in range(60)], columns=["date", "code", "f", "y"])
