@@ -1,4 +1,6 @@
 """Group primitives against pandas, for groups of one slice and of many."""
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -146,3 +148,24 @@ def test_operators_hold_for_many_slices(spark, monkeypatch):
     for (a, columns), (b, _) in zip(one, results(), strict=True):
         same(a, b, columns)
     assert xs.relevance_contract(xs.relevance_labels(df, "future_return")).count() == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """Jobs in a row held the shuffles of all before them until the driver happened to collect garbage."""
+    place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in str(place.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in f}
+
+    before = files()
+    df = spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("x"))
+    table = g.durable(df)
+    assert sorted(r.k for r in table.collect()) == list(range(7)) and table.schema == df.schema
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    g.discard(table)
+    assert not g.path_exists(spark, table.stored_at)

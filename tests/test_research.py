@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from panelmill.functions.groups import durable
 from panelmill.operators import cross_section as xs
 from panelmill.operators import errors as er
 from panelmill.operators import factor_stats as fs
@@ -294,6 +295,23 @@ def test_refits_follow_the_sessions(spark, seed):
     assert got == want
 
 
+def test_factors_ranked_in_turns_agree_and_a_stored_panel_is_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame([(d, f"{i:03d}") for d in pd.bdate_range("2020-01-01", periods=4).date for i in range(30)], columns=["date", "code"])
+    for c in ("f", "g", "h", "y"):
+        pdf[c] = np.where(rng.random(len(pdf)) < 0.2, np.nan, rng.integers(0, 9, len(pdf)))
+    panel = durable(xs.finite_columns(spark.createDataFrame(pdf), ["f", "g", "h", "y"]))
+    want = rows(fs.daily_ic(panel, ["f", "g", "h"], "y"), "date", "factor")
+    written, write = [], fs.durable
+    monkeypatch.setattr(fs, "durable", lambda df: written.append(df.columns) or write(df))
+    monkeypatch.setattr(fs, "RANKED_AT_ONCE", 200)  # two of the three factors
+    got = rows(fs.daily_ic(panel, ["f", "g", "h"], "y"), "date", "factor")
+    pd.testing.assert_frame_equal(got, want)
+    assert len(got) == 12 and len(written) == 2 and all("ic" in columns for columns in written)
+    again = rows(fs.daily_ic(panel.filter("code < '999'"), ["f", "g", "h"], "y"), "date", "factor")
+    pd.testing.assert_frame_equal(again, want)
+
+
 def test_forest_weights_follow_the_signal(spark):
     """The planted factor changes half way; samples are bounded and do not depend on row order."""
     rng = np.random.default_rng(8)
