@@ -169,6 +169,16 @@ def test_short_near_copies_with_unlike_numbers_of_near_tokens_link(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_few_texts_travel_besides_those_asked_for(spark):
+    texts = spark.range(40_000).select((F.xxhash64("id")).alias("rid"), F.encode(F.col("id").cast("string"), "UTF-8").alias("text"))
+    asked = texts.filter(F.pmod("rid", F.lit(20)) == 3).select("rid")
+    want = {r.rid for r in asked.collect()}
+    some = [r.rid for r in near_duplicates._maybe_asked(texts, asked).collect()]
+    assert want <= set(some) and len(some) == len(set(some)) and len(some) < len(want) + 40_000 / 10
+    got = {r.rid for r in near_duplicates._token_sets(texts.unionByName(texts), asked).collect()}
+    assert got == want and near_duplicates._token_sets(texts, asked.filter("rid is null")).count() == 0
+
+
 def brute_kept(rows):
     seen, out = set(), {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
